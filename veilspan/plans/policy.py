@@ -89,7 +89,7 @@ def decide(policy: Policy, entity: Column, surface: Column, confidence: Column)
     none = make("allow", "default-allow", "info", None, "span")
     out = F.when(~entity.isin(policy.scoped()), none) if policy.scope else None
     for r in policy.ranked():
-        out = (out or F).when(_matches(r, entity, surface, confidence), make(r.action, r.id, r.severity, r.on_fail, r.scope))
+        out = (F if out is None else out).when(_matches(r, entity, surface, confidence), make(r.action, r.id, r.severity, r.on_fail, r.scope))
     return out.otherwise(none) if out is not None else none
 
 
