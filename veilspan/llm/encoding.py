@@ -28,16 +28,23 @@ from .pieces import CACHE_UNITS, keyed, spaced_units, vocabulary
 VARIANTS = 4
 
 
-def encode_text(v, text: str, drop: int, seed: int, variant: int, cache: dict) -> np.ndarray:
-    out = []
-    for u in spaced_units(text) if text else ():
-        got = cache.get((variant, u))
-        if got is None:
-            if len(cache) > CACHE_UNITS:
-                cache.clear()
-            key = keyed(seed, variant, xxhash.xxh64_intdigest(u.encode())) if drop else 0
-            cache[(variant, u)] = got = v.encode_unit(u, drop, key)
-        out.append(got)
+def encode_text(v, text: str, drop: int, seed: int, variant: int) -> np.ndarray:
+    """Piece ids of a text; units are remembered by variant."""
+    units = spaced_units(text) if text else []
+    caches = v.caches.setdefault((drop, seed), {})
+    cache = caches.setdefault(variant, {})
+    out = list(map(cache.get, units))
+    if None in out:
+        if sum(map(len, caches.values())) > CACHE_UNITS:
+            caches.clear()
+            cache = caches.setdefault(variant, {})
+        for k, got in enumerate(out):
+            if got is None:
+                u = units[k]
+                if (got := cache.get(u)) is None:
+                    key = keyed(seed, variant, xxhash.xxh64_intdigest(u.encode())) if drop else 0
+                    cache[u] = got = v.encode_unit(u, drop, key)
+                out[k] = got
     return np.frombuffer(b"".join(out), dtype="<u4")
 
 
@@ -46,14 +53,14 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, key
     drop = round(dropout * (1 << 32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, cache = vocabulary(model), {}
+        v = vocabulary(model)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, len(batch), 256)):
                 ids, good = [], []
                 for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     t = t or ""
                     variant = keyed(seed, int(xxhash.xxh64_intdigest(str(k)))) % variants if drop and k is not None else 0
-                    got = encode_text(v, t, drop, seed, variant, cache)
+                    got = encode_text(v, t, drop, seed, variant)
                     ids.append(got)
                     good.append(v.decode(got) == t.encode())
                 at = np.zeros(len(ids) + 1, dtype=np.int32)

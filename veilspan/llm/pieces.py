@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -18,7 +20,14 @@ _UNITS = re.compile(f"{MARK}+[^{MARK}]*")
 _SPACED = re.compile(" +[^ ]*")
 _M64 = (1 << 64) - 1
 #: Units kept in a worker's table before it is emptied.
-CACHE_UNITS = 600_000
+CACHE_UNITS = 1_000_000
+
+
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 def keyed(*parts: int) -> int:
@@ -43,7 +52,11 @@ class Vocabulary:
         self.pieces = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
         special = {i for i in range(len(self.pieces)) if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)}
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in special}
-        self.scores = {p: sp.get_score(i) for p, i in self.ids.items()}
+        # Ranks of scores, the best first; pieces with one score share a rank.
+        order = {x: r for r, x in enumerate(sorted({sp.get_score(i) for i in self.ids.values()}, reverse=True))}
+        self.ranks = {p: order[sp.get_score(i)] for p, i in self.ids.items()}
+        #: Tables of remembered units, kept for the life of the process and bounded by CACHE_UNITS.
+        self.caches: dict[tuple, dict] = {}
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in special if sp.is_byte(i)}
         if len(self.byte_ids) != 256 or any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a vocabulary with byte pieces and without pieces across units is needed")
@@ -62,31 +75,47 @@ class Vocabulary:
         """Symbols after merging by an agenda, best score first, leftmost among equals.
 
         `drop` of 2**32 candidates are skipped: a candidate taken from the agenda is
-        passed over when the hash of (key, place, sizes) falls below `drop`.
+        passed over when the hash of its place and size under `key` falls below `drop`.
+        An agenda entry is one integer: rank of the score, place, size.
         """
         n = len(symbols)
         if n < 2:
             return symbols
-        scores, symbols = self.scores, list(symbols)
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        agenda = [(-s, i, len(symbols[i]) + len(symbols[i + 1])) for i in range(n - 1) if (s := scores.get(symbols[i] + symbols[i + 1])) is not None]
+        get, pop, push = self.ranks.get, heapq.heappop, heapq.heappush
+        symbols = list(symbols)
+        agenda = []
+        before = symbols[0]
+        for i in range(n - 1):
+            after = symbols[i + 1]
+            if (r := get(before + after)) is not None:
+                agenda.append((r << 52) | (i << 26) | (len(before) + len(after)))
+            before = after
+        if not agenda:
+            return symbols
         heapq.heapify(agenda)
+        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
+        key |= 1
         while agenda:
-            _, i, size = heapq.heappop(agenda)
-            j = right[i] if symbols[i] else -1
-            if j < 0 or len(symbols[i]) + len(symbols[j]) != size:
+            entry = pop(agenda)
+            i, size = (entry >> 26) & 0x3FFFFFF, entry & 0x3FFFFFF
+            a = symbols[i]
+            j = right[i] if a else -1
+            if j < 0 or len(a) + len(symbols[j]) != size:
                 continue
-            if drop and (keyed(key, i, size) >> 32) < drop:
+            if drop and ((((entry & 0xFFFFFFFFFFFFF) + 0x9E3779B97F4A7C15) * key) >> 27 & 0xFFFFFFFF) < drop:
                 continue
-            symbols[i] += symbols[j]
+            symbols[i] = a = a + symbols[j]
             symbols[j] = ""
             right[i] = k = right[j]
             if k >= 0:
                 left[k] = i
-                if (s := scores.get(symbols[i] + symbols[k])) is not None:
-                    heapq.heappush(agenda, (-s, i, len(symbols[i]) + len(symbols[k])))
-            if (h := left[i]) >= 0 and (s := scores.get(symbols[h] + symbols[i])) is not None:
-                heapq.heappush(agenda, (-s, h, len(symbols[h]) + len(symbols[i])))
+                c = symbols[k]
+                if (r := get(a + c)) is not None:
+                    push(agenda, (r << 52) | (i << 26) | (size + len(c)))
+            if (h := left[i]) >= 0:
+                c = symbols[h]
+                if (r := get(c + a)) is not None:
+                    push(agenda, (r << 52) | (h << 26) | (size + len(c)))
         return [s for s in symbols if s]
 
     def encode_unit(self, unit: str, drop: int = 0, key: int = 0) -> bytes:
@@ -95,6 +124,14 @@ class Vocabulary:
         A space mark that stands in the text itself goes to byte pieces, so that
         decoding gives it back.
         """
+        if MARK not in unit and unit[1:2] != " ":
+            out, ids = [], self.ids
+            for s in self.merge([MARK, *unit[1:]], drop, key):
+                if (i := ids.get(s)) is not None:
+                    out.append(i)
+                else:
+                    out += [self.byte_ids[b] for b in s.encode()]
+            return _packed(out)
         spaces = len(unit) - len(unit.lstrip(" "))
         body = unit[spaces:]
         out: list[int] = []
@@ -104,7 +141,7 @@ class Vocabulary:
             for s in self.merge([MARK] * (spaces if k == 0 else 0) + list(part), drop, key + k):
                 i = self.ids.get(s)
                 out += [i] if i is not None else [self.byte_ids[b] for b in s.encode()]
-        return np.array(out, dtype="<u4").tobytes()
+        return _packed(out)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 bytes of the text, without the blank that stands before every text."""

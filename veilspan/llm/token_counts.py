@@ -27,7 +27,8 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, key: str = "doc
     """(key, n_bytes, n_tokens, over_limit, fit_chars): fit_chars characters are the longest prefix within the limit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, cache = vocabulary(model), {}
+        v = vocabulary(model)
+        cache = v.caches.setdefault(("counts",), {})
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, len(batch), 256)):
                 texts = [t or "" for t in part.column(1).to_pylist()]
