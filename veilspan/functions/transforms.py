@@ -51,10 +51,10 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
     return F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), message), 256))), 256)
 
 
-def vault_token(key: bytes, entity: Column, value: Column) -> Column:
-    """A token that is the same for equal (entity, value) under one key."""
+def vault_token(key: bytes, entity: Column, value: Column, prefix: str = "vault_tok_") -> Column:
+    """A token that is the same for equal (entity, value) under one key; set `prefix` to that of tokens already in use."""
     message = F.concat(F.encode(entity, "UTF-8"), F.unhex(F.lit("00")), F.encode(value, "UTF-8"))
-    return F.concat(F.lit("lsdf_tok_"), F.lower(entity), F.lit("_"), F.substring(hmac_sha256(key, message), 1, 20))
+    return F.concat(F.lit(prefix), F.lower(entity), F.lit("_"), F.substring(hmac_sha256(key, message), 1, 20))
 
 
 def splice(text: Column, edits: Column) -> Column:

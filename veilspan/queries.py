@@ -163,7 +163,7 @@ ORACLES = {
     "policy_decide": _policy_cte() + " SELECT entity, surface, action, rule_id, count(*) AS n FROM d GROUP BY ALL",
     "policy_theta_join": _policy_cte() + " SELECT action, rule_id, count(*) AS n FROM d GROUP BY ALL",
     "mask_hash_token": f"""SELECT c_custkey, CASE WHEN length(c_name) <= 4 THEN repeat('*', length(c_name)) ELSE c_name[1:2] || repeat('*', length(c_name) - 4) || right(c_name, 2) END AS masked,
-        '<PERSON:HASH:sha256=' || sha256(c_name)[1:16] || '>' AS hashed, '<PERSON:TOKEN>' AS token, '<PERSON:REDACTED>' AS redacted, 'lsdf_tok_person_' || {_hmac_sql()}[1:20] AS vault_token FROM customer""",
+        '<PERSON:HASH:sha256=' || sha256(c_name)[1:16] || '>' AS hashed, '<PERSON:TOKEN>' AS token, '<PERSON:REDACTED>' AS redacted, 'vault_tok_person_' || {_hmac_sql()}[1:20] AS vault_token FROM customer""",
     "surfaces_conversations": "SELECT CASE role WHEN 'system' THEN 'input.system' WHEN 'developer' THEN 'input.developer' WHEN 'tool' THEN 'input.tool_results' ELSE 'input.messages' END AS surface, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM conversations GROUP BY 1",
     "metrics_percentiles": "SELECT event_type AS name, count(*) AS n, min(value) AS min, list(value ORDER BY value)[round_even((count(*) - 1) * 0.5, 0)::INT + 1] AS p50, list(value ORDER BY value)[round_even((count(*) - 1) * 0.95, 0)::INT + 1] AS p95, max(value) AS max, round(avg(value), 6) AS avg FROM events WHERE value IS NOT NULL GROUP BY 1",
     "metrics_counters": "SELECT 'docs{lang=' || lang || ',source=' || source || '}' AS key, count(*) AS n FROM documents GROUP BY ALL",
