@@ -23,28 +23,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import CACHE_UNITS, keyed, spaced_units, vocabulary
+from .pieces import CACHE_UNITS, keyed, mixed, spaced_units, vocabulary
 
 VARIANTS = 4
 
 
 def encode_text(v, text: str, drop: int, seed: int, variant: int) -> np.ndarray:
-    """Piece ids of a text; units are remembered by variant."""
+    """Piece ids of a text; units are remembered by variant, in a table of two ages: when the young half is full it becomes the old one."""
     units = spaced_units(text) if text else []
-    caches = v.caches.setdefault((drop, seed), {})
-    cache = caches.setdefault(variant, {})
+    young, old = v.caches.setdefault((drop, seed), ({}, {}))
+    cache = young.setdefault(variant, {})
     out = list(map(cache.get, units))
     if None in out:
-        if sum(map(len, caches.values())) > CACHE_UNITS:
-            caches.clear()
-            cache = caches.setdefault(variant, {})
+        seen, salt = old.get(variant, {}), keyed(seed, variant)
         for k, got in enumerate(out):
             if got is None:
                 u = units[k]
                 if (got := cache.get(u)) is None:
-                    key = keyed(seed, variant, xxhash.xxh64_intdigest(u.encode())) if drop else 0
-                    cache[u] = got = v.encode_unit(u, drop, key)
+                    if (got := seen.get(u)) is None:
+                        got = v.encode_unit(u, drop, mixed(salt, xxhash.xxh64_intdigest(u)) if drop else 0)
+                    cache[u] = got
                 out[k] = got
+        if sum(map(len, young.values())) > CACHE_UNITS // 2:
+            v.caches[drop, seed] = ({}, young)
     return np.frombuffer(b"".join(out), dtype="<u4")
 
 

@@ -11,7 +11,8 @@ import heapq
 import re
 import sys
 from array import array
-from functools import lru_cache
+from collections.abc import Sequence
+from functools import lru_cache, reduce
 
 import numpy as np
 
@@ -19,7 +20,7 @@ MARK = "▁"
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*")
 _SPACED = re.compile(" +[^ ]*")
 _M64 = (1 << 64) - 1
-#: Units kept in a worker's table before it is emptied.
+#: Units that a worker's table holds at most.
 CACHE_UNITS = 1_000_000
 
 
@@ -30,15 +31,17 @@ def _packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+def mixed(h: int, part: int) -> int:
+    """A 64-bit hash with one more integer mixed in."""
+    h = ((h ^ (part & _M64)) * 0xBF58476D1CE4E5B9) & _M64
+    h ^= h >> 31
+    h = (h * 0x94D049BB133111EB) & _M64
+    return h ^ h >> 29
+
+
 def keyed(*parts: int) -> int:
     """A 64-bit hash of integers, the same everywhere."""
-    h = 0x9E3779B97F4A7C15
-    for p in parts:
-        h = ((h ^ (p & _M64)) * 0xBF58476D1CE4E5B9) & _M64
-        h ^= h >> 31
-        h = (h * 0x94D049BB133111EB) & _M64
-        h ^= h >> 29
-    return h
+    return reduce(mixed, parts, 0x9E3779B97F4A7C15)
 
 
 class Vocabulary:
@@ -54,7 +57,10 @@ class Vocabulary:
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in special}
         # Ranks of scores, the best first; pieces with one score share a rank.
         order = {x: r for r, x in enumerate(sorted({sp.get_score(i) for i in self.ids.values()}, reverse=True))}
-        self.ranks = {p: order[sp.get_score(i)] for p, i in self.ids.items()}
+        # Agenda entries at place 0: rank and size; those of two characters apart.
+        self.entries = {p: (order[sp.get_score(i)] << 52) | len(p) for p, i in self.ids.items()}
+        self.pairs = {p: e for p, e in self.entries.items() if len(p) == 2}
+        self.packed = {p: _packed([i]) for p, i in self.ids.items()}
         #: Tables of remembered units, kept for the life of the process and bounded by CACHE_UNITS.
         self.caches: dict[tuple, dict] = {}
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in special if sp.is_byte(i)}
@@ -71,52 +77,47 @@ class Vocabulary:
 
     # -- merging ---------------------------------------------------------
 
-    def merge(self, symbols: list[str], drop: int = 0, key: int = 0) -> list[str]:
-        """Symbols after merging by an agenda, best score first, leftmost among equals.
+    def merge(self, text: Sequence[str], drop: int = 0, key: int = 0) -> list[str]:
+        """Pieces of a run of characters after merging by an agenda, best score first, leftmost among equals.
 
         `drop` of 2**32 candidates are skipped: a candidate taken from the agenda is
         passed over when the hash of its place and size under `key` falls below `drop`.
-        An agenda entry is one integer: rank of the score, place, size.
+        An agenda entry is one integer: rank of the score, place, size.  A symbol is
+        known by its place; `end` holds where it ends (0 once it is merged into
+        another), `left` where the symbol before it starts.
         """
-        n = len(symbols)
+        s = text if isinstance(text, str) else "".join(text)
+        n = len(s)
         if n < 2:
-            return symbols
-        get, pop, push = self.ranks.get, heapq.heappop, heapq.heappush
-        symbols = list(symbols)
-        agenda = []
-        before = symbols[0]
-        for i in range(n - 1):
-            after = symbols[i + 1]
-            if (r := get(before + after)) is not None:
-                agenda.append((r << 52) | (i << 26) | (len(before) + len(after)))
-            before = after
+            return list(s)
+        first, get, pop, push = self.pairs.get, self.entries.get, heapq.heappop, heapq.heappush
+        agenda = [r | (i << 26) for i, r in enumerate([first(a + b) for a, b in zip(s, s[1:])]) if r is not None]  # noqa: B905
         if not agenda:
-            return symbols
+            return list(s)
         heapq.heapify(agenda)
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
+        end, left = [*range(1, n + 1), 0], list(range(-1, n))
         key |= 1
         while agenda:
             entry = pop(agenda)
-            i, size = (entry >> 26) & 0x3FFFFFF, entry & 0x3FFFFFF
-            a = symbols[i]
-            j = right[i] if a else -1
-            if j < 0 or len(a) + len(symbols[j]) != size:
+            i = (entry >> 26) & 0x3FFFFFF
+            j = end[i]
+            if not j or j == n or end[j] != i + (entry & 0x3FFFFFF):
                 continue
             if drop and ((((entry & 0xFFFFFFFFFFFFF) + 0x9E3779B97F4A7C15) * key) >> 27 & 0xFFFFFFFF) < drop:
                 continue
-            symbols[i] = a = a + symbols[j]
-            symbols[j] = ""
-            right[i] = k = right[j]
-            if k >= 0:
+            end[i] = k = end[j]
+            end[j] = 0
+            if k < n:
                 left[k] = i
-                c = symbols[k]
-                if (r := get(a + c)) is not None:
-                    push(agenda, (r << 52) | (i << 26) | (size + len(c)))
-            if (h := left[i]) >= 0:
-                c = symbols[h]
-                if (r := get(c + a)) is not None:
-                    push(agenda, (r << 52) | (h << 26) | (size + len(c)))
-        return [s for s in symbols if s]
+                if (r := get(s[i : end[k]])) is not None:
+                    push(agenda, r | (i << 26))
+            if (h := left[i]) >= 0 and (r := get(s[h:k])) is not None:
+                push(agenda, r | (h << 26))
+        out, i = [], 0
+        while i < n:
+            out.append(s[i : end[i]])
+            i = end[i]
+        return out
 
     def encode_unit(self, unit: str, drop: int = 0, key: int = 0) -> bytes:
         """Piece ids of a unit (its spaces written as blanks) as little-endian 32-bit values.
@@ -125,23 +126,23 @@ class Vocabulary:
         decoding gives it back.
         """
         if MARK not in unit and unit[1:2] != " ":
-            out, ids = [], self.ids
-            for s in self.merge([MARK, *unit[1:]], drop, key):
-                if (i := ids.get(s)) is not None:
-                    out.append(i)
-                else:
-                    out += [self.byte_ids[b] for b in s.encode()]
-            return _packed(out)
+            pieces = self.merge(MARK + unit[1:], drop, key)
+            out = list(map(self.packed.get, pieces))
+            return b"".join(out) if None not in out else b"".join(map(self._packed_or_bytes, pieces))
         spaces = len(unit) - len(unit.lstrip(" "))
-        body = unit[spaces:]
-        out: list[int] = []
-        for k, part in enumerate(body.split(MARK)):
+        out = []
+        for k, part in enumerate(unit[spaces:].split(MARK)):
             if k:
-                out += (self.byte_ids[b] for b in MARK.encode())
-            for s in self.merge([MARK] * (spaces if k == 0 else 0) + list(part), drop, key + k):
-                i = self.ids.get(s)
-                out += [i] if i is not None else [self.byte_ids[b] for b in s.encode()]
-        return _packed(out)
+                out.append(self._bytes_of(MARK))
+            out += map(self._packed_or_bytes, self.merge(MARK * (spaces if k == 0 else 0) + part, drop, key + k))
+        return b"".join(out)
+
+    def _bytes_of(self, piece: str) -> bytes:
+        return _packed([self.byte_ids[b] for b in piece.encode()])
+
+    def _packed_or_bytes(self, piece: str) -> bytes:
+        got = self.packed.get(piece)
+        return self._bytes_of(piece) if got is None else got
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 bytes of the text, without the blank that stands before every text."""
@@ -164,7 +165,7 @@ class Vocabulary:
     @lru_cache(maxsize=200_000)  # noqa: B019  one vocabulary a process
     def _stays(self, a: str, b: str) -> bool:
         """Whether pieces a and b next to each other remain two pieces."""
-        return self.merge([*a, *b]) == [a, b]
+        return self.merge(a + b) == [a, b]
 
     def prefix_counts(self, unit: str) -> list[int]:
         """Exact token count of every prefix of a unit, by dynamic programming over its last token.
@@ -177,7 +178,7 @@ class Vocabulary:
         for i in range(1, len(unit) + 1):
             for j in range(max(0, i - self.longest), i):
                 token = unit[j:i]
-                if (token in self.ids or i - j == 1) and (not last[j] or self._stays(last[j], token)) and self.merge(list(token)) == [token]:
+                if (token in self.ids or i - j == 1) and (not last[j] or self._stays(last[j], token)) and self.merge(token) == [token]:
                     counts.append(counts[j] + (1 if token in self.ids else len(token.encode())))
                     last.append(token)
                     break
