@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import CACHE_UNITS, keyed, mixed, spaced_units, vocabulary
+from .pieces import CACHE_UNITS, keyed, mixed, rare_collections, spaced_units, vocabulary
 
 VARIANTS = 4
 
@@ -58,12 +58,13 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, key
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, len(batch), 256)):
                 ids, good = [], []
-                for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    t = t or ""
-                    variant = keyed(seed, int(xxhash.xxh64_intdigest(str(k)))) % variants if drop and k is not None else 0
-                    got = encode_text(v, t, drop, seed, variant)
-                    ids.append(got)
-                    good.append(v.decode(got) == t.encode())
+                with rare_collections():
+                    for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                        t = t or ""
+                        variant = keyed(seed, int(xxhash.xxh64_intdigest(str(k)))) % variants if drop and k is not None else 0
+                        got = encode_text(v, t, drop, seed, variant)
+                        ids.append(got)
+                        good.append(v.decode(got) == t.encode())
                 at = np.zeros(len(ids) + 1, dtype=np.int32)
                 np.cumsum([len(x) for x in ids], out=at[1:])
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, dtype=np.int32)

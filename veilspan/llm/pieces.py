@@ -7,12 +7,15 @@ never cross the start of a unit and units can be encoded one by one.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 import sys
 from array import array
 from collections.abc import Sequence
+from contextlib import contextmanager
 from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 
@@ -44,6 +47,17 @@ def keyed(*parts: int) -> int:
     return reduce(mixed, parts, 0x9E3779B97F4A7C15)
 
 
+@contextmanager
+def rare_collections(young: int = 500_000):
+    """Makes the cycle collector run seldom: merging makes many short lists and no cycles."""
+    old = gc.get_threshold()
+    gc.set_threshold(young, *old[1:])
+    try:
+        yield
+    finally:
+        gc.set_threshold(*old)
+
+
 class Vocabulary:
     """Pieces, their ranks and byte pieces, read from a model file."""
 
@@ -90,8 +104,8 @@ class Vocabulary:
         n = len(s)
         if n < 2:
             return list(s)
-        first, get, pop, push = self.pairs.get, self.entries.get, heapq.heappop, heapq.heappush
-        agenda = [r | (i << 26) for i, r in enumerate([first(a + b) for a, b in zip(s, s[1:])]) if r is not None]  # noqa: B905
+        get, pop, push = self.entries.get, heapq.heappop, heapq.heappush
+        agenda = [r | (i << 26) for i, r in enumerate(map(self.pairs.get, map(add, s, s[1:]))) if r is not None]
         if not agenda:
             return list(s)
         heapq.heapify(agenda)
