@@ -16,7 +16,7 @@ PRIORITY = ("PEM_BLOCK", "PRIVATE_KEY", "AWS_KEY", "API_KEY", "JWT", "BEARER_TOK
 def findings(docs: DataFrame, text: str, policy: Policy, surface: str | Column = "output.content") -> DataFrame:
     """`docs` with `findings`: spans with decisions, allowed ones left out."""
     where = F.lit(surface) if isinstance(surface, str) else surface
-    found = docs.withColumn("_spans", spans(F.col(text), policy.detectors))
+    found = docs.withColumn("_spans", spans(F.col(text), policy.detectors, surface=where))
     decided = F.transform("_spans", lambda s: F.struct(s.alias("span"), decide(policy, s["entity"], where, s["confidence"]).alias("decision")))
     return found.withColumn("findings", F.filter(decided, lambda x: x["decision"]["action"] != "allow")).drop("_spans")
 

@@ -144,4 +144,18 @@ PROFILES = {
         ),
         _SCOPE,
     ),
+    "strict": Policy(
+        "strict",
+        (
+            Rule("block-secrets-everywhere", "block", categories=("SECRET",), severity="critical", priority=100),
+            Rule("tokenize-hard-identifiers-before-model", "tokenize", _NUMBERS, _IDS, surfaces=("input.messages", "input.rag_context", "input.tool_results"), severity="high", priority=60),
+            Rule("block-hard-identifiers-dispatch-surfaces", "block", _NUMBERS, _IDS, surfaces=("output.tool_calls.arguments", "output.reasoning", "logs.traces"), severity="critical", priority=90),
+            Rule("redact-hard-identifiers-final-content", "redact", _NUMBERS, _IDS, surfaces=_CONTENT, severity="high", priority=70),
+            Rule("redact-generic-identity-outbound", "redact", _PEOPLE, surfaces=(*_CONTENT, "output.tool_calls.arguments", "output.reasoning", "logs.traces"), priority=60),
+            Rule("block-prompt-injection-retrieved-surfaces", "block", ("PROMPT_INJECTION",), surfaces=("input.rag_context", "input.tool_results"), severity="critical", priority=95),
+            Rule("log-prompt-injection-user-messages", "redact", ("PROMPT_INJECTION",), surfaces=("input.messages",), on_fail="observe", priority=50),
+        ),
+        (*_SCOPE, "PROMPT_INJECTION"),
+        detectors=("regex", "entropy", "medical-regex", "contextual-anchored", "xpia"),
+    ),
 }
