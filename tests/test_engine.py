@@ -166,7 +166,7 @@ def test_broad_fields_and_shapes():
 def test_tags():
     (s,) = scan("<Tel> +31 20 555. </tel>", ("contextual-anchored",))
     assert (s["entity"], s["value"], s["specificity"]) == ("PHONE", "+31 20 555", 76)
-    assert scan("<passport>A</email>", ("contextual-anchored",)) == []
+    assert scan("<tel>A</email>", ("contextual-anchored",)) == []
 
 
 def test_neighbours_of_anchors():
