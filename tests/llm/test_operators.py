@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilspan.llm import encoding, importance, jaccard, licenses, lm, quality_rules, substrings, tiling, token_counts, toxicity
+from veilspan.llm import encoding, importance, jaccard, licenses, lm, pieces, quality_rules, substrings, tiling, token_counts, toxicity
 from veilspan.llm.pieces import PrefixTable, vocabulary
 from veilspan.llm.queries import model_path, remainder
 from veilspan.llm.tables import components
@@ -252,6 +252,19 @@ def test_prefix_counts(text):
         assert table.fit(budget) == max(k for k, c in enumerate(want) if c <= budget)
 
 
+@pytest.mark.parametrize("drop", [0, 1 << 29, 1 << 31, (1 << 32) - 1])
+def test_matrix_of_agendas_equals_one_agenda(rows, drop):
+    v, rng = vocabulary(model_path()), random.Random(9)
+    letters = ["a", "e", "n", "s", "t", "th", "ing", "\n", "é", "世", "😀", "▁", "0", "\t"]
+    units = [u for _, t in rows[:40] if t for u in pieces.spaced_units(t)]
+    units += [" " * rng.randint(1, 4) + "".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    units = list(dict.fromkeys(units))
+    keys = np.array([pieces.mixed(11, k) for k in range(len(units))], dtype=np.uint64)
+    assert (keys == pieces.mixed_all(11, np.arange(len(units), dtype=np.uint64))).all()
+    assert v.encode_units(units, drop, keys) == [v.encode_unit(u, drop, k) for u, k in zip(units, keys.tolist(), strict=True)]
+    assert v.encode_units([], drop, keys[:0]) == []
+
+
 def test_encoding(docs, rows, none):
     v = vocabulary(model_path())
     texts = dict(rows)

@@ -19,34 +19,64 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import CACHE_UNITS, keyed, mixed, rare_collections, spaced_units, vocabulary
+from .pieces import CACHE_UNITS, keyed, mixed_all, rare_collections, spaced_units, vocabulary
 
 VARIANTS = 4
+#: Bytes of text whose new units are merged together.
+RUN_BYTES = 2 << 20
 
 
-def encode_text(v, text: str, drop: int, seed: int, variant: int) -> np.ndarray:
-    """Piece ids of a text; units are remembered by variant, in a table of two ages: when the young half is full it becomes the old one."""
-    units = spaced_units(text) if text else []
+def encode_texts(v, texts: list[str], drop: int, seed: int, variants: list[int]) -> list[np.ndarray]:
+    """Piece ids of each text under its variant.
+
+    Units are remembered by variant, in a table of two ages: when the young half
+    is full it becomes the old one.  All units of the texts that are not
+    remembered are merged together.
+    """
     young, old = v.caches.setdefault((drop, seed), ({}, {}))
-    cache = young.setdefault(variant, {})
-    out = list(map(cache.get, units))
-    if None in out:
-        seen, salt = old.get(variant, {}), keyed(seed, variant)
-        for k, got in enumerate(out):
-            if got is None:
-                u = units[k]
-                if (got := cache.get(u)) is None:
+    units = [spaced_units(t) if t else [] for t in texts]
+    packed = [list(map(young.setdefault(variant, {}).get, us)) for us, variant in zip(units, variants, strict=True)]
+    missing: dict[int, dict[str, None]] = {}
+    for us, out, variant in zip(units, packed, variants, strict=True):
+        if None in out:
+            cache, seen, new = young[variant], old.get(variant, {}), missing.setdefault(variant, {})
+            for u, got in zip(us, out, strict=True):
+                if got is None:
                     if (got := seen.get(u)) is None:
-                        got = v.encode_unit(u, drop, mixed(salt, xxhash.xxh64_intdigest(u)) if drop else 0)
-                    cache[u] = got
-                out[k] = got
-        if sum(map(len, young.values())) > CACHE_UNITS // 2:
-            v.caches[drop, seed] = ({}, young)
-    return np.frombuffer(b"".join(out), dtype="<u4")
+                        new[u] = None
+                    else:
+                        cache[u] = got
+    for variant, new in missing.items():
+        digests = np.fromiter(map(xxhash.xxh64_intdigest, new), dtype=np.uint64, count=len(new)) if drop else np.zeros(len(new), dtype=np.uint64)
+        keys = mixed_all(keyed(seed, variant), digests) if drop else digests
+        young[variant].update(zip(new, v.encode_units(list(new), drop, keys), strict=True))
+    ids = []
+    for us, out, variant in zip(units, packed, variants, strict=True):
+        ids.append(np.frombuffer(b"".join(map(young[variant].__getitem__, us) if None in out else out), dtype="<u4"))
+    if sum(map(len, young.values())) > CACHE_UNITS // 2:
+        v.caches[drop, seed] = ({}, young)
+    return ids
+
+
+def encode_text(v, text: str, drop: int, seed: int, variant: int) -> np.ndarray:
+    """Piece ids of one text."""
+    return encode_texts(v, [text], drop, seed, [variant])[0]
+
+
+def runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of a batch with about RUN_BYTES of text, or one row with more."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), dtype=np.int64))
+    first = 0
+    while first < len(batch):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + RUN_BYTES, side="right")))
+        yield batch.slice(first, last - first)
+        first = last
 
 
 def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, key: str = "doc_id", text: str = "text", variants: int = VARIANTS) -> DataFrame:
@@ -56,15 +86,12 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, key
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, len(batch), 256)):
-                ids, good = [], []
+            for part in runs(batch):
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                chosen = [keyed(seed, int(xxhash.xxh64_intdigest(str(k)))) % variants if drop and k is not None else 0 for k in part.column(0).to_pylist()]
                 with rare_collections():
-                    for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                        t = t or ""
-                        variant = keyed(seed, int(xxhash.xxh64_intdigest(str(k)))) % variants if drop and k is not None else 0
-                        got = encode_text(v, t, drop, seed, variant)
-                        ids.append(got)
-                        good.append(v.decode(got) == t.encode())
+                    ids = encode_texts(v, texts, drop, seed, chosen)
+                    good = [v.decode(got) == t.encode() for got, t in zip(ids, texts, strict=True)]
                 at = np.zeros(len(ids) + 1, dtype=np.int32)
                 np.cumsum([len(x) for x in ids], out=at[1:])
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, dtype=np.int32)

@@ -25,6 +25,9 @@ _SPACED = re.compile(" +[^ ]*")
 _M64 = (1 << 64) - 1
 #: Units that a worker's table holds at most.
 CACHE_UNITS = 1_000_000
+#: Units up to the last of these lengths are merged in matrices of that many columns, so many rows at once.
+WIDTHS = (4, 6, 8, 10, 12, 16, 24)
+ROWS = 16_384
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -42,6 +45,14 @@ def mixed(h: int, part: int) -> int:
     return h ^ h >> 29
 
 
+def mixed_all(h: int, parts: np.ndarray) -> np.ndarray:
+    """mixed() of one hash with each of an array of unsigned integers."""
+    out = (parts ^ np.uint64(h)) * np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(31)
+    out *= np.uint64(0x94D049BB133111EB)
+    return out ^ out >> np.uint64(29)
+
+
 def keyed(*parts: int) -> int:
     """A 64-bit hash of integers, the same everywhere."""
     return reduce(mixed, parts, 0x9E3779B97F4A7C15)
@@ -75,6 +86,7 @@ class Vocabulary:
         self.entries = {p: (order[sp.get_score(i)] << 52) | len(p) for p, i in self.ids.items()}
         self.pairs = {p: e for p, e in self.entries.items() if len(p) == 2}
         self.packed = {p: _packed([i]) for p, i in self.ids.items()}
+        self._tables: tuple[np.ndarray, ...] | None = None
         #: Tables of remembered units, kept for the life of the process and bounded by CACHE_UNITS.
         self.caches: dict[tuple, dict] = {}
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in special if sp.is_byte(i)}
@@ -133,6 +145,125 @@ class Vocabulary:
             i = end[i]
         return out
 
+    def _pair_tables(self) -> tuple[np.ndarray, ...]:
+        """(symbol of each code point, sorted pairs of symbols, their merged symbols, ranks and sizes).
+
+        A symbol is a piece's id, or -2 - c for a code point c that is no piece.
+        """
+        if self._tables is None:
+            symbol = -2 - np.arange(0x110000, dtype=np.int64)
+            merges = {}
+            for p, i in self.ids.items():
+                if len(p) == 1:
+                    symbol[ord(p)] = i
+                for k in range(1, len(p)):
+                    a, b = self.ids.get(p[:k]), self.ids.get(p[k:])
+                    if a is not None and b is not None:
+                        merges[a << 32 | b] = (i, self.entries[p] >> 52, len(p))
+            pairs = np.array(sorted(merges), dtype=np.int64)
+            made = np.array([merges[x] for x in pairs.tolist()], dtype=np.int64).reshape(-1, 3)
+            self._tables = symbol, pairs, *made.T.copy()
+        return self._tables
+
+    def encode_units(self, units: Sequence[str], drop: int, keys: np.ndarray) -> list[bytes]:
+        """encode_unit() of many units: the agendas of units of like length are rows of one matrix, and each round takes the best entry of every row.
+
+        A candidate is known by its place and size, so one that was passed over
+        stays so, however often it would enter the agenda; rows then hold just
+        the candidates that are not skipped.  Long units and units with space
+        marks of the text itself are merged one by one.
+        """
+        out: list[bytes | None] = [None] * len(units)
+        symbol = self._pair_tables()[0]
+        widths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        symbols = symbol[np.where(points == 0x20, ord(MARK), points)]
+        ends = np.cumsum(widths)
+        plain = np.add.reduceat(points == ord(MARK), ends - widths) == 0 if len(units) else np.empty(0, dtype=bool)
+        low = 0
+        for width in WIDTHS:
+            rows = np.flatnonzero(plain & (widths > low) & (widths <= width))
+            low = width
+            for at in range(0, len(rows), ROWS):
+                some = rows[at : at + ROWS]
+                place = np.arange(width)
+                inside = place < widths[some, None]
+                matrix = np.where(inside, symbols[np.minimum((ends - widths)[some, None] + place, len(symbols) - 1)], -1)
+                for i, got in zip(some.tolist(), self._merge_rows(matrix, drop, keys[some]), strict=True):
+                    out[i] = got
+        return [self.encode_unit(units[i], drop, int(keys[i])) if got is None else got for i, got in enumerate(out)]
+
+    def _merge_rows(self, symbols: np.ndarray, drop: int, keys: np.ndarray) -> list[bytes]:
+        """Packed pieces of each row of symbols; rows are filled up with -1."""
+        _, pairs, made, ranks, sizes = self._pair_tables()
+        n, width = symbols.shape
+        keys = (keys | np.uint64(1)).astype(np.uint64)
+        starts = np.broadcast_to(np.arange(width, dtype=np.int64), (n, width)).copy()
+        result, alive = symbols.copy(), np.arange(n)
+        none = np.int64(1 << 62)
+
+        def candidates(a: np.ndarray, b: np.ndarray, place: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(rank and place, merged symbol) of neighbours a and b; `none` where they make no piece or are skipped."""
+            wanted = (a << 32) | b
+            k = np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)
+            bad = (pairs[k] != wanted) | (a < 0) | (b < 0)
+            if drop:
+                draw = (((place << 26) | sizes[k]).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * key
+                bad |= ((draw >> np.uint64(27)) & np.uint64(0xFFFFFFFF)) < np.uint64(drop)
+            return np.where(bad, none, (ranks[k] << 26) | place), made[k]
+
+        agenda, merged = candidates(symbols[:, :-1], symbols[:, 1:], starts[:, :-1], keys[:, None])
+        columns = np.arange(width)
+        while len(alive) and agenda.shape[1]:
+            best = agenda.argmin(axis=1)
+            row = np.arange(len(alive))
+            going = agenda[row, best] < none
+            if not going.all():
+                done = ~going
+                result[alive[done], : symbols.shape[1]] = symbols[done]
+                result[alive[done], symbols.shape[1] :] = -1
+                alive, symbols, starts, agenda, merged, keys, best = alive[going], symbols[going], starts[going], agenda[going], merged[going], keys[going], best[going]
+                row = row[: len(alive)]
+                if not len(alive):
+                    break
+            symbols[row, best] = merged[row, best]
+            # What lies right of the merged pair moves one column to the left; the candidate of the pair goes.
+            w = symbols.shape[1]
+            keep = columns[: w - 1] + (columns[: w - 1] > best[:, None])
+            symbols, starts = symbols[row[:, None], keep], starts[row[:, None], keep]
+            gone = columns[: w - 2] + (columns[: w - 2] >= best[:, None])
+            agenda, merged = agenda[row[:, None], gone], merged[row[:, None], gone]
+            for step in (-1, 0):
+                at = best + step
+                r = np.flatnonzero((at >= 0) & (at < w - 2))
+                c = at[r]
+                agenda[r, c], merged[r, c] = candidates(symbols[r, c], symbols[r, c + 1], starts[r, c], keys[r])
+        if len(alive):
+            result[alive, : symbols.shape[1]] = symbols
+            result[alive, symbols.shape[1] :] = -1
+        return self._packed_rows(result)
+
+    def _packed_rows(self, rows: np.ndarray) -> list[bytes]:
+        """Packed piece ids of rows of symbols, code points without a piece as byte pieces."""
+        held = rows != -1
+        flat, sizes = rows[held], np.ones(held.sum(), dtype=np.int64)
+        odd = np.flatnonzero(flat < 0)
+        if len(odd):
+            points, which = np.unique(-2 - flat[odd], return_inverse=True)
+            spelled = [[self.byte_ids[b] for b in chr(c).encode()] for c in points.tolist()]
+            table, lengths = np.array([(x * 4)[:4] for x in spelled]), np.array([len(x) for x in spelled])
+            sizes[odd] = lengths[which]
+            at = np.cumsum(sizes) - sizes
+            out = np.repeat(flat, sizes)
+            for j in range(4):
+                some = lengths[which] > j
+                out[at[odd[some]] + j] = table[which[some], j]
+            flat = out
+        data = flat.astype("<u4").tobytes()
+        per_row = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(held.sum(axis=1))])]
+        stops = (4 * per_row).tolist()
+        return [data[a:b] for a, b in zip(stops, stops[1:])]  # noqa: B905
+
     def encode_unit(self, unit: str, drop: int = 0, key: int = 0) -> bytes:
         """Piece ids of a unit (its spaces written as blanks) as little-endian 32-bit values.
 
