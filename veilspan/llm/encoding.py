@@ -24,11 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import CACHE_UNITS, keyed, mixed_all, rare_collections, spaced_units, vocabulary
+from .pieces import keyed, mixed_all, rare_collections, spaced_units, vocabulary
 
 VARIANTS = 4
 #: Bytes of text whose new units are merged together.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
+#: Encoded units that a worker remembers at most, about 220 bytes each: workers outlive the stage and share an executor with the next one.
+REMEMBERED = 300_000
 
 
 def encode_texts(v, texts: list[str], drop: int, seed: int, variants: list[int]) -> list[np.ndarray]:
@@ -58,7 +60,7 @@ def encode_texts(v, texts: list[str], drop: int, seed: int, variants: list[int])
     ids = []
     for us, out, variant in zip(units, packed, variants, strict=True):
         ids.append(np.frombuffer(b"".join(map(young[variant].__getitem__, us) if None in out else out), dtype="<u4"))
-    if sum(map(len, young.values())) > CACHE_UNITS // 2:
+    if sum(map(len, young.values())) > REMEMBERED // 2:
         v.caches[drop, seed] = ({}, young)
     return ids
 

@@ -27,7 +27,7 @@ _M64 = (1 << 64) - 1
 CACHE_UNITS = 1_000_000
 #: Units up to the last of these lengths are merged in matrices of that many columns, so many rows at once.
 WIDTHS = (4, 6, 8, 10, 12, 16, 24)
-ROWS = 16_384
+ROWS = 4_096
 
 
 def _packed(ids: list[int]) -> bytes:
