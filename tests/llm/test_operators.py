@@ -349,3 +349,20 @@ def test_spark_hash(spark):
     ids = [0, 1, -5, 123456789012345]
     want = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i long").select(F.xxhash64("i")).collect()]
     assert xxhash64_of_longs(np.array(ids)).tolist() == want
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_every_license_template_is_found(name):
+    """The best template of each wording is its own, and no other has the same bigrams."""
+    table = {k: set(licenses._template_bigrams(t)) for k, t in licenses.TEMPLATES.items()}
+    assert table[name] and [k for k, b in table.items() if b == table[name]] == [name]
+
+
+def test_license_families_and_bodies(spark):
+    short = [f"Licensed under CC {c} {v}." for c in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for v in ("4.0", "3.0")]
+    bodies = {k: t for k, t in licenses.TEMPLATES.items() if k.endswith("-body")}
+    assert {"MIT-body", "BSD-2-Clause-body", "BSD-3-Clause-body", "Apache-2.0-body", "GPL-2.0-body", "GPL-3.0-body", "MPL-2.0-body", "ISC-body", "Zlib-body", "Unlicense-body"} <= set(bodies)
+    texts = dict(enumerate([*short, *bodies.values(), "Released under the ISC License.", "Licensed under the Eclipse Public License 2.0."]))
+    want = [f"CC-{t.split()[3]}-{t.split()[4][:3]}-short" for t in short] + [*bodies, "ISC", "EPL-2.0-short"]
+    got = {r.doc_id: [m.license for m in r.matches if m.unit == 0 or m.unit == 1 and texts[r.doc_id].count("\n") == 0] for r in licenses.scan(frame(spark, list(texts.items()))).collect()}
+    assert got == {i: [w] for i, w in enumerate(want)}

@@ -5,8 +5,8 @@ of characters other than letters and digits becomes one blank) and compared
 with licence templates by the Dice coefficient over sets of word bigrams.  A
 unit with b bigrams can reach the threshold t against a template with c
 bigrams only if t/(2-t) <= b/c <= (2-t)/t, so templates whose size lies outside
-are pruned before any bigram of the unit is built.  Texts without any of the
-words that a match needs are set aside by substring search before that.
+are pruned.  Texts without any of the bigrams that a match needs are set aside
+before that.
 
 Everything is one narrow projection of built-in functions: no shuffle, no
 Python.  Templates are literals in the plan; their number is fixed.
@@ -19,14 +19,15 @@ results; columns other than the key and the text are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+import json
+from collections.abc import Callable
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Wordings of licence notices, in natural order.
-TEMPLATES = {
+NOTICES = {
     "AGPL-3.0": "Licensed under the GNU Affero General Public License, version 3.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
@@ -42,8 +43,42 @@ TEMPLATES = {
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Proprietary": "All rights reserved.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    "EPL-2.0-short": "Licensed under the Eclipse Public License 2.0.",
+    "GPL-2.0-short": "Licensed under the GNU General Public License, version 2.",
+    "GPL-3.0-short": "Licensed under the GNU General Public License, version 3.",
+    "ISC": "Released under the ISC License.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "MIT-short": "Licensed under the MIT License.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Unlicense-short": "Released under the Unlicense.",
+    "Zlib": "Released under the zlib License.",
 }
 
+#: The Creative Commons family: code and name of each licence.
+_COMMONS = {
+    "BY": "Attribution",
+    "BY-NC": "Attribution-NonCommercial",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-ND": "Attribution-NoDerivatives",
+    "BY-SA": "Attribution-ShareAlike",
+}
+for _code, _name in _COMMONS.items():
+    for _version, _port in (("4.0", "International"), ("3.0", "Unported")):
+        NOTICES[f"CC-{_code}-{_version}"] = f"This work is licensed under a Creative Commons {_name} {_version} {_port} License."
+        NOTICES[f"CC-{_code}-{_version}-short"] = f"Licensed under CC {_code} {_version}."
+NOTICES["CC0-1.0-short"] = "Licensed under CC0 1.0."
+
+
+def _bodies() -> dict[str, str]:
+    """Complete licence texts, by the name of their file."""
+    folder = files(__package__) / "license_texts"
+    return {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in folder.iterdir() if f.name.endswith(".txt")}
+
+
+TEMPLATES = NOTICES | _bodies()
+
 
 def words_of(text: Column) -> Column:
     """The normalised words of `text` as an array."""
@@ -63,61 +98,61 @@ def _template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
 
 
-def necessary_words(table: dict[str, list[str]], threshold: float) -> list[str]:
-    """Words of which a unit must hold at least one to reach the threshold with any template.
+def necessary_bigrams(grams: list[str], threshold: float, chosen: set[str] = frozenset()) -> list[str]:
+    """Bigrams of which a unit must hold at least one to reach the threshold with a template.
 
-    With bounded sizes, the two sets share more than threshold/(2-threshold) of a
-    template's bigrams.  Words are chosen that touch more bigrams than may be
-    missing, so a match cannot do without all of them.
+    With bounded sizes, the two sets share threshold/(2-threshold) of a template's
+    bigrams at least, so one more than may be missed cannot all be missing.  Long
+    ones, and those that other templates chose, are preferred: prose has few of them.
     """
-    chosen: list[str] = []
-    for grams in table.values():
-        may_miss = int(len(grams) * (1 - threshold / (2 - threshold)) + 1e-9)
-        words = sorted({w for g in grams for w in g.split(" ")}, key=lambda w: (w not in chosen, -len(w), w))
-        touched: set[str] = set()
-        for w in words:
-            if len(touched) > may_miss:
-                break
-            more = {g for g in grams if w in g.split(" ")}
-            if not more <= touched:
-                touched |= more
-                chosen += [w] if w not in chosen else []
-    return chosen
+    may_miss = int(len(grams) * (1 - threshold / (2 - threshold)) + 1e-9)
+    return sorted(grams, key=lambda g: (g not in chosen, -len(g), g))[: may_miss + 1]
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, threshold: float = 0.9) -> DataFrame:
     """(key, n_units, matches): matches is an array of (unit, license, dice), unit 0 the whole text, else the line's number."""
     table = {k: b for k, v in sorted((TEMPLATES if templates is None else templates).items()) if (b := _template_bigrams(v))}
     kind = "array<struct<unit:int,license:string,dice:double>>"
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = F.split(body, "\n", -1)
     if not table:
         return docs.select(F.col(key), F.size(lines).alias("n_units"), F.array().cast(kind).alias("matches"))
-    names, low, high = list(table), threshold / (2 - threshold), (2 - threshold) / threshold
-    least, most = min(map(len, table.values())) * low, max(map(len, table.values())) * high
-    unit = lambda i, u: F.struct(F.lit(i).alias("i") if isinstance(i, int) else (i + 1).alias("i"), words_of(u).alias("w"))
-    units = F.concat(
-        F.when(F.size(lines) > 1, F.array(unit(0, body))).otherwise(F.array().cast("array<struct<i:int,w:array<string>>>")),
-        F.transform(lines, lambda u, i: unit(i, u)),
-    )
-    # b bigrams come from b+1 words at least, and d distinct words make d-1 bigrams at least.
-    near = F.filter(units, lambda x: (F.size(x["w"]) - 1 >= least) & (F.size(F.array_distinct(x["w"])) - 1 <= most))
-    split = F.transform(near, lambda x: F.struct(x["i"].alias("i"), bigrams_of(x["w"]).alias("b")))
-
-    def against(x: Column) -> Column:
-        n = F.size(x["b"])
-        scored = [
-            F.struct(
-                F.when(n.between(len(b) * low, len(b) * high), F.lit(2.0) * F.size(F.array_intersect(x["b"], F.array(*map(F.lit, b)))) / (n + len(b))).otherwise(F.lit(0.0)).alias("dice"),
-                F.lit(-k).alias("rank"),
-            )
-            for k, b in enumerate(table.values())
-        ]
-        return F.struct(x["i"].alias("unit"), F.array_max(F.array(*scored)).alias("best"))
-
-    found = F.filter(F.transform(split, against), lambda m: m["best"]["dice"] >= threshold)
-    named = F.transform(found, lambda m: F.struct(m["unit"].alias("unit"), F.element_at(F.array(*map(F.lit, names)), 1 - m["best"]["rank"]).alias("license"), m["best"]["dice"].alias("dice")))
-    # Most texts hold none of the words that a match needs; they are done after a few substring searches.
-    lowered = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias(text), F.lower(F.col(text).cast("string")).alias("_lower"))
-    possible = F.coalesce(reduce(or_, (F.contains("_lower", F.lit(w)) for w in necessary_words(table, threshold))), F.lit(False))
-    return lowered.select(F.col("_key").alias(key), (F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).alias("n_units"), F.when(possible, named.cast(kind)).otherwise(F.array().cast(kind)).alias("matches"))
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    must: dict[str, list[str]] = {}
+    for k, b in sorted(table.items(), key=lambda x: len(x[1])):
+        must[k] = necessary_bigrams(b, threshold, set().union(*must.values()))
+    # One string in the plan, folded to an array of structs.
+    rows = [{"rank": i, "license": k, "grams": b, "must": must[k], "low": len(b) * low, "high": len(b) * high} for i, (k, b) in enumerate(table.items())]
+    known = F.from_json(F.lit(json.dumps(rows)), "array<struct<rank:int,license:string,grams:array<string>,must:array<string>,low:double,high:double>>")
+    needed_words = F.split(F.lit(" ".join(sorted({max(g.split(" "), key=len) for b in must.values() for g in b}))), " ")
+    needed = F.split(F.lit("\n".join(sorted(set().union(*must.values())))), "\n")
+
+    def best(unit: Column, grams: Column, near: Column) -> Column:
+        """(unit, best) of a unit against the templates in `near`."""
+        n = F.size(grams)
+        fits = F.filter(near, lambda t: n.between(t["low"], t["high"]))
+        scored = F.transform(fits, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(grams, t["grams"])) / (n + F.size(t["grams"]))).alias("dice"), (-t["rank"]).alias("rank"), t["license"].alias("license")))
+        return F.struct(unit.alias("unit"), F.array_max(scored).alias("best"))
+
+    def units(words: Column, grams: Column, near: Column) -> Column:
+        """Matches of the whole text and of its lines."""
+        all_units = F.concat(F.when(F.size(words) > 1, F.array(best(F.lit(0), grams, near))).otherwise(F.array().cast("array<struct<unit:int,best:struct<dice:double,rank:int,license:string>>>")), F.transform(words, lambda w, i: let(bigrams_of(w), lambda b: best(i + 1, b, near))))
+        found = F.filter(all_units, lambda m: m["best"]["dice"] >= threshold)
+        return F.transform(found, lambda m: F.struct(m["unit"].alias("unit"), m["best"]["license"].alias("license"), m["best"]["dice"].alias("dice")))
+
+    def matches(words: Column) -> Column:
+        """Most texts hold none of the words, or none of the bigrams, that a match needs; they are done there."""
+        none = F.array().cast(kind)
+
+        def of(grams: Column) -> Column:
+            return let(F.array_intersect(grams, needed), lambda hits: F.when(F.size(hits) == 0, none).otherwise(let(F.filter(known, lambda t: F.arrays_overlap(t["must"], hits)), lambda near: let(F.transform(lines, words_of), lambda parts: units(parts, grams, near).cast(kind)))))
+
+        return F.when(F.arrays_overlap(words, needed_words), let(bigrams_of(words), of)).otherwise(none)
+
+    n_units = F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1
+    return docs.select(F.col(key), n_units.alias("n_units"), let(words_of(body), matches).alias("matches"))
