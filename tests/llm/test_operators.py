@@ -366,3 +366,21 @@ def test_license_families_and_bodies(spark):
     want = [f"CC-{t.split()[3]}-{t.split()[4][:3]}-short" for t in short] + [*bodies, "ISC", "EPL-2.0-short"]
     got = {r.doc_id: [m.license for m in r.matches if m.unit == 0 or m.unit == 1 and texts[r.doc_id].count("\n") == 0] for r in licenses.scan(frame(spark, list(texts.items()))).collect()}
     assert got == {i: [w] for i, w in enumerate(want)}
+
+
+def test_license_windows(spark):
+    """Notices over several lines, beside other sentences and inside long lines; each is reported once."""
+    mit, prose = licenses.TEMPLATES["MIT-body"], " ".join(f"prose of the w{i} author" for i in range(150))
+    texts = {
+        1: "See below. Released under the MIT License.",
+        2: "Released under the MIT License. All rights reserved.",
+        3: "x\nThis file is\nLicensed under the Apache\nLicense, Version 2.0.\ny",
+        4: f"{prose} Released under the MIT License. {prose}",
+        5: f"{prose}\n{mit}\n{prose}",
+        6: f"{prose}\n" + licenses.TEMPLATES["Apache-2.0-body"].strip() + f"\n{prose}",
+        7: "Released under the MIT License.\nmore text",
+        8: prose,
+        9: 'Licensed under the Apache License, Version 2.0 (the "License");',
+    }
+    got = {r.doc_id: [(m.unit, m.license) for m in r.matches] for r in licenses.scan(frame(spark, list(texts.items()))).collect()}
+    assert got == {1: [(1, "MIT")], 2: [(1, "MIT"), (1, "Proprietary")], 3: [(3, "Apache-2.0")], 4: [(1, "MIT")], 5: [(2, "MIT-body")], 6: [(2, "Apache-2.0-body")], 7: [(1, "MIT")], 8: [], 9: [(1, "Apache-2.0")]}

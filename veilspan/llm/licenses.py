@@ -5,7 +5,10 @@ of characters other than letters and digits becomes one blank) and compared
 with licence templates by the Dice coefficient over sets of word bigrams.  A
 unit with b bigrams can reach the threshold t against a template with c
 bigrams only if t/(2-t) <= b/c <= (2-t)/t, so templates whose size lies outside
-are pruned.  Texts without any of the bigrams that a match needs are set aside
+are pruned.  Windows of words, over the ends of lines too, are compared in the
+same way; one is reported, under the line where it starts, if no matched line
+holds half of its words and the whole text does not match.  Of windows that
+overlap, the one that shares most bigrams with its template stays.  Texts without any of the bigrams that a match needs are set aside
 before that.
 
 Everything is one narrow projection of built-in functions: no shuffle, no
@@ -78,6 +81,9 @@ def _bodies() -> dict[str, str]:
 
 
 TEMPLATES = NOTICES | _bodies()
+#: Templates of more bigrams than this have windows that start and end at runs of three shared bigrams.
+LONG = 120
+FOUND = "array<struct<shared:int,dice:double,rank:int,i:int,j:int,license:string>>"
 
 
 def words_of(text: Column) -> Column:
@@ -85,16 +91,30 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]+", " "), " "), lambda w: w != "")
 
 
+def all_bigrams_of(words: Column) -> Column:
+    """The bigrams of an array of words in their order."""
+    left, right = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
+    return F.zip_with(left, right, lambda a, b: F.concat_ws(" ", a, b))
+
+
 def bigrams_of(words: Column) -> Column:
     """The set of bigrams of an array of words."""
     left, right = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
     return F.array_distinct(F.zip_with(left, right, lambda a, b: F.concat_ws(" ", a, b)))
 
 
-def _template_bigrams(text: str) -> list[str]:
+def _template_words(text: str) -> list[str]:
     import re
 
-    w = [x for x in re.sub(r"[\W_]+", " ", text.lower()).split(" ") if x]
+    return [x for x in re.sub(r"[\W_]+", " ", text.lower()).split(" ") if x]
+
+
+def _n_bigrams(text: str) -> int:
+    return len(_template_words(text)) - 1
+
+
+def _template_bigrams(text: str) -> list[str]:
+    w = _template_words(text)
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
 
 
@@ -115,8 +135,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, threshold: float = 0.9) -> DataFrame:
-    """(key, n_units, matches): matches is an array of (unit, license, dice), unit 0 the whole text, else the line's number."""
-    table = {k: b for k, v in sorted((TEMPLATES if templates is None else templates).items()) if (b := _template_bigrams(v))}
+    """(key, n_units, matches): matches is an array of (unit, license, dice), unit 0 the whole text, else the line's number; those of windows come last."""
+    wordings = TEMPLATES if templates is None else templates
+    table = {k: b for k, v in sorted(wordings.items()) if (b := _template_bigrams(v))}
     kind = "array<struct<unit:int,license:string,dice:double>>"
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = F.split(body, "\n", -1)
@@ -127,8 +148,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: di
     for k, b in sorted(table.items(), key=lambda x: len(x[1])):
         must[k] = necessary_bigrams(b, threshold, set().union(*must.values()))
     # One string in the plan, folded to an array of structs.
-    rows = [{"rank": i, "license": k, "grams": b, "must": must[k], "low": len(b) * low, "high": len(b) * high} for i, (k, b) in enumerate(table.items())]
-    known = F.from_json(F.lit(json.dumps(rows)), "array<struct<rank:int,license:string,grams:array<string>,must:array<string>,low:double,high:double>>")
+    rows = [{"rank": i, "license": k, "grams": b, "must": must[k], "low": len(b) * low, "high": len(b) * high, "size": len(b), "most": int(_n_bigrams(wordings[k]) * high)} for i, (k, b) in enumerate(table.items())]
+    known = F.from_json(F.lit(json.dumps(rows)), "array<struct<rank:int,license:string,grams:array<string>,must:array<string>,low:double,high:double,size:int,most:int>>")
     needed_words = F.split(F.lit(" ".join(sorted({max(g.split(" "), key=len) for b in must.values() for g in b}))), " ")
     needed = F.split(F.lit("\n".join(sorted(set().union(*must.values())))), "\n")
 
@@ -145,12 +166,54 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: di
         found = F.filter(all_units, lambda m: m["best"]["dice"] >= threshold)
         return F.transform(found, lambda m: F.struct(m["unit"].alias("unit"), m["best"]["license"].alias("license"), m["best"]["dice"].alias("dice")))
 
+    def windows(grams: Column, line_of: Column, known_units: Column, near: Column) -> Column:
+        """Matches of windows of words that no line and not the whole text stands for; the unit is the line where one starts.
+
+        Giving up bigrams at an end that the template lacks, or taking in more that
+        it holds, never lowers the coefficient; so the best windows start and end
+        where runs of the template's bigrams do.
+        """
+        def of(t: Column) -> Column:
+            size, least = t["size"], t["low"]
+            # Texts of many bigrams: only runs of three and more are taken as ends, single shared bigrams lie everywhere.
+            run = F.when(size > LONG, 3).otherwise(1)
+
+            def search(hit: Column) -> Column:
+                at = lambda i: F.coalesce(F.get(hit, i), F.lit(False))
+                places = F.filter(F.transform(hit, lambda h, i: F.when(h, i)), lambda i: i.isNotNull())
+                whole = lambda i, step: (run == 1) | (at(i + step) & at(i + 2 * step))
+                starts = F.filter(places, lambda i: ~at(i - 1) & whole(i, 1))
+                ends = F.filter(places, lambda i: ~at(i + 1) & whole(i, -1))
+
+                def score(i: Column, j: Column) -> Column:
+                    return let(F.array_distinct(F.slice(grams, i + 1, j - i + 1)), lambda b: let(F.size(F.array_intersect(b, t["grams"])), lambda n: F.struct((-n).alias("shared"), (F.lit(-2.0) * n / (F.size(b) + F.size(t["grams"]))).alias("dice"), t["rank"].alias("rank"), i.alias("i"), j.alias("j"), t["license"].alias("license"))))
+
+                pairs = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(ends, lambda j: (j >= i) & (j - i + 1 >= least) & (j - i + 1 <= t["most"])), lambda j: score(i, j))))
+                return F.filter(pairs, lambda m: -m["dice"] >= threshold)
+
+            enough = F.size(F.array_intersect(t["grams"], grams)) >= least
+            return F.when(enough, let(F.transform(grams, lambda g: F.array_contains(t["grams"], g)), search)).otherwise(F.array().cast(FOUND))
+
+        def seen(m: Column) -> Column:
+            """Whether a matched line holds half of the window's words, or the whole text matched."""
+            inside = lambda u: F.size(F.filter(F.slice(line_of, m["i"] + 1, m["j"] - m["i"] + 2), lambda k: k == u))
+            return F.exists(known_units, lambda u: (u["unit"] == 0) | (2 * inside(u["unit"]) >= m["j"] - m["i"] + 2))
+
+        found = F.array_sort(F.filter(F.flatten(F.transform(near, of)), lambda m: ~seen(m)))
+        # Most shared bigrams first; what overlaps a window taken before goes.
+        taken = F.aggregate(found, F.array().cast(FOUND), lambda kept, m: F.when(F.exists(kept, lambda k: (k["i"] <= m["j"]) & (m["i"] <= k["j"])), kept).otherwise(F.concat(kept, F.array(m))))
+        return F.transform(F.array_sort(F.transform(taken, lambda m: F.struct(m["i"].alias("i"), m["license"].alias("license"), (-m["dice"]).alias("dice")))), lambda m: F.struct(F.get(line_of, m["i"]).alias("unit"), m["license"].alias("license"), m["dice"].alias("dice")))
+
     def matches(words: Column) -> Column:
         """Most texts hold none of the words, or none of the bigrams, that a match needs; they are done there."""
         none = F.array().cast(kind)
 
+        def both(parts: Column, grams: Column, near: Column) -> Column:
+            line_of = F.flatten(F.transform(parts, lambda w, i: F.array_repeat(i + 1, F.size(w))))
+            return let(units(parts, grams, near).cast(kind), lambda found: let(line_of, lambda k: let(all_bigrams_of(words), lambda g: F.concat(found, windows(g, k, found, near).cast(kind)))))
+
         def of(grams: Column) -> Column:
-            return let(F.array_intersect(grams, needed), lambda hits: F.when(F.size(hits) == 0, none).otherwise(let(F.filter(known, lambda t: F.arrays_overlap(t["must"], hits)), lambda near: let(F.transform(lines, words_of), lambda parts: units(parts, grams, near).cast(kind)))))
+            return let(F.array_intersect(grams, needed), lambda hits: F.when(F.size(hits) == 0, none).otherwise(let(F.filter(known, lambda t: F.arrays_overlap(t["must"], hits)), lambda near: let(F.transform(lines, words_of), lambda parts: both(parts, grams, near)))))
 
         return F.when(F.arrays_overlap(words, needed_words), let(bigrams_of(words), of)).otherwise(none)
 
