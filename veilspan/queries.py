@@ -36,10 +36,12 @@ _NOT_ROLE = "lower(split_part(value, '@', 1)) NOT IN ('noreply','no-reply','dono
 
 #: Injected identifiers: deterministic texts made of key columns.
 _CUSTOMER = "concat('Customer ', c_name, ' SSN: ', lpad(cast(c_custkey % 900 + 100 as string), 3, '0'), '-', lpad(cast(c_custkey % 90 + 10 as string), 2, '0'), '-', lpad(cast(c_custkey as string), 4, '0'), ' MRN ', lpad(cast(c_custkey as string), 8, '0'), ' IBAN DE', lpad(cast(c_custkey % 100 as string), 2, '0'), lpad(cast(c_custkey as string), 18, '0'))"
+#: The same text for keys of any size: the last four digits of the number are those of the key.
+_ANY_CUSTOMER = _CUSTOMER.replace("lpad(cast(c_custkey as string), 4, '0')", "lpad(cast(c_custkey % 10000 as string), 4, '0')")
 
 
 def injected_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "customer").where("c_custkey < 10000").select("c_custkey", F.expr(_CUSTOMER).alias("text"))
+    texts = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_ANY_CUSTOMER).alias("text"))
     found = texts.select("c_custkey", F.inline(spans(F.col("text"), ("regex",), resolved=False)))
     return found.where(F.col("entity").isin("US_SSN", "MRN", "IBAN")).select("c_custkey", "entity", F.col("start").cast("long").alias("start"), "value")
 
