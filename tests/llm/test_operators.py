@@ -384,3 +384,16 @@ def test_license_windows(spark):
     }
     got = {r.doc_id: [(m.unit, m.license) for m in r.matches] for r in licenses.scan(frame(spark, list(texts.items()))).collect()}
     assert got == {1: [(1, "MIT")], 2: [(1, "MIT"), (1, "Proprietary")], 3: [(3, "Apache-2.0")], 4: [(1, "MIT")], 5: [(2, "MIT-body")], 6: [(2, "Apache-2.0-body")], 7: [(1, "MIT")], 8: [], 9: [(1, "Apache-2.0")]}
+
+
+def test_tiling_blocks_keep_rows(spark):
+    """Null and repeated ids give one row each, with one block and with several, alone and with carried columns."""
+    items = spark.createDataFrame([(k, " ".join(f"q{k}x{j}" for j in range(12))) for k in range(1, 9)] + [(20, " ".join(f"q3x{j}" for j in range(12)))], "item_id long, text string")
+    hit = lambda *ks: " and then ".join(" ".join(f"q{k}x{j}" for j in range(12)) for k in ks)
+    docs = frame(spark, [(None, "clean one"), (None, "clean two"), (None, hit(2)), (7, hit(1, 5)), (7, "clean seven"), (7, "clean seven"), (8, None), (9, hit(3))])
+    rows = lambda **more: sorted(tuple(map(str, r)) for r in tiling.decontaminate(docs, items, **more).collect())
+    one = rows()
+    assert len(one) == 8 and rows(block_bytes=60) == one
+    carried = rows(carry=["doc_id", "text", "lang"])
+    assert len(carried) == 8 and rows(carry=["doc_id", "text", "lang"], block_bytes=60) == carried
+    assert ("9", "True", "[3, 20]", "3", "1.0") in one

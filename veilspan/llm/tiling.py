@@ -11,13 +11,14 @@ threshold contaminates the document.  As tiles may lie in any order, reordered
 passages are caught.
 
 The item table goes to the executors in blocks of at most `BLOCK_BYTES` of item
-text (a checked size); more items make more blocks, each against all rows.
-Narrow over the documents for one block.
+text (a checked size); more items make more blocks.  All blocks are looked up
+in one pass over each batch of documents, one block in memory at a time.
+Narrow over the documents.
 
 Defined results: a null or empty text, or an item without words, is never
 contaminated or covered.  Items shorter than the seed must occur as a whole.
-Ties between items are resolved by the smaller id.  Repeated rows give
-repeated results (with several blocks, ids must be distinct).
+Ties between items are resolved by the smaller id.  Repeated rows and rows
+with null ids give one result each, however many blocks there are.
 """
 
 from __future__ import annotations
@@ -138,33 +139,35 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, cover
     total = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     kind = docs.schema[key].dataType.simpleString()
-    wanted = bool(carry)
-    carry = [c for c in carry or [] if c not in (key, text)] + ([text] if text in (carry or []) else []) if blocks == 1 else []
+    carry = [c for c in carry or [] if c not in (key, text)] + ([text] if text in (carry or []) else [])
     names = {f"_{c}": docs.schema[c].dataType.simpleString() for c in carry}
     schema = f"key {kind}, contaminated boolean, item_ids array<long>, best_item long, best_coverage double" + "".join(f", {c} {t}" for c, t in names.items())
-    out = None
+    held = []
     for b in range(blocks):
         rows = benchmark.select(F.col(item_key).cast("long"), item_text)
         rows = rows.where(F.pmod(F.xxhash64(item_key), F.lit(blocks)) == b) if blocks > 1 else rows
-        held = spark.sparkContext.broadcast(Items([tuple(r) for r in rows.collect()], seed))  # a block of a checked size
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for part in plain_slices(batches, text, key):
-                n = len(part.ids)
-                over, best = [[] for _ in range(n)], [(None, None)] * n
-                for r, i, c in _covers(part, held.value):
-                    if best[r][1] is None or c > best[r][1]:
-                        best[r] = (i, c)
-                    if c >= coverage:
-                        over[r].append(i)
-                found = [part.rows.column(0), pa.array([bool(x) for x in over], pa.bool_()), pa.array([sorted(set(x)) for x in over], pa.list_(pa.int64())), pa.array([x for x, _ in best], pa.int64()), pa.array([x for _, x in best], pa.float64())]
-                yield pa.RecordBatch.from_arrays(found + [part.rows.column(2 + k) for k in range(len(names))], ["key", "contaminated", "item_ids", "best_item", "best_coverage", *names])
-
-        part = docs.select(key, F.col(text).cast("string").alias(text), *[F.col(c).alias(f"_{c}") for c in carry]).mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if blocks > 1:
-        best = F.max_by(F.struct("best_item", "best_coverage"), F.struct(F.coalesce("best_coverage", F.lit(-1.0)), -F.col("best_item")))
-        out = out.groupBy("key").agg(F.max("contaminated").alias("contaminated"), F.sort_array(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), best.alias("b")).select("key", "contaminated", "item_ids", "b.best_item", "b.best_coverage")
-        out = out.withColumnRenamed("key", key)
-        return docs.join(out, key) if wanted else out
+        held.append(spark.sparkContext.broadcast(Items([tuple(r) for r in rows.collect()], seed)))  # a block of a checked size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = list(plain_slices([batch], text, key))
+            over = [[[] for _ in part.ids] for part in parts]
+            best = [[(None, None)] * len(part.ids) for part in parts]
+            for block in held:
+                items = block.value
+                for k, part in enumerate(parts):
+                    for r, i, c in _covers(part, items):
+                        b, so_far = best[k][r]
+                        if so_far is None or c > so_far or c == so_far and i < b:
+                            best[k][r] = (i, c)
+                        if c >= coverage:
+                            over[k][r].append(i)
+                del items
+                if len(held) > 1 and getattr(block, "_path", None):
+                    block.__dict__.pop("_value", None)  # read again from the local file when it is needed
+            for k, part in enumerate(parts):
+                found = [part.rows.column(0), pa.array([bool(x) for x in over[k]], pa.bool_()), pa.array([sorted(set(x)) for x in over[k]], pa.list_(pa.int64())), pa.array([x for x, _ in best[k]], pa.int64()), pa.array([x for _, x in best[k]], pa.float64())]
+                yield pa.RecordBatch.from_arrays(found + [part.rows.column(2 + j) for j in range(len(names))], ["key", "contaminated", "item_ids", "best_item", "best_coverage", *names])
+
+    out = docs.select(key, F.col(text).cast("string").alias(text), *[F.col(c).alias(f"_{c}") for c in carry]).mapInArrow(run, schema)
     return out.withColumnsRenamed({"key": key} | {f"_{c}": c for c in carry})
