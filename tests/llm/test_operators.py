@@ -397,3 +397,17 @@ def test_tiling_blocks_keep_rows(spark):
     carried = rows(carry=["doc_id", "text", "lang"])
     assert len(carried) == 8 and rows(carry=["doc_id", "text", "lang"], block_bytes=60) == carried
     assert ("9", "True", "[3, 20]", "3", "1.0") in one
+
+
+@pytest.mark.parametrize("drop", [0, 1 << 29, 1 << 31, (1 << 32) - 1])
+def test_dropout_by_occurrence(rows, drop):
+    """Remembered cuts equal merging each occurrence alone; one word gets many cuts, within a document too."""
+    v, word = vocabulary(model_path()), "international "
+    texts = [t or "" for _, t in rows[:40]] + [word * 200, "a  b ▁mark 世界 " * 20]
+    documents = list(range(len(texts)))
+    got = encoding.encode_texts(v, texts, drop, 3, documents)
+    for t, d, ids in zip(texts, documents, got, strict=True):
+        want = [v.encode_unit(u, drop, pieces.mixed(pieces.keyed(3, d), k)) for k, u in enumerate(pieces.spaced_units(t) if t else [])]
+        assert ids.tobytes() == b"".join(want)
+    if drop == 1 << 31:
+        assert len({v.encode_unit(" international", drop, pieces.mixed(pieces.keyed(3, 40), k)) for k in range(200)}) > 4

@@ -1,20 +1,22 @@
 """Operator 9: SentencePiece encoding and decoding with seeded merge-dropout.
 
 Texts are encoded by merging with an agenda; each candidate merge is skipped
-when the keyed hash of (seed, variant, unit, place, size) falls below the
-dropout rate.  The variant is a keyed hash of the document's id, so a word is
-cut differently in different documents, and the same everywhere for one seed,
-id and word.  A unit's encoding is remembered by (variant, unit) in a bounded
-table.  Decoding concatenates the bytes of pieces; every segmentation decodes
+when the keyed hash of (seed, document id, place of the unit, place, size) falls
+below the dropout rate, so each occurrence of a word is cut by its own draws, the
+same everywhere for one seed, id and place.  Undropped cuts are remembered with
+their merges in a bounded table; occurrences that skip none of these merges take
+them, and the others are merged together, each under its own key.
+Decoding concatenates the bytes of pieces; every segmentation decodes
 to the text it came from, space marks of the text itself included.
 
 Narrow: no shuffle.  Defined results: a null or empty text has no pieces and
-decodes to the empty text.  Rows with a null id use variant 0.  Repeated rows
+decodes to the empty text.  Rows with null ids are cut as one id.  Repeated rows
 give repeated results.  Other columns do not matter.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,50 +26,72 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import keyed, mixed_all, rare_collections, spaced_units, vocabulary
+from .pieces import MARK, keyed, mixed_all, rare_collections, spaced_units, vocabulary
 
-VARIANTS = 4
-#: Bytes of text whose new units are merged together.
+#: Bytes of text whose units are cut together.
 RUN_BYTES = 1 << 20
-#: Encoded units that a worker remembers at most, about 220 bytes each: workers outlive the stage and share an executor with the next one.
+#: Cuts that a worker remembers at most: workers outlive the stage and share an executor with the next one.
 REMEMBERED = 300_000
 
 
-def encode_texts(v, texts: list[str], drop: int, seed: int, variants: list[int]) -> list[np.ndarray]:
-    """Piece ids of each text under its variant.
-
-    Units are remembered by variant, in a table of two ages: when the young half
-    is full it becomes the old one.  All units of the texts that are not
-    remembered are merged together.
-    """
-    young, old = v.caches.setdefault((drop, seed), ({}, {}))
+class Cuts:
+    """Units cut without dropout, with the merges made: an occurrence whose draws skip none of them is cut alike."""
+
+    def __init__(self, v):
+        self.v, self.roots, self.packed = v, {}, []
+        self.at, self.path = array("q", [0]), array("Q")
+
+    def root(self, unit: str) -> int:
+        """The number of a unit; -1 for units with space marks of the text itself."""
+        if MARK in unit:
+            self.roots[unit] = -1
+            return -1
+        rest, trail = unit.lstrip(" "), []
+        pieces = self.v.merge(MARK * (len(unit) - len(rest)) + rest, trail=trail)
+        self.packed.append(b"".join(map(self.v._packed_or_bytes, pieces)))
+        self.path.extend(trail)
+        self.at.append(len(self.path))
+        self.roots[unit] = len(self.packed) - 1
+        return len(self.packed) - 1
+
+    def skipping(self, nodes: np.ndarray, keys: np.ndarray, drop: int) -> np.ndarray:
+        """Places of the occurrences that skip one of the merges of their unit."""
+        going = np.flatnonzero(nodes >= 0) if drop else np.empty(0, dtype=np.int64)
+        if not len(going):
+            return going
+        at, path = np.array(self.at), np.array(self.path, dtype=np.uint64)
+        first, counts = at[nodes[going]], np.diff(at)[nodes[going]]
+        ends = np.cumsum(counts)
+        step = np.arange(ends[-1]) + np.repeat(first - (ends - counts), counts)
+        owner = np.repeat(np.arange(len(going)), counts)
+        draws = (path[step] + np.uint64(0x9E3779B97F4A7C15)) * (keys[going] | np.uint64(1))[owner]
+        return going[np.unique(owner[((draws >> np.uint64(27)) & np.uint64(0xFFFFFFFF)) < np.uint64(drop)])]
+
+
+def encode_texts(v, texts: list[str], drop: int, seed: int, documents: list[int]) -> list[np.ndarray]:
+    """Piece ids of each text; `documents` are hashes of the documents' ids."""
+    cuts = v.caches.get(("cuts",))
+    if cuts is None or len(cuts.packed) > REMEMBERED:
+        cuts = v.caches["cuts",] = Cuts(v)
     units = [spaced_units(t) if t else [] for t in texts]
-    packed = [list(map(young.setdefault(variant, {}).get, us)) for us, variant in zip(units, variants, strict=True)]
-    missing: dict[int, dict[str, None]] = {}
-    for us, out, variant in zip(units, packed, variants, strict=True):
-        if None in out:
-            cache, seen, new = young[variant], old.get(variant, {}), missing.setdefault(variant, {})
-            for u, got in zip(us, out, strict=True):
-                if got is None:
-                    if (got := seen.get(u)) is None:
-                        new[u] = None
-                    else:
-                        cache[u] = got
-    for variant, new in missing.items():
-        digests = np.fromiter(map(xxhash.xxh64_intdigest, new), dtype=np.uint64, count=len(new)) if drop else np.zeros(len(new), dtype=np.uint64)
-        keys = mixed_all(keyed(seed, variant), digests) if drop else digests
-        young[variant].update(zip(new, v.encode_units(list(new), drop, keys), strict=True))
-    ids = []
-    for us, out, variant in zip(units, packed, variants, strict=True):
-        ids.append(np.frombuffer(b"".join(map(young[variant].__getitem__, us) if None in out else out), dtype="<u4"))
-    if sum(map(len, young.values())) > REMEMBERED // 2:
-        v.caches[drop, seed] = ({}, young)
+    flat = [u for us in units for u in us]
+    nodes = [cuts.roots.get(u) for u in flat]
+    nodes = np.array([(cuts.roots[u] if u in cuts.roots else cuts.root(u)) if k is None else k for u, k in zip(flat, nodes, strict=True)], dtype=np.int64)
+    keys = np.concatenate([mixed_all(keyed(seed, d), np.arange(len(us), dtype=np.uint64)) for us, d in zip(units, documents, strict=True)]) if units else np.empty(0, dtype=np.uint64)
+    alone = np.union1d(np.flatnonzero(nodes < 0), cuts.skipping(nodes, keys, drop))
+    got = [cuts.packed[k] for k in nodes.tolist()] if cuts.packed else [b""] * len(flat)
+    for i, cut in zip(alone.tolist(), v.encode_units([flat[i] for i in alone.tolist()], drop, keys[alone]), strict=True):
+        got[i] = cut
+    ids, at = [], 0
+    for us in units:
+        ids.append(np.frombuffer(b"".join(got[at : at + len(us)]), dtype="<u4"))
+        at += len(us)
     return ids
 
 
-def encode_text(v, text: str, drop: int, seed: int, variant: int) -> np.ndarray:
+def encode_text(v, text: str, drop: int, seed: int, document: int) -> np.ndarray:
     """Piece ids of one text."""
-    return encode_texts(v, [text], drop, seed, [variant])[0]
+    return encode_texts(v, [text], drop, seed, [document])[0]
 
 
 def runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -81,7 +105,7 @@ def runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         first = last
 
 
-def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, key: str = "doc_id", text: str = "text", variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pieces array<int>, lossless): lossless says that decoding the pieces gave the text."""
     drop = round(dropout * (1 << 32))
 
@@ -90,7 +114,7 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, key
         for batch in batches:
             for part in runs(batch):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                chosen = [keyed(seed, int(xxhash.xxh64_intdigest(str(k)))) % variants if drop and k is not None else 0 for k in part.column(0).to_pylist()]
+                chosen = [xxhash.xxh64_intdigest(str(k)) if k is not None else 0 for k in part.column(0).to_pylist()]
                 with rare_collections():
                     ids = encode_texts(v, texts, drop, seed, chosen)
                     good = [v.decode(got) == t.encode() for got, t in zip(ids, texts, strict=True)]

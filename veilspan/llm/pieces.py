@@ -103,11 +103,12 @@ class Vocabulary:
 
     # -- merging ---------------------------------------------------------
 
-    def merge(self, text: Sequence[str], drop: int = 0, key: int = 0) -> list[str]:
+    def merge(self, text: Sequence[str], drop: int = 0, key: int = 0, trail: list[int] | None = None) -> list[str]:
         """Pieces of a run of characters after merging by an agenda, best score first, leftmost among equals.
 
         `drop` of 2**32 candidates are skipped: a candidate taken from the agenda is
         passed over when the hash of its place and size under `key` falls below `drop`.
+        `trail` takes the merges made, in their order.
         An agenda entry is one integer: rank of the score, place, size.  A symbol is
         known by its place; `end` holds where it ends (0 once it is merged into
         another), `left` where the symbol before it starts.
@@ -131,6 +132,8 @@ class Vocabulary:
                 continue
             if drop and ((((entry & 0xFFFFFFFFFFFFF) + 0x9E3779B97F4A7C15) * key) >> 27 & 0xFFFFFFFF) < drop:
                 continue
+            if trail is not None:
+                trail.append(entry & 0xFFFFFFFFFFFFF)
             end[i] = k = end[j]
             end[j] = 0
             if k < n:
