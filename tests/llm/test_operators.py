@@ -295,17 +295,71 @@ def test_toxicity(spark, none):
         rows.append((i, " ".join(sentences)))
         marks.append((i, int(bad)))
     docs, labels = frame(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int")
-    w = toxicity.train(docs, labels, learn=remainder(5) != 0)
-    got = {r.doc_id: r for r in toxicity.score(docs, w).collect()}
+    model = toxicity.train(docs, labels, learn=remainder(5) != 0)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
     assert sum((got[i].score >= 0.5) == bool(y) for i, y in marks) >= 590
     for i, y in marks:
         if y:
             assert re.search("vile|nasty|foul", rows[i][1][got[i].worst_start : got[i].worst_end])
-    odd = {r.doc_id: r.score for r in toxicity.score(frame(spark, [(1, None), (2, ""), (3, "x " * 5000)]), w).collect()}
-    assert odd[1] == odd[2] == 0 and 0 <= odd[3] <= 1
+    for i, t in rows[:50]:
+        assert math.isclose(got[i].score, brute_noisy_or(model, t), rel_tol=1e-4, abs_tol=1e-6)
+    long = ("x " * 30 + ". ") * 4000
+    odd = {r.doc_id: r for r in toxicity.score(frame(spark, [(1, None), (2, ""), (3, "x " * 5000), (4, "y" * 2_000_000), (5, long), (None, "vile c1."), (6, "... !!! |")]), model).collect()}
+    assert odd[1].score == odd[2].score == odd[6].score == 0 and 0 <= odd[3].score <= 1 and odd[6].worst_start is None
+    assert odd[5].score < 0.5 and 0 <= odd[4].score < 0.5 and odd[None].score > odd[3].score
     assert toxicity.score(none, toxicity.train(none, labels)).count() == 0
 
 
+def brute_noisy_or(model, text):
+    """The probability of a document by plain loops."""
+    bags = [toxicity.sentence_words(s) for s in re.findall(r"[^.!?|\n]+", text)]
+    bags = [b for b in bags if b]
+    none = 1.0
+    for bag in bags:
+        z = model.bias - model.spread * math.log(len(bags)) + sum(model.weights[f] for w in bag for f in toxicity.features(w))
+        none *= 1 - 1 / (1 + math.exp(-z))
+    return 1 - none
+
+
+def test_toxicity_gradient():
+    """Gradients of the likelihood against differences; the likelihood against plain loops."""
+    texts, y = ["a bb. ccc dddd", "eeee! a a", "", "bb | ffff gggg. a. ccc"], np.array([1.0, 0, 0, 1])
+    rng = np.random.default_rng(4)
+    bags, w = toxicity.Bags(texts, 12), rng.normal(size=1 << 12)
+    loss, by_weight, by_bias, by_spread = bags.likelihood(y, w, -1.0, 0.4)
+    none = [1 - brute_noisy_or(toxicity.Model(_Wide(w), -1.0, 0.4), t) for t in texts]
+    want = -np.mean([math.log(1 - n) if k else math.log(min(n, 1 - 1e-9)) for n, k in zip(none, y, strict=True)])
+    assert math.isclose(loss, want, rel_tol=1e-6)
+    step = 1e-6
+    assert math.isclose((bags.likelihood(y, w, -1.0 + step, 0.4)[0] - loss) / step, by_bias, rel_tol=1e-3)
+    assert math.isclose((bags.likelihood(y, w, -1.0, 0.4 + step)[0] - loss) / step, by_spread, rel_tol=1e-3)
+    for k in np.flatnonzero(by_weight)[:8]:
+        moved = w.copy()
+        moved[k] += step
+        assert math.isclose((bags.likelihood(y, moved, -1.0, 0.4)[0] - loss) / step, by_weight[k], rel_tol=1e-3, abs_tol=1e-9)
+
+
+class _Wide:
+    """Weights of fewer bits, looked up by features of all bits."""
+
+    def __init__(self, w):
+        self.w = w
+
+    def __getitem__(self, k):
+        return self.w[k & (len(self.w) - 1)]
+
+
+def test_toxicity_bounds(spark):
+    """Repeated rows and clashing names change nothing; the bounds on rows and bytes hold."""
+    rows = [(i, ("vile thing. " if i % 2 else "nice thing. ") + f"w{i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows] + [(1, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    once, twice = frame(spark, rows), frame(spark, rows + rows)
+    a, b = toxicity.train(once, labels), toxicity.train(twice, labels)
+    assert (a.weights == b.weights).all() and a.bias == b.bias
+    few = toxicity.train(once, labels, most_bytes=1)
+    assert not few.weights.any()
+
+
 def test_importance(spark, docs, rows, none):
     good = docs.where("doc_id % 3 = 0").select("doc_id")
     out = importance.resample(docs, good, share=0.4).collect()

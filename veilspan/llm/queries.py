@@ -46,8 +46,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    weights = toxicity.train(docs, table(spark, sf_dir, "labels"), learn=remainder(5) != 0)
-    scored = toxicity.score(docs, weights)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn=remainder(5) != 0)
+    scored = toxicity.score(docs, model)
     return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst_start", "worst_end")
 
 
