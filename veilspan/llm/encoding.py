@@ -41,18 +41,15 @@ class Cuts:
         self.v, self.roots, self.packed = v, {}, []
         self.at, self.path = array("q", [0]), array("Q")
 
-    def root(self, unit: str) -> int:
-        """The number of a unit; -1 for units with space marks of the text itself."""
-        if MARK in unit:
-            self.roots[unit] = -1
-            return -1
-        rest, trail = unit.lstrip(" "), []
-        pieces = self.v.merge(MARK * (len(unit) - len(rest)) + rest, trail=trail)
-        self.packed.append(b"".join(map(self.v._packed_or_bytes, pieces)))
-        self.path.extend(trail)
-        self.at.append(len(self.path))
-        self.roots[unit] = len(self.packed) - 1
-        return len(self.packed) - 1
+    def add(self, units: list[str]) -> None:
+        """Cuts of new units; those with space marks of the text itself get the number -1."""
+        plain = [u for u in units if MARK not in u]
+        packed, ends, merges = self.v.cut_units(plain)
+        self.roots.update((u, -1) for u in units if MARK in u)
+        self.roots.update(zip(plain, range(len(self.packed), len(self.packed) + len(plain)), strict=True))
+        self.packed += packed
+        self.at.frombytes((ends.astype(np.int64) + self.at[-1]).tobytes())
+        self.path.frombytes(merges.tobytes())
 
     def skipping(self, nodes: np.ndarray, keys: np.ndarray, drop: int) -> np.ndarray:
         """Places of the occurrences that skip one of the merges of their unit."""
@@ -75,8 +72,8 @@ def encode_texts(v, texts: list[str], drop: int, seed: int, documents: list[int]
         cuts = v.caches["cuts",] = Cuts(v)
     units = [spaced_units(t) if t else [] for t in texts]
     flat = [u for us in units for u in us]
-    nodes = [cuts.roots.get(u) for u in flat]
-    nodes = np.array([(cuts.roots[u] if u in cuts.roots else cuts.root(u)) if k is None else k for u, k in zip(flat, nodes, strict=True)], dtype=np.int64)
+    cuts.add(list({u for u in flat if u not in cuts.roots}))
+    nodes = np.fromiter(map(cuts.roots.__getitem__, flat), dtype=np.int64, count=len(flat))
     keys = np.concatenate([mixed_all(keyed(seed, d), np.arange(len(us), dtype=np.uint64)) for us, d in zip(units, documents, strict=True)]) if units else np.empty(0, dtype=np.uint64)
     alone = np.union1d(np.flatnonzero(nodes < 0), cuts.skipping(nodes, keys, drop))
     got = [cuts.packed[k] for k in nodes.tolist()] if cuts.packed else [b""] * len(flat)

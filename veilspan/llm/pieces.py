@@ -100,6 +100,7 @@ class Vocabulary:
         sizes = np.array([len(b) for b in self.bytes])
         self._at, self._sizes, self._flat = np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
         self.longest = max(map(len, self.ids))
+        self._lengths = np.array([len(p) for p in self.pieces], dtype=np.int64)
 
     # -- merging ---------------------------------------------------------
 
@@ -176,6 +177,25 @@ class Vocabulary:
         the candidates that are not skipped.  Long units and units with space
         marks of the text itself are merged one by one.
         """
+        out = self._in_matrices(units, drop, keys)
+        return [self.encode_unit(units[i], drop, int(keys[i])) if got is None else got for i, got in enumerate(out)]
+
+    def cut_units(self, units: Sequence[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(packed pieces, where the merges of each unit end, merges as place << 26 | size) of units without space marks, undropped."""
+        made: list[tuple[np.ndarray, np.ndarray]] = []
+        out = self._in_matrices(units, 0, np.zeros(len(units), dtype=np.uint64), made)
+        for i in [i for i, got in enumerate(out) if got is None]:
+            rest, trail = units[i].lstrip(" "), []
+            pieces = self.merge(MARK * (len(units[i]) - len(rest)) + rest, trail=trail)
+            out[i] = b"".join(map(self._packed_or_bytes, pieces))
+            made.append((np.full(len(trail), i), np.array(trail, dtype=np.uint64)))
+        owner = np.concatenate([np.empty(0, dtype=np.int64), *(a for a, _ in made)])
+        merges = np.concatenate([np.empty(0, dtype=np.uint64), *(b for _, b in made)])
+        order = np.argsort(owner, kind="stable")
+        return out, np.cumsum(np.bincount(owner, minlength=len(units))), merges[order]
+
+    def _in_matrices(self, units: Sequence[str], drop: int, keys: np.ndarray, made: list | None = None) -> list[bytes | None]:
+        """Packed pieces of the units that matrices take, None for the others; `made` takes (unit, merge) of all merges."""
         out: list[bytes | None] = [None] * len(units)
         symbol = self._pair_tables()[0]
         widths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
@@ -192,12 +212,15 @@ class Vocabulary:
                 place = np.arange(width)
                 inside = place < widths[some, None]
                 matrix = np.where(inside, symbols[np.minimum((ends - widths)[some, None] + place, len(symbols) - 1)], -1)
-                for i, got in zip(some.tolist(), self._merge_rows(matrix, drop, keys[some]), strict=True):
+                trail: list | None = None if made is None else []
+                for i, got in zip(some.tolist(), self._merge_rows(matrix, drop, keys[some], trail), strict=True):
                     out[i] = got
-        return [self.encode_unit(units[i], drop, int(keys[i])) if got is None else got for i, got in enumerate(out)]
+                if made is not None:
+                    made += [(some[row], merge) for row, merge in trail]
+        return out
 
-    def _merge_rows(self, symbols: np.ndarray, drop: int, keys: np.ndarray) -> list[bytes]:
-        """Packed pieces of each row of symbols; rows are filled up with -1."""
+    def _merge_rows(self, symbols: np.ndarray, drop: int, keys: np.ndarray, trail: list | None = None) -> list[bytes]:
+        """Packed pieces of each row of symbols; rows are filled up with -1.  `trail` takes (rows, merges) of each round."""
         _, pairs, made, ranks, sizes = self._pair_tables()
         n, width = symbols.shape
         keys = (keys | np.uint64(1)).astype(np.uint64)
@@ -230,6 +253,8 @@ class Vocabulary:
                 if not len(alive):
                     break
             symbols[row, best] = merged[row, best]
+            if trail is not None:
+                trail.append((alive, ((agenda[row, best] & 0x3FFFFFF) << 26 | self._lengths[merged[row, best]]).astype(np.uint64)))
             # What lies right of the merged pair moves one column to the left; the candidate of the pair goes.
             w = symbols.shape[1]
             keep = columns[: w - 1] + (columns[: w - 1] > best[:, None])
