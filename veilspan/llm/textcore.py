@@ -14,26 +14,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 2 << 20
-_R = 0x9E3779B97F4A7C15 | 1
-_R_INV = pow(_R, -1, 1 << 64)
 _WS = np.zeros(256, dtype=bool)
 _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        _POWERS[:] = []
-        for base in (_R, _R_INV):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            _POWERS.append(np.multiply.accumulate(p))
-    return _POWERS[0], _POWERS[1]
+#: Words up to this length are hashed by eight bytes at a time, all together; longer ones one by one.
+_CHUNKED = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -47,6 +36,30 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs data[start:end].
+
+    Eight bytes at a time are mixed into the state by steps that are one to one in
+    the state and in the bytes, so words of one length up to eight bytes never
+    collide, and others as chance has it; long words have XXH3.
+    """
+    sizes = ends - starts
+    h = sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    whole = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=whole, strides=(1,))
+    left, at = np.flatnonzero((sizes > 0) & (sizes <= _CHUNKED)), 0
+    while len(left):
+        rest = sizes[left] - at
+        chunk = eight[starts[left] + at]
+        part = rest < 8
+        chunk[part] &= (np.uint64(1) << (8 * rest[part]).astype(np.uint64)) - np.uint64(1)
+        h[left] = mix((h[left] ^ chunk) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x5851F42D4C957F2D))
+        left, at = left[rest > 8], at + 8
+    for i in np.flatnonzero(sizes > _CHUNKED).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return h
+
+
 @dataclass
 class Slice:
     """Some rows of a batch: `ids` may hold None; `docs[i]:docs[i+1]` are the words of row i."""
@@ -60,12 +73,7 @@ class Slice:
     docs: np.ndarray
 
     def word_hashes(self) -> np.ndarray:
-        n = len(self.data)
-        fwd, back = _powers(n + 1)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * fwd[:n], out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * back[self.starts]
-        return mix(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return byte_hashes(self.data, self.starts, self.ends)
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
