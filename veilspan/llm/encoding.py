@@ -21,12 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import MARK, keyed, mixed_all, rare_collections, spaced_units, vocabulary
+from .pieces import MARK, keyed, mixed_all, rare_collections, spaced_units, text_runs, vocabulary
 
 #: Bytes of text whose units are cut together.
 RUN_BYTES = 1 << 20
@@ -91,17 +90,6 @@ def encode_text(v, text: str, drop: int, seed: int, document: int) -> np.ndarray
     return encode_texts(v, [text], drop, seed, [document])[0]
 
 
-def runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of a batch with about RUN_BYTES of text, or one row with more."""
-    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), dtype=np.int64))
-    first = 0
-    while first < len(batch):
-        before = int(ends[first - 1]) if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, before + RUN_BYTES, side="right")))
-        yield batch.slice(first, last - first)
-        first = last
-
-
 def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pieces array<int>, lossless): lossless says that decoding the pieces gave the text."""
     drop = round(dropout * (1 << 32))
@@ -109,7 +97,7 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, key
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for batch in batches:
-            for part in runs(batch):
+            for part in text_runs(batch, RUN_BYTES):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 chosen = [xxhash.xxh64_intdigest(str(k)) if k is not None else 0 for k in part.column(0).to_pylist()]
                 with rare_collections():

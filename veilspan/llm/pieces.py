@@ -1,4 +1,4 @@
-"""A merge-type (BPE) piece vocabulary in its own right: units, merges, prefix counts, merge-dropout.
+"""A merge-type (BPE) piece vocabulary in its own right: units, merges, merge-dropout.
 
 A unit is a run of space marks followed by other characters.  The vocabulary is
 checked at load: no piece has a space mark after another character, so merges
@@ -12,19 +12,18 @@ import heapq
 import re
 import sys
 from array import array
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
-from functools import lru_cache, reduce
+from functools import reduce
 from operator import add
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MARK = "▁"
-_UNITS = re.compile(f"{MARK}+[^{MARK}]*")
 _SPACED = re.compile(" +[^ ]*")
 _M64 = (1 << 64) - 1
-#: Units that a worker's table holds at most.
-CACHE_UNITS = 1_000_000
 #: Units up to the last of these lengths are merged in matrices of that many columns, so many rows at once.
 WIDTHS = (4, 6, 8, 10, 12, 16, 24)
 ROWS = 4_096
@@ -87,7 +86,7 @@ class Vocabulary:
         self.pairs = {p: e for p, e in self.entries.items() if len(p) == 2}
         self.packed = {p: _packed([i]) for p, i in self.ids.items()}
         self._tables: tuple[np.ndarray, ...] | None = None
-        #: Tables of remembered units, kept for the life of the process and bounded by CACHE_UNITS.
+        #: Tables of remembered units, kept for the life of the process and bounded by those who fill them.
         self.caches: dict[tuple, dict] = {}
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in special if sp.is_byte(i)}
         if len(self.byte_ids) != 256 or any(MARK in p.lstrip(MARK) for p in self.ids):
@@ -328,63 +327,13 @@ class Vocabulary:
     # -- counting --------------------------------------------------------
 
     def units(self, text: str) -> list[str]:
-        """Units as the library sees them: blanks and space marks are the same."""
-        return _UNITS.findall(MARK + text.replace(" ", MARK)) if text else []
+        """Units as the library sees them: space marks are blanks; a blank stands before the text."""
+        return _SPACED.findall(" " + text.replace(MARK, " ")) if text else []
 
     def unit_counts(self, units: list[str]) -> list[int]:
         # The library puts a mark before a text, but not before the empty text.
         return [max(1, len(x)) for x in self.library.encode([u[1:] for u in units], num_threads=1)] if units else []
 
-    @lru_cache(maxsize=200_000)  # noqa: B019  one vocabulary a process
-    def _stays(self, a: str, b: str) -> bool:
-        """Whether pieces a and b next to each other remain two pieces."""
-        return self.merge(a + b) == [a, b]
-
-    def prefix_counts(self, unit: str) -> list[int]:
-        """Exact token count of every prefix of a unit, by dynamic programming over its last token.
-
-        The encoding of a prefix without its last token is the encoding of the
-        shorter prefix, and a token may follow another exactly if the two stay
-        apart when merged alone; so one candidate fits at every place.
-        """
-        counts, last = [0], [""]
-        for i in range(1, len(unit) + 1):
-            for j in range(max(0, i - self.longest), i):
-                token = unit[j:i]
-                if (token in self.ids or i - j == 1) and (not last[j] or self._stays(last[j], token)) and self.merge(token) == [token]:
-                    counts.append(counts[j] + (1 if token in self.ids else len(token.encode())))
-                    last.append(token)
-                    break
-        return counts
-
-
-class PrefixTable:
-    """Token counts of all prefixes of one text: kept at the starts of units, completed inside a unit on demand."""
-
-    def __init__(self, vocabulary: Vocabulary, text: str, counts: list[int] | None = None):
-        self.vocabulary, self.units = vocabulary, vocabulary.units(text)
-        counts = vocabulary.unit_counts(self.units) if counts is None else counts
-        self.totals = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-        # Characters of the text before each unit: the first unit has one mark that is not in the text.
-        self.chars = np.concatenate([[0], np.cumsum([len(u) for u in self.units], dtype=np.int64) - 1]) if self.units else np.zeros(1, dtype=np.int64)
-
-    def count(self, chars: int) -> int:
-        """Tokens of the first `chars` characters."""
-        if chars <= 0 or not self.units:
-            return 0
-        u = int(np.searchsorted(self.chars, min(chars, self.chars[-1]), side="left")) - 1
-        inside = min(chars, int(self.chars[-1])) - int(self.chars[u]) + (u == 0)
-        return int(self.totals[u]) + self.vocabulary.prefix_counts(self.units[u])[inside]
-
-    def fit(self, budget: int) -> int:
-        """Characters of the longest prefix with at most `budget` tokens."""
-        u = int(np.searchsorted(self.totals, budget, side="right")) - 1
-        if u >= len(self.units):
-            return int(self.chars[-1])
-        inside = self.vocabulary.prefix_counts(self.units[u])
-        most = max(k for k, c in enumerate(inside) if self.totals[u] + c <= budget)
-        return max(0, int(self.chars[u]) + most - (u == 0))
-
 
 _LOADED: dict[str, Vocabulary] = {}
 
@@ -399,3 +348,14 @@ def vocabulary(path: str) -> Vocabulary:
 def spaced_units(text: str) -> list[str]:
     """Units of a text for lossless encoding; a blank stands before the text."""
     return _SPACED.findall(" " + text)
+
+
+def text_runs(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of a batch with about `most` bytes of text in their second column, or one row with more."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), dtype=np.int64))
+    first = 0
+    while first < len(batch):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(first, last - first)
+        first = last
