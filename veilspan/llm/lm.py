@@ -10,9 +10,9 @@ all bytes not excluded are equally likely.  Counts come from the rows that
 
 Plan: texts are dealt into groups by key.  A group reports its distinct
 (order+1)-byte strings and word hashes with training counts, as compressed
-blobs by hash range; ranges sum them; the distinct strings, grouped by the two
-bytes that all their contexts end in, become subtries in which the code
-length of each string is computed once; the answers travel back to the groups
+blobs by hash range; ranges sum them; the distinct strings, grouped by the bytes
+that all their contexts end in (two, more where too many strings share them),
+become subtries in which the code length of each string is computed once; the answers travel back to the groups
 that asked.  No table that grows with the input is broadcast or collected.
 
 Also returned is the base: word counts with add-one smoothing.
@@ -31,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .packing import groups_for, pack, pack_sorted, unpack, unpack_sorted
+from .packing import group_of, groups_for, pack, pack_sorted, text_bytes, unpack, unpack_sorted
 from .tables import cut
 from .textcore import mix, slices
 
 ORDER = 5
-#: Bytes of text in a group.
-GROUP_BYTES = 40 << 20
+#: Bytes of text in a group; the second figure where there are very many groups.
+GROUP_BYTES = 40 << 20, 256 << 20
+#: Least share of all distinct strings from which on a suffix of contexts is lengthened.
+LEAST_SHARE = 1 / 4096
 END = 10  # the end mark; blanks never are in a word
 STRINGS, WORDS = 0, 1
 
@@ -102,16 +104,17 @@ def _range(codes: np.ndarray, ranges: int) -> np.ndarray:
     return (mix(codes.astype(np.uint64)) % np.uint64(ranges)).astype(np.int64)
 
 
-def trie_lengths(asked: np.ndarray, codes: np.ndarray, counts: np.ndarray, singles: np.ndarray, order: int) -> np.ndarray:
+def trie_lengths(asked: np.ndarray, codes: np.ndarray, counts: np.ndarray, singles: np.ndarray, order: int, upper: dict[int, tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
     """log10 probability of the last byte of each asked string after the bytes before it.
 
     codes, counts: the trained strings whose contexts end in the same bytes as
-    those asked; singles[a, b]: trained count of byte b after byte a.
+    those asked; singles[a, b]: trained count of byte b after byte a; `upper` has, by
+    order, sorted strings and counts where those bytes are more than the context.
     """
     tables = []  # for each order from the deepest: sorted keys, counts, and by context: keys, total, distinct
     for k in range(order, 1, -1):
         key = codes & ((1 << 8 * (k + 1)) - 1) if k < 7 else codes
-        keys, n = _totals(key, counts)
+        keys, n = upper[k] if upper and k in upper else _totals(key, counts)
         ctx, start = np.unique(keys >> 8, return_index=True)
         tables.append((k, keys, n, ctx, np.add.reduceat(n, start) if len(n) else n, np.diff(np.append(start, len(keys)))))
     zero = singles.sum(axis=0)
@@ -162,13 +165,36 @@ def trie_lengths(asked: np.ndarray, codes: np.ndarray, counts: np.ndarray, singl
     return out
 
 
-def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", order: int = ORDER, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def _suffix(k: int) -> Column:
+    """The last k bytes of the context of a string, with k."""
+    return F.shiftright("code", 8).bitwiseAND((1 << 8 * k) - 1).bitwiseOR(F.lit(k << 40))
+
+
+def frequent_suffixes(strings: DataFrame, order: int, share: float) -> tuple[dict[int, list[int]], dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Suffixes of contexts, by length from 2, that have more than `share` of the rows of `strings`; and the trained counts of bytes after them."""
+    hot: dict[int, list[int]] = {}
+    upper: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    rows, most = strings, share * strings.count()
+    for k in range(2, order):
+        hot[k] = [r[0] for r in rows.groupBy(_suffix(k).alias("s")).agg(F.count("*").alias("c")).where(F.col("c") > most).select("s").collect()]
+        if not hot[k]:
+            del hot[k]
+            break
+        rows = rows.where(_suffix(k).isin(hot[k]))
+        after = rows.where("n > 0").groupBy(F.col("code").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("s")).agg(F.sum("n")).collect()
+        table = np.array(sorted((r[0], r[1]) for r in after), dtype=np.int64).reshape(-1, 2)
+        upper[k] = table[:, 0].copy(), table[:, 1].copy()
+    return hot, upper
+
+
+def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", order: int = ORDER, sizes: tuple[int, int] = GROUP_BYTES, least_share: float = LEAST_SHARE) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score)."""
     if not 2 <= order <= 6:
         raise ValueError("order is 2 to 6")
     spark = docs.sparkSession
-    groups = groups_for(docs, text, group_bytes)
-    dealt = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"), F.pmod(F.xxhash64(F.col(key)), F.lit(groups)).cast("int").alias("grp"))
+    groups = groups_for(spark, text_bytes(docs, text), sizes)
+    dealt = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    dealt = dealt.withColumn("grp", group_of("key", "text", groups))
 
     def report(group: tuple, table: pa.Table) -> pa.Table:
         tallies = {STRINGS: _Tally(), WORDS: _Tally()}
@@ -213,14 +239,19 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     strings = counted.where(F.col("kind") == STRINGS)
     for pair, n in strings.where("n > 0").groupBy(F.col("code").bitwiseAND(0xFFFF).alias("p")).agg(F.sum("n")).collect():  # 65,536 rows at most
         singles[pair >> 8, pair & 255] = n
-    held = spark.sparkContext.broadcast(singles)
+    hot, upper = frequent_suffixes(strings, order, max(least_share, 1 / (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    held = spark.sparkContext.broadcast((singles, upper))  # 1 / share contexts of each length with 256 bytes each, at most
 
-    def subtrie(table: pa.Table) -> pa.Table:
+    def subtrie(group: tuple, table: pa.Table) -> pa.Table:
         codes, n = table.column("code").to_numpy(), table.column("n").to_numpy()
-        lengths = trie_lengths(codes, codes[n > 0], n[n > 0], held.value, order)
+        singles, upper = held.value
+        above = {k: upper[k] for k in range(2, group[0].as_py() >> 40)}
+        lengths = trie_lengths(codes, codes[n > 0], n[n > 0], singles, order, above)
         return pa.table({"range": pa.array(_range(codes, groups).astype(np.int32)), "code": pa.array(codes), "lp": pa.array(lengths)})
 
-    suffix = F.shiftright("code", 8).bitwiseAND(0xFFFF)
+    suffix = _suffix(2)
+    for k, values in sorted(hot.items()):
+        suffix = F.when(_suffix(k).isin(values), _suffix(k + 1)).otherwise(suffix)
     lengths = strings.select("code", "n", suffix.alias("suffix")).groupBy("suffix").applyInArrow(subtrie, "range int, code long, lp double")
 
     def answer(asked: pa.Table, found: pa.Table) -> pa.Table:

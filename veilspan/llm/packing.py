@@ -6,13 +6,14 @@ import math
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one task of a regrouped table should hold.
-TASK_BYTES = 24 << 20
-#: Largest number of groups that one table is dealt into.
-MOST_GROUPS = 1 << 14
+#: Bytes of text that one group of a regrouped table should hold; with very many groups, more, up to the second figure:
+#: what a task sends to each group would else become too little for a blob.
+GROUP_BYTES = 24 << 20, 128 << 20
+#: Groups from which on they grow before there are more.
+MANY_GROUPS = 1 << 14
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -35,8 +36,17 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob), dtype=np.uint64)
 
 
-def groups_for(docs: DataFrame, text: str, task_bytes: int = TASK_BYTES, factor: int = 1) -> int:
-    """Into how many groups a table of texts is dealt: as many as shuffle partitions, more where texts are large."""
-    total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(MOST_GROUPS, factor * max(least, math.ceil(total / task_bytes)))
+def text_bytes(docs: DataFrame, text: str) -> int:
+    return docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+
+
+def groups_for(spark: SparkSession, total: int, sizes: tuple[int, int] = GROUP_BYTES) -> int:
+    """Into how many groups `total` bytes of texts are dealt: at least as many as shuffle partitions, without an upper limit."""
+    few = math.ceil(total / sizes[0])
+    groups = few if few <= MANY_GROUPS else max(MANY_GROUPS, math.ceil(total / sizes[1]))
+    return max(groups, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def group_of(key: str, text: str, groups: int) -> Column:
+    """The group of a row, by its key; rows without a key are dealt by their text, not all into one group."""
+    return F.pmod(F.coalesce(F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key))), F.xxhash64(F.col(text))), F.lit(groups)).cast("int")

@@ -2,10 +2,10 @@
 
 A suffix starts at every word.  Suffixes are split by variable-length word
 prefixes: a prefix held by more than a memory-sized share of all suffixes is
-lengthened by a word, and again, up to the window.  All suffixes of one prefix
-meet in one group, where the subtree is built down to the depth of `window`
-words: sorted by the label of that depth (a 64-bit hash of the path), each run
-of two or more suffixes is an internal node at least that deep, that is, a
+lengthened by a word, and again, and at last to the whole window.  All suffixes
+of one prefix meet in one group, where the nodes at the depth of `window` words
+are found: sorted by the label of that depth (a 64-bit hash of the path), each
+run of two or more suffixes is a node with two or more leaves, that is, a
 repeat.  The first suffix of a node, by (key, place), stays; each other one
 marks its window as a repeat.  Overlapping marked windows join into maximal
 repeats, whose words are removed.
@@ -17,8 +17,12 @@ shuffled once, by key, to meet their marks.
 
 Defined results: a null or empty text has no words and yields the empty kept
 text.  Rows with a null key are kept whole and remove nothing.  Rows repeated
-with one key are one document: no window of theirs is earlier than its copy.
-Texts shorter than the window are kept whole.  Other columns do not matter.
+with one key are one document: no window of theirs is earlier than its copy, a
+window at an earlier place of any of them is.  Texts shorter than the window are
+kept whole; a text of any length, or one word of any length, is handled in one
+task.  Ties cannot be: suffixes with one label differ in key or place.  An empty
+table gives no rows.  Columns named like those returned may stand in `docs`;
+`carry` must not name them.
 """
 
 from __future__ import annotations
@@ -30,14 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packing import groups_for, pack, pack_sorted, unpack, unpack_sorted
+from .packing import GROUP_BYTES, MANY_GROUPS, group_of, groups_for, pack, pack_sorted, text_bytes, unpack, unpack_sorted
+from .tables import cut
 from .textcore import ngrams, slices, xxhash64_of_longs
 
 WINDOW = 20
-#: Suffixes that a group may hold, about.
-GROUP_SUFFIXES = 3_000_000
-#: Suffixes that a task gathers before it sends its blobs.
-FLUSH = 2_000_000
+#: Words of a prefix at most; where that does not split the suffixes enough, the whole window takes the prefix's place.
+DEPTH = 3
+#: Least share of all suffixes that makes a prefix too frequent: it bounds the tables of such prefixes.
+LEAST_SHARE = 1 / (1 << 16)
+#: Suffixes that a task gathers before it sends its blobs; the second figure where there are very many groups to send to.
+FLUSH, FLUSH_MANY = 2_000_000, 16_000_000
 
 
 def _suffixes(part, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,55 +63,61 @@ def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
-def _prefixes(words: np.ndarray, at: np.ndarray, longer: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The prefix hash of each suffix, and the suffixes whose prefix has the greatest length looked at."""
+def _prefixes(words: np.ndarray, at: np.ndarray, longer: list[np.ndarray], whole: np.ndarray) -> np.ndarray:
+    """The hash of the prefix of each suffix: one word, one more while the prefix is among the `longer` ones, and in the end the whole label."""
     key = ngrams(words, 1)[at]
     left = np.arange(len(at))
     for depth, table in enumerate(longer, 2):
         left = left[_member(key[left], table)]
-        key[left] = ngrams(words, depth)[at[left]]
-    return key, left
+        key[left] = ngrams(words, depth)[at[left]] if depth <= DEPTH else whole[left]
+    return key
 
 
-def long_prefixes(docs: DataFrame, total: int, key: str, text: str, window: int, group_suffixes: int = GROUP_SUFFIXES) -> list[np.ndarray]:
-    """For each length from 1, the sorted hashes of prefixes that more than `group_suffixes` suffixes may have.
+def long_prefixes(docs: DataFrame, share: float, key: str, text: str, window: int) -> list[np.ndarray]:
+    """For each length from 1 to DEPTH, the sorted hashes of prefixes that have about `share` of all suffixes or more.
 
-    A task reports prefixes with half of the share that is too much, of its own
-    suffixes; what is too much altogether is reported by tasks that hold half of
-    it at least.  So the reports and the tables are bounded by the ratio of all
-    suffixes to the size of a group.
+    One pass: a task counts its prefixes of one word, those of two words where the
+    first word is frequent in the slice, and so on, and reports those that have half
+    of the share of its own suffixes; what is too much altogether has most of its
+    suffixes in such tasks.  So a length has at most 2 / share prefixes, and `share`
+    is at least LEAST_SHARE.
     """
-    share = group_suffixes / max(total, 1)
-    longer: list[np.ndarray] = []
-    while share < 1 and len(longer) < window - 1:
-
-        def run(batches: Iterator[pa.RecordBatch], longer=tuple(longer)) -> Iterator[pa.RecordBatch]:
-            hashes, counts, seen = [], [], 0
-            for part in slices(batches, text, key, lower=False):
-                at, _, _ = _suffixes(part, window)
-                words = part.word_hashes()
-                seen += len(at)
-                if len(at):
-                    # One suffix a node: repeats inside a slice do not travel either.
-                    _, first = np.unique(ngrams(words, window)[at], return_index=True)
-                    at = at[np.sort(first)]
-                prefix, left = _prefixes(words, at, longer)
-                h, n = np.unique(prefix[left], return_counts=True)
-                hashes.append(h)
-                counts.append(n)
-                if len(hashes) > 64:
-                    hashes, counts = [[x] for x in _sum(hashes, counts)]
-            if hashes:
-                h, n = _sum(hashes, counts)
+    share, most = max(share, LEAST_SHARE), min(DEPTH, window - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tallies: list[tuple[list, list]] = [([], []) for _ in range(most)]
+        seen = 0
+        for part in slices(batches, text, key, lower=False):
+            at, _, _ = _suffixes(part, window)
+            if not len(at):
+                continue
+            words = part.word_hashes()
+            # One suffix a node: repeats inside a slice do not travel either.
+            _, first = np.unique(ngrams(words, window)[at], return_index=True)
+            at = at[np.sort(first)]
+            seen, least = seen + len(at), share / 4 * len(at)
+            for depth, tally in enumerate(tallies, 1):
+                prefix = ngrams(words, depth)[at]
+                h, n = np.unique(prefix, return_counts=True)
+                tally[0].append(h[n >= least])
+                tally[1].append(n[n >= least])
+                at = at[_member(prefix, h[n >= least])]
+                if len(tally[0]) > 64:
+                    tally[0][:], tally[1][:] = ([x] for x in _sum(*tally))
+        depths, hashes, numbers = [0], [0], [seen]
+        for depth, tally in enumerate(tallies, 1):
+            if tally[0]:
+                h, n = _sum(*tally)
                 much = n >= max(1, share / 2 * seen)
-                yield pa.RecordBatch.from_arrays([pa.array(h[much].view(np.int64)), pa.array(n[much].astype(np.int64))], ["h", "n"])
+                depths += [depth] * int(much.sum())
+                hashes += h[much].view(np.int64).tolist()
+                numbers += n[much].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(depths, pa.int32()), pa.array(hashes, pa.int64()), pa.array(numbers, pa.int64())], ["depth", "h", "n"])
 
-        found = docs.select(key, F.col(text).cast("string").alias(text)).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= group_suffixes / 2)
-        table = np.sort(np.array([r[0] for r in found.select("h").collect()], dtype=np.int64).view(np.uint64))
-        if not len(table):
-            break
-        longer.append(table)
-    return longer
+    reports = cut(docs.select(key, F.col(text).cast("string").alias(text)).mapInArrow(run, "depth int, h long, n long"))
+    total = reports.where("depth = 0").agg(F.sum("n")).first()[0] or 0
+    found = reports.where("depth > 0").groupBy("depth", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, share / 2 * total)).select("depth", "h").collect()
+    return [np.sort(np.array([r[1] for r in found if r[0] == depth], dtype=np.int64).view(np.uint64)) for depth in range(1, most + 1)]
 
 
 def _sum(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,9 +151,9 @@ def _nodes(label: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, sorted_ref > first
 
 
-def marks(docs: DataFrame, homes: int, total: int, key: str, text: str, window: int, group_suffixes: int = GROUP_SUFFIXES, groups: int = 64, flush: int = FLUSH) -> DataFrame:
+def marks(docs: DataFrame, homes: int, key: str, text: str, window: int, groups: int, flush: int = FLUSH) -> DataFrame:
     """(home, docs, marks): blobs of the places at which repeated windows start."""
-    longer = long_prefixes(docs, total, key, text, window, group_suffixes)
+    longer = long_prefixes(docs, 1 / (4 * groups), key, text, window)
     blobs = "bucket int, home int, docs binary, labels binary, refs binary"  # home -1: suffixes for a tree
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,9 +188,10 @@ def marks(docs: DataFrame, homes: int, total: int, key: str, text: str, window:
             if not len(at):
                 continue
             words = part.word_hashes()
-            prefix, _ = _prefixes(words, at, longer)
+            label = ngrams(words, window)[at]
+            prefix = _prefixes(words, at, longer, label)
             ids = np.array([0 if i is None else i for i in part.ids], dtype=np.int64)
-            held.append((ngrams(words, window)[at], (prefix % np.uint64(groups)).astype(np.int32), ids[row], place))
+            held.append((label, (prefix % np.uint64(groups)).astype(np.int32), ids[row], place))
             n += len(at)
             if n >= flush:
                 yield from out()
@@ -207,17 +221,20 @@ def marks(docs: DataFrame, homes: int, total: int, key: str, text: str, window:
     return sent.groupBy("bucket").applyInArrow(tree, "home int, docs binary, marks binary")
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", group_suffixes: int = GROUP_SUFFIXES, flush: int = FLUSH, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", flush: int | None = None, carry: tuple[str, ...] = (), sizes: tuple[int, int] = GROUP_BYTES) -> DataFrame:
     """(key, n_words, n_removed, removed array<struct<start,end>>, kept): kept words joined by a blank; removed are ranges of words.
 
     The key is an integer column.  `carry` names further columns to return, the text too if wanted.
     """
-    carried = [c for c in carry if c not in (key, text)]
-    docs = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text), *carried)
-    total = int((docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) / 6)
-    homes = groups_for(docs, text)
-    marked = marks(docs, homes, total, key, text, window, group_suffixes, 2 * homes, flush)
-    schema = f"{key} long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept string" + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry if c != key)
+    if docs.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{key} is not an integer column")
+    spark = docs.sparkSession
+    names = {c: f"_{i}" for i, c in enumerate(carry) if c not in (key, text)}
+    docs = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text"), *[F.col(c).alias(n) for c, n in names.items()])
+    homes = groups_for(spark, text_bytes(docs, "_text"), sizes)
+    marked = marks(docs, homes, "_key", "_text", window, 2 * homes, flush or (FLUSH if homes <= MANY_GROUPS else FLUSH_MANY))
+    back = [(n, docs.schema[n].dataType) for n in names.values()] + ([("_text", docs.schema["_text"].dataType)] if text in carry else [])
+    schema = "_key long, _n long, _gone long, _ranges array<struct<start:int,end:int>>, _kept string" + "".join(f", {n} {t.simpleString()}" for n, t in back)
 
     def strike(texts: pa.Table, found: pa.Table) -> pa.Table:
         doc, place = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
@@ -229,8 +246,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str
         order = np.argsort(doc, kind="stable")
         doc, place = doc[order], place[order]
         n_words, n_removed, ranges, kept = [], [], [], []
-        ids = texts.column(key).to_pylist()
-        bodies = texts.column(text).cast(pa.binary()) if texts.num_rows else texts.column(text)
+        ids = texts.column("_key").to_pylist()
+        bodies = texts.column("_text").cast(pa.binary()) if texts.num_rows else texts.column("_text")
         for i, body in zip(ids, (b.as_py() for b in bodies), strict=True):
             words = (body or b"").split()
             own = place[np.searchsorted(doc, i) : np.searchsorted(doc, i, side="right")] if i is not None else place[:0]
@@ -251,7 +268,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str
                 last = b
             kept.append(b" ".join(rest + words[last:]))
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return pa.table({key: pa.array(ids, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "removed": pa.array(ranges, kind), "kept": pa.array(kept, pa.binary()).cast(pa.string())} | {c: texts.column(c) for c in carry if c != key})
+        return pa.table({"_key": pa.array(ids, pa.int64()), "_n": pa.array(n_words, pa.int64()), "_gone": pa.array(n_removed, pa.int64()), "_ranges": pa.array(ranges, kind), "_kept": pa.array(kept, pa.binary()).cast(pa.string())} | {n: texts.column(n) for n, _ in back})
 
-    dealt = docs.withColumn("home", F.pmod(F.xxhash64(key), F.lit(homes)).cast("int"))
-    return dealt.groupBy("home").cogroup(marked.groupBy("home")).applyInArrow(strike, schema)
+    dealt = docs.withColumn("_home", group_of("_key", "_text", homes))
+    struck = dealt.groupBy("_home").cogroup(marked.groupBy("home")).applyInArrow(strike, schema)
+    return struck.select(F.col("_key").alias(key), F.col("_n").alias("n_words"), F.col("_gone").alias("n_removed"), F.col("_ranges").alias("removed"), F.col("_kept").alias("kept"), *[F.col("_text" if c == text else names[c]).alias(c) for c in carry if c != key])
