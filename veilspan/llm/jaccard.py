@@ -4,16 +4,19 @@ A document's set holds its distinct n-gram hashes.  Two documents link when
 den * |A & B| >= num * |A | B|.  Equal sets are one class, represented by its
 smallest id; only representatives are joined.
 
-The n-grams have one global order: (level, documents that hold it, hash), where
-level 0 are hashes below a fixed share of the range.  A set reports its level
-0, or everything where level 0 does not hold its prefix; counts are counts of
-reports, so the order is the same for all.  Two linked sets share an n-gram in
+The n-grams have one global order, that of their hashes; its beginning, a fixed
+share of the range, is level 0.  Vertical partitioning cuts the order into
+FRAGMENTS ranges of equal width, which hold equally many n-grams: each fragment
+counts the partial overlap of every candidate pair from its own segments, and
+the parts are summed per pair and verified.  Pairs inside hot groups are counted
+so too.
+
+Candidates come from prefixes.  For these the n-grams inside a level are ordered
+by the number of documents that hold them, rare ones first.  A set reports its
+level 0, or everything where level 0 does not hold its prefix; counts are counts
+of reports, so the order is the same for all.  Two linked sets share an n-gram in
 their prefixes, the first n - ceil(t*n) + 1 in that order.
 
-Vertical partitioning: the order is cut into fragments.  Candidates come from
-prefixes; each fragment counts the partial overlap of every candidate pair
-from its own segments, and the parts are summed per pair and verified.
-
 Hot groups: n-grams held by the prefixes of many sets name a hub (the smallest
 id).  Members of a hub are described by their difference to it.  A member near
 enough to its hub is linked to it by arithmetic alone.  Two members of a hub
@@ -25,7 +28,11 @@ becomes all its pairs, and no link that decides a component is lost.
 Defined results: without words or text a document has the empty set, links
 with nothing and is its own component.  Rows with a null key are returned with
 a null component and link with nothing.  Repeated rows share their component.
-Other columns do not matter.
+Of equal sets the smallest key stands for all; ties in counts are ordered by
+hash.  Where rows of one key have different sets, these rows link with equal
+sets only.
+A text, or a word, of any length is handled whole in one task.  An empty table
+gives no rows.  Other columns do not matter.  A key that is no integer is refused.
 """
 
 from __future__ import annotations
@@ -42,6 +49,8 @@ from .textcore import int_list, mix, ngrams, slices
 
 #: Sets whose prefixes share an n-gram, from which on a hub is named.
 HOT = 32
+#: Members of a hub that share one copy of its set.
+HUB_SHARE = 256
 #: Fragments of the global order.
 FRAGMENTS = 4
 _TOP = 1 << 63
@@ -111,27 +120,39 @@ def _postings(reps: DataFrame, num: int, den: int) -> DataFrame:
     """(id, n, g, pos): n-grams of prefixes that another set reports too."""
     grams = reps.select("id", "n", "m0", F.size("grams").alias("n_all"), F.posexplode("grams").alias("i", "g"))
     grams = grams.withColumn("lvl", F.expr("if(i < m0, 0, 1)")).drop("i")
-    counts = grams.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
+    counts = cut(grams.groupBy("g").agg(F.count("*").alias("c")).where("c > 1"))  # read again, so that a skewed side of the join can be split
     held = grams.join(counts, "g").groupBy("id").agg(F.first("n").alias("n"), F.first("m0").alias("m0"), F.first("n_all").alias("n_all"), F.sort_array(F.collect_list(F.struct("lvl", "c", "g"))).alias("held"))
     return _positions(held, f"x.pos <= n - ceil({num} * n / {den}.0D)", ["id", "n"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of sets (id, grams) that link: partial overlaps of all fragments, summed per pair."""
+def overlaps(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """(a, b, i) of pairs (a, b) of `sets` (id, an array of n-grams): i is the size of the intersection.
+
+    Vertical partitioning: each fragment of the order counts the partial overlap of
+    its own segments, and the parts are summed per pair.
+    """
     width = _TOP // FRAGMENTS
-    cuts = ", ".join(f"struct({f} as f, filter(grams, x -> x >= {f * width}L and x < {min((f + 1) * width, _TOP - 1)}L) as seg)" for f in range(FRAGMENTS))
-    segments = sets.selectExpr("id", "size(grams) n", f"inline(array({cuts}))")
-    left = pairs.join(segments.selectExpr("id a", "n na", "f", "seg sa"), "a")
-    both = left.join(segments.selectExpr("id b", "n nb", "f", "seg sb"), ["b", "f"])
-    parts = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("part"))
-    sums = parts.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("part").alias("i"))
+    cuts = ", ".join(f"struct({f} as f, filter({column}, x -> x >= {f * width}L and x < {min((f + 1) * width, _TOP - 1)}L) as seg)" for f in range(FRAGMENTS))
+    segments = sets.selectExpr("id", f"inline(array({cuts}))").where("size(seg) > 0")
+    both = pairs.join(segments.selectExpr("id a", "f", "seg sa"), "a").join(segments.selectExpr("id b", "f", "seg sb"), ["b", "f"])
+    return both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("part")).groupBy("a", "b").agg(F.sum("part").alias("i"))
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of sets (id, grams) that link."""
+    sizes = sets.selectExpr("id", "size(grams) n")
+    sums = overlaps(pairs, sets, "grams").join(sizes.selectExpr("id a", "n na"), "a").join(sizes.selectExpr("id b", "n nb"), "b")
     return sums.where(f"{den} * i >= {num} * (na + nb - i)").select("a", "b")
 
 
 def _hub_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links that decide components among members (id, hub) of hubs."""
     near = F.expr(f"w <= {den - num} * p")
-    own = members.where("id <> hub").join(sets, "id").join(sets.selectExpr("id hub", "grams base"), "hub")
+    # A hub's set is held once for every HUB_SHARE members, each of which meets one of these copies.
+    copies = members.groupBy("hub").agg(F.ceil(F.count("*") / HUB_SHARE).cast("int").alias("copies"))
+    placed = members.where("id <> hub").join(copies, "hub").withColumn("copy", F.expr("cast(pmod(xxhash64(id), copies) as int)")).select("id", "hub", "copy")
+    bases = sets.withColumnRenamed("id", "hub").join(copies, "hub").select("hub", F.col("grams").alias("base"), F.explode(F.expr("sequence(0, copies - 1)")).alias("copy"))
+    own = placed.join(sets, "id").join(bases, ["hub", "copy"])
     delta = own.selectExpr("id", "hub", "size(base) p", "array_except(base, grams) lost", "array_except(grams, base) more").selectExpr("id", "hub", "p", f"{den} * size(lost) + {num} * size(more) w", "concat(lost, more) d")
     delta = cut(delta.withColumn("near", near))
     star = delta.where("near").selectExpr("hub a", "id b")
@@ -139,7 +160,7 @@ def _hub_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     both = f"ceil((w + 1) / {den + num}.0D)"
     far = f"greatest(1, ceil((w - {den - num} * p) / {den}.0D))"
     rows = delta.selectExpr("id", "hub", "p", "w", "near", "size(d) m", f"size(d) - if(near, {both}, {far}) last", f"size(d) - if(near, {both}, greatest({both}, {far})) last_far", "explode(d) g")
-    counts = rows.groupBy("hub", "g").agg(F.count("*").alias("c"), F.count_if(~F.col("near")).alias("nf")).where("c > 1 and nf > 0")
+    counts = cut(rows.groupBy("hub", "g").agg(F.count("*").alias("c"), F.count_if(~F.col("near")).alias("nf")).where("c > 1 and nf > 0"))
     held = rows.join(counts, ["hub", "g"]).groupBy("id").agg(
         *[F.first(c).alias(c) for c in ("hub", "p", "w", "near", "m", "last", "last_far")],
         F.sort_array(F.collect_list(F.struct(F.lit(0).alias("lvl"), "c", "g"))).alias("held"),
@@ -152,19 +173,23 @@ def _hub_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
             and {den + num} * (1 + least(a.m - a.pos - 1, b.m - b.pos - 1)) >= a.w + b.w - {den - num} * a.p"""
     )
     pairs = cut(a.join(b, on).selectExpr("a.id a", "b.id b").distinct())
-    da, db = (delta.selectExpr(f"id {x}", f"w w{x}", f"d d{x}", "p" if x == "a" else "hub") for x in "ab")
-    more = pairs.join(da, "a").join(db, "b").where(f"{den + num} * size(array_intersect(da, db)) >= wa + wb - {den - num} * p").select("a", "b")
+    sums = overlaps(pairs, delta, "d").join(delta.selectExpr("id a", "w wa", "p"), "a").join(delta.selectExpr("id b", "w wb"), "b")
+    more = sums.where(f"{den + num} * i >= wa + wb - {den - num} * p").select("a", "b")
     return star.unionByName(more)
 
 
 def representatives(docs: DataFrame, n: int, num: int, den: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(sketch of every row, links between representatives)."""
+    if docs.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{key} is not an integer column")
     docs = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
     sketch = cut(sketches(docs, n, num, den, key, text))
-    reps = sketch.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "m0", "grams")).alias("x")).select("n", "x.*")
+    several = sketch.where("n > 0").groupBy("id").agg(F.min(F.struct("k1", "k2", "n")).alias("lo"), F.max(F.struct("k1", "k2", "n")).alias("hi")).where("lo <> hi").select("id", F.lit(True).alias("odd"))
+    sketch = sketch.join(if_small(cut(several)), "id", "left").withColumn("odd", F.expr("coalesce(odd, false)"))
+    reps = sketch.where("n > 0 and id is not null and not odd").groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "m0", "grams")).alias("x")).select("n", "x.*")
     postings = cut(_postings(reps, num, den))
-    hot = postings.groupBy("g").agg(F.count("*").alias("c"), F.min("id").alias("hub")).where(F.col("c") > HOT).select("g", "hub")
-    hubs = postings.join(hot, "g").groupBy("id").agg(F.min("hub").alias("hub"))
+    hot = cut(postings.groupBy("g").agg(F.count("*").alias("c"), F.min("id").alias("hub")).where(F.col("c") > HOT).select("g", "hub"))
+    hubs = cut(postings.join(hot, "g").groupBy("id").agg(F.min("hub").alias("hub")))
     for _ in range(2):  # a hub's own hub
         hubs = hubs.join(hubs.selectExpr("id as hub", "hub as up"), "hub", "left").selectExpr("id", "coalesce(up, hub) hub")
     hubs = cut(hubs)
@@ -189,7 +214,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str =
     """
     sketch, links = representatives(docs, n, num, den, key, text)
     labels = components(links)
-    classes = sketch.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("class_id"))
+    classes = sketch.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min(F.struct("odd", "id")).alias("x")).selectExpr("k1", "k2", "n", "x.id class_id")
     classes = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").selectExpr("k1", "k2", "n", "class_id", "coalesce(component, class_id) component_id")
     rows = sketch.select("id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
     return rows.selectExpr(f"id as {key}", "cast(n as long) n_shingles", "if(id is null, null, coalesce(class_id, id)) class_id", "if(id is null, null, coalesce(component_id, id)) component_id")
