@@ -13,7 +13,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspan.llm import encoding, importance, jaccard, licenses, lm, pieces, quality_rules, substrings, tiling, token_counts, toxicity
-from veilspan.llm.pieces import PrefixTable, vocabulary
+from veilspan.llm.lookup import Lookup
+from veilspan.llm.pieces import vocabulary
+from veilspan.llm.prefixes import PrefixTable, programme
 from veilspan.llm.queries import model_path, remainder
 from veilspan.llm.tables import components
 
@@ -112,6 +114,53 @@ def test_jaccard_edges(spark, docs, none):
     assert got == [(-1, None), (3, 3), (3, 3), (5, 3), (8, 8), (9, 9)]
 
 
+def test_jaccard_odd_keys(spark):
+    """Rows of one key with different texts link with equal sets only; other keys are not disturbed."""
+    base = " ".join(f"w{i}" for i in range(60))
+    near = base + " more"
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(frame(spark, [(1, base), (1, "quite other words stand in this one"), (2, near), (3, base), (4, base + " tail")])).collect())
+    assert got == [(1, 3, 1), (1, 56, 2), (2, 57, 2), (3, 56, 2), (4, 57, 2)]
+    with pytest.raises(ValueError):
+        jaccard.join(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def marker(n):
+    """The first n letters of the Thue-Morse word over a and b, and its complement: alike under sums of powers modulo 2**64."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [8, 64, 1024, 2048, 4096])
+def test_words_that_differ_have_different_hashes(spark, n):
+    """Texts that share no word but marker words that collide under weak hashes: nothing links, repeats or is known."""
+    from veilspan.llm.textcore import byte_hashes
+
+    a, b = marker(n)
+    data = np.frombuffer((a + b).encode(), dtype=np.uint8)
+    assert len(set(byte_hashes(data, np.array([0, n]), np.array([n, 2 * n])).tolist())) == 2
+    left, right = ("\n".join([f"{w}{i % 2}" if i % 2 else w for i in range(40)]) for w in (a, b))
+    docs = frame(spark, [(1, left), (2, right)])
+    assert {r.doc_id: r.component_id for r in jaccard.join(docs).collect()} == {1: 1, 2: 2}
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in substrings.dedup(docs).collect()} == {i: x[:2] for i, x in brute_dedup([(1, left), (2, right)]).items()}
+    assert {r.doc_id: r.n_known for r in lm.score(docs, F.col("doc_id") == 1).collect()} == {1: 41, 2: 1}
+    items = spark.createDataFrame([(1, left)], "item_id long, text string")
+    assert {r.doc_id: r.contaminated for r in tiling.decontaminate(docs, items).collect()} == {1: True, 2: False}
+
+
+def test_hashes_of_all_lengths():
+    """Equal bytes have equal hashes wherever they stand; words of up to 70 bytes that differ in one byte differ."""
+    from veilspan.llm.textcore import byte_hashes
+
+    rng = random.Random(7)
+    words_ = [bytes(rng.choice(b"ab\x00\xff") for _ in range(n)) for n in range(1, 71) for _ in range(20)]
+    words_ = sorted(set(words_ + [w + b"\x00" for w in words_]))
+    order = rng.sample(range(len(words_)), len(words_)) * 2
+    data = np.frombuffer(b" ".join(words_[i] for i in order), dtype=np.uint8)
+    ends = np.cumsum([len(words_[i]) + 1 for i in order]) - 1
+    h = byte_hashes(data, ends - np.array([len(words_[i]) for i in order]), ends)
+    assert (h[: len(words_)] == h[len(words_) :]).all() and len(set(h.tolist())) == len(words_)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
@@ -136,9 +185,9 @@ def brute_dedup(rows, window=20):
     return out
 
 
-@pytest.mark.parametrize(("group", "flush"), [(3_000_000, 2_000_000), (200, 500)])
-def test_dedup(docs, rows, group, flush):
-    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substrings.dedup(docs, group_suffixes=group, flush=flush).collect()}
+@pytest.mark.parametrize(("sizes", "flush"), [((24 << 20, 24 << 20), 2_000_000), ((9_000, 9_000), 500)])
+def test_dedup(docs, rows, sizes, flush):
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substrings.dedup(docs, sizes=sizes, flush=flush).collect()}
     assert got == brute_dedup(rows)
 
 
@@ -176,7 +225,8 @@ def brute_ppm(train, text, order):
     return total
 
 
-def test_lm(docs, rows):
+@pytest.mark.parametrize(("order", "share", "size"), [(3, 1, 1 << 25), (5, 1, 1 << 25), (5, 0.0005, 4_000)])
+def test_lm(docs, rows, order, share, size):
     few = [r for r in rows if len(r[1] or "") < 3000][:60]
     part = docs.where(F.col("doc_id").isin([i for i, _ in few]))
     import zlib
@@ -185,14 +235,14 @@ def test_lm(docs, rows):
     train = [t for i, t in few if not held[i]]
     counts = Counter(w for t in train for w in [*words(t, True), None])
     total, distinct = sum(counts.values()), len(counts)
-    got = {r.doc_id: r for r in lm.score(part, remainder(7) != 2, order=3).collect()}
+    got = {r.doc_id: r for r in lm.score(part, remainder(7) != 2, order=order, least_share=share, sizes=(size, size)).collect()}
     assert len(got) == len(few)
     for i, t in few:
         tokens = [*words(t, True), None]
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(counts[w] > 0 for w in tokens), total)
         assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in tokens), rel_tol=1e-9, abs_tol=1e-9)
-        assert math.isclose(r.score, brute_ppm(train, t, 3), rel_tol=1e-9, abs_tol=1e-9)
+        assert math.isclose(r.score, brute_ppm(train, t, order), rel_tol=1e-9, abs_tol=1e-9)
 
 
 def test_lm_edges(spark, none):
@@ -242,7 +292,7 @@ def test_token_counts(docs, rows, none):
     assert token_counts.count_tokens(none, model_path()).count() == 0
 
 
-@pytest.mark.parametrize("text", ["hello there  world\n\tthe end", "Été naïve ▁mark x y 你好", " leading", "a", "aaaaaaabbb  "])
+@pytest.mark.parametrize("text", ["hello there  world\n\tthe end", "Été naïve ▁mark x y 你好", " leading", "a", "aaaaaaabbb  ", "  ", "▁", "unbroken" * 30 + "😀"])
 def test_prefix_counts(text):
     v = vocabulary(model_path())
     table = PrefixTable(v, text)
@@ -252,6 +302,52 @@ def test_prefix_counts(text):
         assert table.fit(budget) == max(k for k, c in enumerate(want) if c <= budget)
 
 
+def test_prefix_programme(rows, monkeypatch):
+    """Totals of all units and counts of their prefixes equal the library's, together and one by one."""
+    v, rng = vocabulary(model_path()), random.Random(2)
+    letters = ["a", "e", "n", "s", "t", "th", "ing", "\n", "é", "世", "😀", "0", "\t", "-"]
+    units = {u for _, t in rows for u in v.units(t or "")} | {" " * rng.randint(1, 4) + "".join(rng.choice(letters) for _ in range(rng.randint(0, 70))) for _ in range(1500)}
+    units = sorted(units)
+    got = programme(v).counts(units)
+    assert [c[-1] for c in got] == v.unit_counts(units)
+    some = rng.sample(range(len(units)), 120)
+    for i in some:
+        assert list(got[i])[1:] == [len(v.library.encode(units[i][1:k])) for k in range(2, len(units[i]) + 1)], units[i]
+    monkeypatch.setattr("veilspan.llm.prefixes.TOGETHER", 0)
+    assert programme(v).counts([units[i] for i in some]) == [got[i] for i in some]
+    assert programme(v).counts([]) == []
+
+
+def test_token_count_edges(spark, monkeypatch):
+    """Null and repeated keys, a long unbroken text, truncation, counts of all prefixes; tables that overflow change nothing."""
+    v = vocabulary(model_path())
+    texts = [(None, "one two"), (None, None), (5, "same words"), (5, "same words"), (6, ""), (7, "x" * 1_000_000), (8, "Été ▁ naïve 你好 " * 40)]
+    docs = frame(spark, texts)
+    want = sorted((str(i), len((t or "").encode()), len(v.library.encode(t or ""))) for i, t in texts)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(docs, model_path()).collect()) == want
+    for r in token_counts.truncate(docs, model_path(), 9).collect():
+        whole = [t or "" for i, t in texts if i == r.doc_id and (t or "").startswith(r.text)]
+        assert whole and r.n_tokens == len(v.library.encode(r.text)) <= 9
+        assert any(r.text == t or len(v.library.encode(t[: len(r.text) + 1])) > 9 for t in whole)
+    counts = {r.doc_id: r.counts for r in token_counts.prefix_counts(docs.where("doc_id in (5, 6, 8)"), model_path()).collect()}
+    assert counts[6] == [] and counts[5] == [len(v.library.encode("same words"[:k])) for k in range(1, 11)]
+    assert counts[8][100:110] == [len(v.library.encode(texts[6][1][:k])) for k in range(101, 111)]
+    monkeypatch.setattr(token_counts, "REMEMBERED", 3)
+    held, lines = token_counts.Remembered(v), [f"word{i % 7} other{i}" for i in range(60)]
+    for line in lines:
+        assert [c[-1] for c in held.of([v.units(line)])[0]] == v.unit_counts(v.units(line))
+
+
+def test_lookup():
+    rng = np.random.default_rng(8)
+    keys = rng.choice(1 << 62, 5000, replace=False)
+    table = Lookup(keys[:10], np.arange(10))
+    for a in range(10, 5000, 499):
+        table.add(keys[a : a + 499], np.arange(a, a + len(keys[a : a + 499])))
+    assert len(table) == 5000 and (table.get(keys) == np.arange(5000)).all()
+    assert (table.get(keys + 1)[~np.isin(keys + 1, keys)] == -1).all() and len(table.get(keys[:0])) == 0
+
+
 @pytest.mark.parametrize("drop", [0, 1 << 29, 1 << 31, (1 << 32) - 1])
 def test_matrix_of_agendas_equals_one_agenda(rows, drop):
     v, rng = vocabulary(model_path()), random.Random(9)
