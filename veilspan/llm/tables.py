@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -11,13 +12,15 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side counts as small enough to broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[object, object]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder named by spark.checkpoint.dir; where it is unset, one of our own, if all of Spark is one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all nodes share")
         folder = getattr(shared_folder, "own", None) or tempfile.mkdtemp(prefix="veilspan-")
         shared_folder.own = folder
     return folder.rstrip("/")
@@ -25,21 +28,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 @atexit.register
 def _remove_written() -> None:
-    for spark, path in _written:
+    """Deletes what was written, also after the session has been stopped; it is left behind only where the JVM has ended before us."""
+    for system, at in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session has ended before us
+            system.delete(at, True)
+        except Exception:  # the JVM is gone
             return
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when Python ends."""
+    path = f"{shared_folder(spark)}/veilspan-{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _written.append((at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at))
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/veilspan-{uuid.uuid4().hex}"
+    path = new_folder(spark, "cut")
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
