@@ -13,7 +13,8 @@ from veilspan.functions import transforms as T
 from veilspan.functions.context import public_figure
 from veilspan.functions.detect import cpf, luhn, resolve, scan, spans
 from veilspan.operators import inspect, reports
-from veilspan.plans.policy import PROFILES, Policy, Rule, blocks, decide, validate
+from veilspan.plans.policy import Policy, Rule, blocks, decide, validate
+from veilspan.plans.profiles import PROFILES
 from veilspan.sources.payloads import rewrite, sse_events, surfaces
 from veilspan.streaming.holdback import TextState
 

@@ -24,19 +24,24 @@ def replaced(entity: Column, literal: str | None) -> Column:
     return F.lit(literal) if literal else F.concat(F.lit("<"), entity, F.lit(":REPLACED>"))
 
 
-def hashed(entity: Column, value: Column, algo: str = "sha256") -> Column:
-    """Marker with the first 16 hex digits; blake2b has no built-in form and runs in an Arrow function."""
-    if algo in ("sha256", "sha512"):
-        digest = F.sha2(value, int(algo[3:]))
-    elif algo == "blake2b":
+def blake2b(values: Column) -> Column:
+    """Hex digests of an array of values; there is no built-in form, so an Arrow function makes them."""
+
+    @F.pandas_udf("array<string>")
+    def run(rows):
+        import hashlib
+
+        return rows.map(lambda row: None if row is None else [hashlib.blake2b(v.encode()).hexdigest() for v in row])
 
-        @F.pandas_udf("string")
-        def blake(v):
-            import hashlib
+    return run(values)
 
-            return v.map(lambda x: None if x is None else hashlib.blake2b(x.encode()).hexdigest())
 
-        digest = blake(value)
+def hashed(entity: Column, value: Column, algo: str = "sha256", digest: Column | None = None) -> Column:
+    """Marker with the first 16 hex digits; a blake2b digest is made beforehand or, outside arrays, here."""
+    if algo in ("sha256", "sha512"):
+        digest = F.sha2(value, int(algo[3:]))
+    elif algo == "blake2b":
+        digest = blake2b(F.array(value))[0] if digest is None else digest
     else:
         raise ValueError(f"unknown hash {algo}")
     return F.concat(F.lit("<"), entity, F.lit(f":HASH:{algo}="), F.substring(digest, 1, 16), F.lit(">"))
@@ -67,3 +72,48 @@ def splice(text: Column, edits: Column) -> Column:
 def without_overlaps(edits: Column) -> Column:
     """Of edits sorted by (start, -priority, -length), those that begin at or after the end of the last kept."""
     return F.aggregate(edits, F.slice(edits, 1, 0), lambda kept, e: F.when(F.coalesce(F.try_element_at(kept, F.lit(-1))["end"], F.lit(0)) <= e["start"], F.concat(kept, F.array(e))).otherwise(kept))
+
+
+def _fernet_keys(key: str) -> tuple[bytes, bytes]:
+    """(signing key, encryption key) of a url-safe base64 key of 32 bytes."""
+    import base64
+    import binascii
+
+    try:
+        raw = base64.urlsafe_b64decode(key)
+    except (ValueError, binascii.Error):
+        raw = b""
+    if len(raw) != 32:
+        raise ValueError("an encryption key is 32 bytes as url-safe base64")
+    return raw[:16], raw[16:]
+
+
+def _hex(value: bytes) -> Column:
+    return F.unhex(F.lit(value.hex()))
+
+
+def sealed(value: Column, key: str, at: int) -> Column:
+    """A token of the Fernet form: version, time `at` in seconds, initialisation vector, AES-128-CBC text and HMAC-SHA256.
+
+    The vector is a keyed hash of the value, so that a task that runs again writes the
+    same token; equal values have equal tokens.
+    """
+    signing, secret = _fernet_keys(key)
+    plain = F.encode(value, "UTF-8")
+    iv = F.unhex(F.substring(hmac_sha256(signing, F.concat(_hex(b"iv"), plain)), 1, 32))
+    body = F.concat(_hex(b"\x80" + at.to_bytes(8, "big")), F.aes_encrypt(plain, _hex(secret), F.lit("CBC"), F.lit("PKCS"), iv))
+    return F.translate(F.base64(F.concat(body, F.unhex(hmac_sha256(signing, body)))), "+/\r\n", "-_")
+
+
+def unsealed(token: Column, key: str) -> Column:
+    """The value of such a token; null where it was not made with the key."""
+    signing, secret = _fernet_keys(key)
+    raw = F.try_to_binary(F.translate(token, "-_", "+/"), F.lit("base64"))
+    size = F.octet_length(raw)
+    body, mark = F.substr(raw, F.lit(1), size - 32), F.substr(raw, size - 31, F.lit(32))
+    good = (size >= 73) & (F.unhex(hmac_sha256(signing, body)) == mark)
+    return F.when(good, F.decode(F.try_aes_decrypt(F.substr(body, F.lit(10), size - 41), _hex(secret), F.lit("CBC"), F.lit("PKCS")), "UTF-8"))
+
+
+def encrypted(entity: Column, value: Column, key: str, at: int) -> Column:
+    return F.concat(F.lit("<"), entity, F.lit(":ENC:"), sealed(value, key, at), F.lit(">"))

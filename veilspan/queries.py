@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .functions import transforms as T
 from .functions.detect import scan, spans
 from .operators import inspect, reports
-from .plans.policy import PROFILES, Policy, Rule, decide, decide_by_join
+from .plans.policy import Policy, Rule, decide, decide_by_join
+from .plans.profiles import PROFILES
 
 KEY = b"an example key for tests only"
 
