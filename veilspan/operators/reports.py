@@ -6,17 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def audit_events(inspected: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, decision_count, blocked, audit_event JSON); values are replaced by their length."""
+def audit_events(inspected: DataFrame, key: str = "doc_id", evidence: bool = True, named_rules: bool = True) -> DataFrame:
+    """(key, decision_count, blocked, audit_event JSON); values are replaced by their length.
+
+    `evidence`: findings stand in the event; `named_rules`: action, rule and severity do.
+    """
     safe = F.transform(
         "findings",
         lambda x: F.struct(
-            x["decision"]["action"].alias("action"), x["decision"]["rule_id"].alias("rule_id"), x["decision"]["severity"].alias("severity"),
-            F.struct(x["span"]["entity"].alias("entity"), x["span"]["start"].alias("start"), x["span"]["end"].alias("end"), x["span"]["confidence"].alias("confidence"), x["span"]["detector_id"].alias("detector_id"), F.concat(F.lit("[REDACTED len="), F.length(x["span"]["value"]), F.lit("]")).alias("value")).alias("finding"),
+            *([x["decision"]["action"].alias("action"), x["decision"]["rule_id"].alias("rule_id"), x["decision"]["severity"].alias("severity")] if named_rules else []),
+            *([F.struct(x["span"]["entity"].alias("entity"), x["span"]["start"].alias("start"), x["span"]["end"].alias("end"), x["span"]["confidence"].alias("confidence"), x["span"]["detector_id"].alias("detector_id"), F.concat(F.lit("[REDACTED len="), F.length(x["span"]["value"]), F.lit("]")).alias("value")).alias("finding")] if evidence else [x["span"]["entity"].alias("entity")]),
         ),
     )
-    n = F.size("findings")
-    return inspected.select(key, n.cast("long").alias("decision_count"), "blocked", F.to_json(F.struct(n.alias("decision_count"), "blocked", safe.alias("decisions"))).alias("audit_event"))
+    n = F.coalesce(F.size("findings"), F.lit(0))
+    reask = F.coalesce(F.exists("findings", lambda x: F.coalesce(x["decision"]["on_fail"] == "reask", F.lit(False))), F.lit(False))
+    return inspected.select(key, n.cast("long").alias("decision_count"), "blocked", F.to_json(F.struct(n.alias("decision_count"), "blocked", reask.alias("reask_hint"), safe.alias("decisions"))).alias("audit_event"))
 
 
 def audit_summary(decisions: DataFrame, columns: list[str]) -> DataFrame:
@@ -31,11 +35,32 @@ def export_sets(decisions: DataFrame, key: str, columns: list[str]) -> DataFrame
 
 
 def durations(metrics: DataFrame, name: str, value: str) -> DataFrame:
-    """(name, n, min, p50, p95, max, avg); a percentile p is the value at index round((n-1)p), half to even."""
-    s = F.sort_array(F.collect_list(value))
-    at = lambda p: F.get("s", F.bround((F.col("n") - 1) * F.lit(p)).cast("int"))
-    out = metrics.where(F.col(value).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.avg(value), 6).alias("avg"), s.alias("s"))
-    return out.select("name", "n", "min", at(0.5).alias("p50"), at(0.95).alias("p95"), "max", "avg")
+    """(name, n, min, p50, p95, max, avg); a percentile p is the value at index round((n-1)p), half to even.
+
+    Values are counted first, so a window runs over the distinct values of a name, not over its rows.
+    """
+    from pyspark.sql import Window as W
+
+    counted = metrics.where(F.col(value).isNotNull()).groupBy(F.col(name).alias("name"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    upto = counted.withColumn("upto", F.sum("c").over(W.partitionBy("name").orderBy("v"))).withColumn("n", F.sum("c").over(W.partitionBy("name")))
+    at = lambda p: F.min(F.when(F.col("upto") > F.bround((F.col("n") - 1) * F.lit(p)), F.col("v")))
+    return upto.groupBy("name").agg(F.sum("c").alias("n"), F.min("v").alias("min"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("v").alias("max"), F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 6).alias("avg"))
+
+
+def prometheus(counts: DataFrame, prefix: str = "veilspan_") -> DataFrame:
+    """(line): counters (key, n) in the text form of Prometheus; label values in quotes."""
+    name, labels = F.substring_index("key", "{", 1), F.regexp_extract("key", r"\{(.*)\}", 1)
+    quoted = F.regexp_replace(labels, r"([^,=]+)=([^,]*)", '$1="$2"')
+    body = F.when(labels == "", F.lit("")).otherwise(F.concat(F.lit("{"), quoted, F.lit("}")))
+    return counts.select(F.concat(F.lit(prefix), F.regexp_replace(name, r"[^A-Za-z0-9_:]", "_"), body, F.lit(" "), F.col("n").cast("string")).alias("line"))
+
+
+def sweep(found: DataFrame, thresholds: list[float], by: list[str]) -> DataFrame:
+    """(threshold, by..., n): findings with at least each confidence; each finding is counted once, then sums run over bands."""
+    bands = F.size(F.filter(F.array(*map(F.lit, sorted(thresholds))), lambda t: t <= F.col("confidence")))
+    counted = found.groupBy(*by, bands.alias("band")).agg(F.count("*").alias("c"))
+    rows = counted.select(*by, "c", F.explode(F.slice(F.array(*map(F.lit, sorted(thresholds))), F.lit(1), F.col("band"))).alias("threshold"))
+    return rows.groupBy("threshold", *by).agg(F.sum("c").alias("n"))
 
 
 def counters(metrics: DataFrame, name: str, labels: list[str]) -> DataFrame:

@@ -169,17 +169,19 @@ def decide(policy: Policy, entity: Column, surface: Column, confidence: Column)
 
 
 def rule_table(spark, policy: Policy) -> DataFrame:
-    """(rank, rule_id, action, entity, surface, min_confidence): the rules spelled out; a null matches all."""
-    rows = [(k, r.id, r.action, e, s, r.min_confidence) for k, r in enumerate(policy.ranked()) for e in (r.members() or [None]) for s in (r.surfaces or [None])]
-    return spark.createDataFrame(rows, "rank int, rule_id string, action string, rule_entity string, rule_surface string, min_confidence double")
+    """(entity, surface, rank, rule_id, action, min_confidence): the rules spelled out for every known entity and surface that they match."""
+    everything = sorted(known_entities())
+    rows = [(e, s, k, r.id, r.action, r.min_confidence) for k, r in enumerate(policy.ranked()) for e in (r.members() if r.entities or r.categories else [e for e in everything if e not in r.excepted]) for s in (r.surfaces or SURFACES)]
+    return spark.createDataFrame(rows, "entity string, surface string, rank int, rule_id string, action string, min_confidence double")
 
 
 def decide_by_join(policy: Policy, findings: DataFrame, keys: list[str]) -> DataFrame:
-    """The same decision as a theta join with the rule table and the lowest rank for each key."""
-    rules = F.broadcast(rule_table(findings.sparkSession, policy))  # a few hundred rows of one policy
-    on = (F.col("rule_entity").isNull() | (F.col("rule_entity") == F.col("entity"))) & (F.col("rule_surface").isNull() | (F.col("rule_surface") == F.col("surface"))) & (F.col("confidence") >= F.col("min_confidence"))
+    """The same decision as an equi-join with the rule table and the lowest rank for each key."""
+    rules = F.broadcast(rule_table(findings.sparkSession, policy))  # rules x entities x surfaces of one policy
     scoped = F.col("entity").isin(policy.scoped()) if policy.scope else F.lit(True)
-    return findings.join(rules, on & scoped, "left").groupBy(*keys).agg(F.min_by(F.struct("action", "rule_id"), F.coalesce("rank", F.lit(1 << 30))).alias("d")).select(*keys, F.coalesce("d.action", F.lit("allow")).alias("action"), F.coalesce("d.rule_id", F.lit("default-allow")).alias("rule_id"))
+    met = findings.join(rules, ["entity", "surface"], "left").withColumn("fits", scoped & (F.col("confidence") >= F.col("min_confidence")))
+    best = F.min_by(F.when(F.col("fits"), F.struct("action", "rule_id")), F.when(F.col("fits"), F.col("rank")).otherwise(F.lit(1 << 30)))
+    return met.groupBy(*keys).agg(best.alias("d")).select(*keys, F.coalesce("d.action", F.lit("allow")).alias("action"), F.coalesce("d.rule_id", F.lit("default-allow")).alias("rule_id"))
 
 
 def applies(mode: str, action: Column, on_fail: Column) -> Column:

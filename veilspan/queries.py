@@ -6,22 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import transforms as T
-from .functions.detect import scan, spans
-from .operators import inspect, reports
-from .plans.policy import Policy, Rule, decide, decide_by_join
+from .functions.detect import spans
+from .functions.native import native_spans
+from .functions.patterns import CATEGORIES, CLINICAL_WORDS, ROLE_ACCOUNTS
+from .operators import inspect, ranges, reports
+from .plans.policy import Policy, Rule, applies, blocks, decide, decide_by_join
 from .plans.profiles import PROFILES
 
 KEY = b"an example key for tests only"
+MAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+CARD = r"\b(?:\d[ -]*?){13,19}\b"
+PHONE = r"\b(?:\+?1[-. ]?)?\(?\d{3}\)?[-. ]\d{3}[-. ]\d{4}\b"
+ABROAD = r"(?:\+55\s*)?\([1-9]{2}\)\s?9?\d{4}[-\s]\d{4}"
+MAIL_POLICY = Policy("mail", (Rule("r", "redact", ("EMAIL",), priority=1),), detectors=("regex",))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of texts, dealt to all cores where it has fewer files than there are; larger tables are read as they lie."""
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
+# -- spans ---------------------------------------------------------------
+
+
 def _spans_of(entity: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = table(spark, sf_dir, "documents").select("doc_id", F.inline(spans(F.col("text"), ("regex",), resolved=False)))
-        return found.where(F.col("entity") == entity).select("doc_id", "value", F.length("value").cast("long").alias("n"))
+        found = texts(spark, sf_dir).select("doc_id", native_spans(F.col("text"), (entity,)).alias("s")).select("doc_id", F.inline("s"))
+        return found.select("doc_id", "value", F.length("value").cast("long").alias("n"))
 
     query.__name__ = f"spans_{entity.lower()}"
     return query
@@ -31,34 +48,158 @@ def _values(pattern: str, keep: str = "true") -> str:
     return f"SELECT doc_id, value, length(value) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{pattern}')) AS value FROM documents) WHERE {keep}"
 
 
-_LUHN = """length(regexp_replace(value, '\\D', '', 'g')) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(regexp_replace(value, '\\D', '', 'g')) + 1),
-    lambda i: CASE WHEN i % 2 = 1 THEN regexp_replace(value, '\\D', '', 'g')[-i]::INT ELSE (2 * regexp_replace(value, '\\D', '', 'g')[-i]::INT) // 10 + (2 * regexp_replace(value, '\\D', '', 'g')[-i]::INT) % 10 END)) % 10 = 0"""
-_NOT_ROLE = "lower(split_part(value, '@', 1)) NOT IN ('noreply','no-reply','donotreply','do-not-reply','support','info','admin','notifications','postmaster','webmaster','abuse','security')"
+_DIGITS = r"regexp_replace(value, '\D', '', 'g')"
+_LUHN = f"""length({_DIGITS}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1),
+    lambda i: CASE WHEN i % 2 = 1 THEN {_DIGITS}[-i]::INT ELSE (2 * {_DIGITS}[-i]::INT) // 10 + (2 * {_DIGITS}[-i]::INT) % 10 END)) % 10 = 0"""
+_ROLES = ", ".join(f"'{a}'" for a in ROLE_ACCOUNTS)
+_NOT_ROLE = f"lower(split_part(value, '@', 1)) NOT IN ({_ROLES})"
+#: Findings of three entities over all documents, as SQL.
+_THREE = f"""SELECT doc_id, value, 'EMAIL' AS entity, 'regex.email' AS detector_id FROM ({_values(MAIL, _NOT_ROLE)})
+    UNION ALL SELECT doc_id, value, 'CREDIT_CARD', 'regex.credit_card_luhn' FROM ({_values(CARD, _LUHN)})
+    UNION ALL SELECT doc_id, value, 'PHONE', 'regex.phone' FROM ({_values(PHONE)})
+    UNION ALL SELECT doc_id, value, 'PHONE', 'regex.brazil_phone' FROM ({_values(ABROAD)})"""
+
+
+def _three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = texts(spark, sf_dir).select("doc_id", "lang", "source", native_spans(F.col("text"), ("EMAIL", "CREDIT_CARD", "PHONE")).alias("s"))
+    return found.select("doc_id", "lang", "source", F.inline("s"))
+
 
-#: Injected identifiers: deterministic texts made of key columns.
-_CUSTOMER = "concat('Customer ', c_name, ' SSN: ', lpad(cast(c_custkey % 900 + 100 as string), 3, '0'), '-', lpad(cast(c_custkey % 90 + 10 as string), 2, '0'), '-', lpad(cast(c_custkey as string), 4, '0'), ' MRN ', lpad(cast(c_custkey as string), 8, '0'), ' IBAN DE', lpad(cast(c_custkey % 100 as string), 2, '0'), lpad(cast(c_custkey as string), 18, '0'))"
-#: The same text for keys of any size: the last four digits of the number are those of the key.
-_ANY_CUSTOMER = _CUSTOMER.replace("lpad(cast(c_custkey as string), 4, '0')", "lpad(cast(c_custkey % 10000 as string), 4, '0')")
+#: Injected identifiers: deterministic texts made of key columns; the last four digits of the number are those of the key.
+_CUSTOMER = "concat('Customer ', c_name, ' SSN: ', lpad(cast(c_custkey % 900 + 100 as string), 3, '0'), '-', lpad(cast(c_custkey % 90 + 10 as string), 2, '0'), '-', lpad(cast(c_custkey % 10000 as string), 4, '0'), ' MRN ', lpad(cast(c_custkey as string), 8, '0'), ' IBAN DE', lpad(cast(c_custkey % 100 as string), 2, '0'), lpad(cast(c_custkey as string), 18, '0'))"
 
 
 def injected_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_ANY_CUSTOMER).alias("text"))
-    found = texts.select("c_custkey", F.inline(spans(F.col("text"), ("regex",), resolved=False)))
-    return found.where(F.col("entity").isin("US_SSN", "MRN", "IBAN")).select("c_custkey", "entity", F.col("start").cast("long").alias("start"), "value")
+    rows = texts(spark, sf_dir, "customer").select("c_custkey", F.expr(_CUSTOMER).alias("text"))
+    found = rows.select("c_custkey", spans(F.col("text"), ("regex",), resolved=False, wanted=("US_SSN", "MRN", "IBAN")).alias("s")).select("c_custkey", F.inline("s"))
+    return found.select("c_custkey", "entity", F.col("start").cast("long").alias("start"), "value")
 
 
-_INJECTED_SQL = f"""WITH t AS (SELECT c_custkey, {_CUSTOMER.replace('as string', 'as varchar')} AS text FROM customer WHERE c_custkey < 10000),
+_INJECTED_SQL = f"""WITH t AS (SELECT c_custkey, {_CUSTOMER.replace('as string', 'as varchar')} AS text FROM customer),
     v AS (SELECT c_custkey, 'US_SSN' AS entity, text, regexp_extract(text, '\\b\\d{{3}}-\\d{{2}}-\\d{{4}}\\b') AS value FROM t
     UNION ALL SELECT c_custkey, 'MRN', text, regexp_extract(text, '(?i)\\bMRN[:# ]{{0,3}}[A-Z0-9-]{{5,}}\\b') FROM t
     UNION ALL SELECT c_custkey, 'IBAN', text, regexp_extract(text, '\\b[A-Z]{{2}}\\d{{2}}[A-Z0-9]{{11,30}}\\b') FROM t)
     SELECT c_custkey, entity, instr(text, value) - 1 AS start, value FROM v WHERE value <> ''"""
 
+#: Provider keys made of key columns, one kind a supplier; written in parts, so that the texts look like keys only when put together.
+_KEYS = {
+    "regex.aws_access_key": ("AWS_KEY", "'AK' || 'IA' || upper(substr(sha256(s_name), 1, 16))"),
+    "regex.github_token": ("API_KEY", "'gh' || 'p_' || substr(sha256(s_name), 1, 40)"),
+    "regex.stripe_key": ("API_KEY", "'sk' || '_live_' || substr(sha256(s_name), 1, 24)"),
+    "regex.google_api_key": ("API_KEY", "'AI' || 'za' || substr(sha256(s_name), 1, 35)"),
+    "regex.npm_token": ("API_KEY", "'np' || 'm_' || substr(sha256(s_name), 1, 36)"),
+    "regex.sendgrid_key": ("API_KEY", "'S' || 'G.' || substr(sha256(s_name), 1, 22) || '.' || substr(sha256(s_name), 1, 43)"),
+    "regex.digitalocean_token": ("API_KEY", "'do' || 'p_v1_' || sha256(s_name)"),
+    "regex.twilio_sid": ("API_KEY", "'A' || 'C' || substr(sha256(s_name), 1, 32)"),
+    "regex.mailgun_key": ("API_KEY", "'ke' || 'y-' || substr(sha256(s_name), 1, 32)"),
+    "regex.datadog_key": ("DATADOG_KEY", "substr(sha256(s_name), 1, 32)"),
+    "regex.linode_token": ("API_KEY", "sha256(s_name)"),
+    "regex.azure_storage_key": ("AZURE_KEY", "substr(sha256(s_name), 1, 60)"),
+    "regex.aws_secret_access_key": ("AWS_KEY", "substr(sha256(s_name), 1, 40)"),
+    "regex.bearer_token": ("BEARER_TOKEN", "substr(sha256(s_name), 1, 30)"),
+}
+_BEFORE_KEY = {
+    "regex.twilio_sid": "twilio ", "regex.mailgun_key": "mailgun ", "regex.datadog_key": "dd_api_key: ", "regex.linode_token": "linode token = ", "regex.azure_storage_key": "AccountKey=",
+    "regex.aws_secret_access_key": "aws_secret_key = ", "regex.bearer_token": "authorization: bearer ",
+}
+
+
+def _key_case(spark_dialect: bool, what: str) -> str:
+    parts = []
+    for k, (detector, (entity, value)) in enumerate(_KEYS.items()):
+        value = value.replace("sha256(s_name)", "sha2(s_name, 256)") if spark_dialect else value
+        shown = {"value": value, "before": f"'{_BEFORE_KEY.get(detector, 'use ')}'", "entity": f"'{entity}'", "detector": f"'{detector}'"}[what]
+        parts.append(f"WHEN {k} THEN {shown}")
+    return f"CASE s_suppkey % {len(_KEYS)} {' '.join(parts)} END"
+
+
+def injected_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = texts(spark, sf_dir, "supplier").select("s_suppkey", F.expr(f"concat({_key_case(True, 'before')}, {_key_case(True, 'value')}, ' end')").alias("text"))
+    found = rows.select("s_suppkey", spans(F.col("text"), ("regex",)).alias("s")).select("s_suppkey", F.inline("s"))
+    return found.where(F.col("detector_id").isin(*_KEYS)).select("s_suppkey", "entity", "detector_id", "value", F.col("start").cast("long").alias("start"))
+
+
+_INJECTED_KEYS_SQL = f"SELECT s_suppkey, {_key_case(False, 'entity')} AS entity, {_key_case(False, 'detector')} AS detector_id, {_key_case(False, 'value')} AS value, length({_key_case(False, 'before')}) AS start FROM supplier"
+
+#: Notes on parts; only those with a clinical word near are medical.
+_NOTE = "concat(case p_partkey % 3 when 0 then 'Patient chart. ' when 1 then 'Invoice line. ' else concat('Patient chart. ', repeat('x', 150), ' ') end, 'metformin ', cast(p_size as string), ' mg; ref E11.', cast(p_partkey % 10 as string), ' creatinine ', cast(p_size as string), ' mg/dL')"
+
+
+def medical_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medical values that count only near a clinical word."""
+    rows = texts(spark, sf_dir, "part").select("p_partkey", F.expr(_NOTE).alias("text"))
+    found = rows.select("p_partkey", spans(F.col("text"), ("medical-regex",), resolved=False).alias("s")).select("p_partkey", F.inline("s"))
+    return found.select("p_partkey", "entity", "value", F.col("start").cast("long").alias("start"))
+
+
+_MEDICAL_SQL = f"""WITH t AS (SELECT p_partkey, {_NOTE.replace('as string', 'as varchar')} AS text FROM part),
+    v AS (SELECT p_partkey, text, 'MEDICATION' AS entity, regexp_extract(text, 'metformin \\d+ mg') AS value FROM t
+    UNION ALL SELECT p_partkey, text, 'ICD_CODE', regexp_extract(text, 'E11\\.\\d') FROM t
+    UNION ALL SELECT p_partkey, text, 'LAB_VALUE', regexp_extract(text, 'creatinine \\d+ mg/dL') FROM t),
+    s AS (SELECT *, instr(text, value) - 1 AS start FROM v)
+    SELECT p_partkey, entity, value, start FROM s
+    WHERE regexp_matches(lower(substr(text, greatest(0, start - 100) + 1, start + length(value) + 100 - greatest(0, start - 100))), '(?:^|[^\\p{{L}}\\p{{Nd}}])(?:{'|'.join(CLINICAL_WORDS)})(?:[^\\p{{L}}\\p{{Nd}}]|$)')"""
+
+_FORM = "concat('employee id: E-', cast(o_orderkey as string), '; ticket\\nstudent id = S', cast(o_custkey as string), '\\n<passport>P', lpad(cast(o_orderkey as string), 9, '0'), '</passport>\\nlicense plate(AB-', cast(o_custkey % 1000 as string), ')\\nuser id: unknown')"
+
+
+def contextual_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of labelled fields in four forms; a stand-in is no value."""
+    rows = texts(spark, sf_dir, "orders").select("o_orderkey", F.expr(_FORM).alias("text"))
+    found = rows.select("o_orderkey", spans(F.col("text"), ("contextual-anchored",), resolved=False).alias("s")).select("o_orderkey", F.inline("s"))
+    return found.where(F.col("specificity") == 74).select("o_orderkey", "entity", "value")
+
+
+_FIELDS_SQL = """SELECT o_orderkey, 'EMPLOYEE_ID' AS entity, 'E-' || o_orderkey || '; ticket' AS value FROM orders
+    UNION ALL SELECT o_orderkey, 'STUDENT_ID', 'S' || o_custkey FROM orders
+    UNION ALL SELECT o_orderkey, 'PASSPORT', 'P' || lpad(o_orderkey::VARCHAR, 9, '0') FROM orders
+    UNION ALL SELECT o_orderkey, 'LICENSE_PLATE', 'AB-' || (o_custkey % 1000) FROM orders"""
+
+
+def entropy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents that look like credentials."""
+    found = texts(spark, sf_dir).select("doc_id", spans(F.col("text"), ("entropy",), resolved=False).alias("s")).select("doc_id", F.inline("s"))
+    return found.select("doc_id", "value", F.length("value").cast("long").alias("n"))
+
+
+_ENTROPY_SQL = r"""WITH raw AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \t\r\n,"''(){}\[\]<>]{8,}')) AS value FROM documents),
+    t AS (SELECT doc_id, value, trim(value, '`.,;:') AS x FROM raw),
+    c AS (SELECT *, list_filter(string_split(x, ''), lambda a: a <> '') AS cs FROM t WHERE length(x) >= 8),
+    e AS (SELECT *, CASE WHEN length(x) >= 16 THEN -list_sum(list_transform(list_distinct(cs), lambda a: len(list_filter(cs, lambda b: b = a))::DOUBLE / len(cs) * log2(len(list_filter(cs, lambda b: b = a))::DOUBLE / len(cs)))) ELSE 0 END AS h FROM c)
+    SELECT doc_id, value, length(value) AS n FROM e
+    WHERE (h >= 3.5 OR regexp_matches(x, '[!@$%^&*+=]') AND regexp_matches(x, '\p{L}') AND regexp_matches(x, '\p{Nd}'))
+      AND NOT regexp_full_match(x, '(?s)(?i:https?://|//|www\.).*|.*\.(?i:com|org|net|io|dev|local|js|ts|py|yml|yaml|json|md)|[^!@$%^&*+=]*/[^!@$%^&*+=]*|.*\\.*|(?:process\.env\.|os\.environ|env\.).*|[A-Z][A-Z0-9_]{5,}|[A-Za-z]+(?:-[A-Za-z]+)+')"""
+
+
+def proximity_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phone numbers and cards within 150 characters of a mail address, as a range join."""
+    found = _three(spark, sf_dir).select("doc_id", "entity", "start", "end")
+    anchors = found.where("entity = 'EMAIL'").select("doc_id", "start", "end")
+    others = found.where("entity <> 'EMAIL'")
+    return ranges.near(anchors, others, "doc_id", 150).groupBy("doc_id", "entity").agg(F.count("*").alias("n"))
+
+
+_PARTS = "list_transform(range(1, len(vs) + 1), lambda i: {'at': list_sum(list_transform(ps[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(vs[1:i - 1], lambda v: length(v))), 0), 'value': vs[i]})"
+
+
+def _placed(pattern: str, keep: str, entity: str) -> str:
+    return f"""SELECT doc_id, '{entity}' AS entity, s, s + length(value) AS e FROM (SELECT doc_id, unnest({_PARTS}, recursive := true) FROM
+        (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS vs, string_split_regex(text, '{pattern}') AS ps FROM documents WHERE regexp_matches(text, '{pattern}'))) AS x(doc_id, s, value) WHERE {keep}"""
+
+
+_NEAR_SQL = f"""WITH a AS ({_placed(MAIL, _NOT_ROLE, 'EMAIL')}), c AS ({_placed(CARD, _LUHN, 'CREDIT_CARD')} UNION ALL {_placed(PHONE, 'true', 'PHONE')} UNION ALL {_placed(ABROAD, 'true', 'PHONE')})
+    SELECT doc_id, c.entity, count(*) AS n FROM a JOIN c USING (doc_id) WHERE c.s - a.e <= 150 AND a.s - c.e <= 150 GROUP BY ALL"""
+
+
+# -- policy --------------------------------------------------------------
+
+_SOME = ["EMAIL", "PHONE", "CREDIT_CARD", "API_KEY", "MRN", "ADDRESS", "SWIFT", "PROMPT_INJECTION"]
+_WHERE = ["input.messages", "output.content", "output.tool_calls.arguments", "logs.traces"]
+
 
 def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entities = ["EMAIL", "PHONE", "CREDIT_CARD", "API_KEY", "MRN", "ADDRESS", "SWIFT", "PROMPT_INJECTION"]
-    where = ["input.messages", "output.content", "output.tool_calls.arguments", "logs.traces"]
     pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.floor(F.col("l_orderkey") / n) % len(names) + 1).cast("int"))
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("k")).select("l_orderkey", pick(entities, 1).alias("entity"), pick(where, 8).alias("surface"), F.lit(0.9).alias("confidence"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("k")).select("l_orderkey", pick(_SOME, 1).alias("entity"), pick(_WHERE, 8).alias("surface"), F.lit(0.9).alias("confidence"))
 
 
 def policy_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,30 +212,73 @@ def policy_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide_by_join(PROFILES["balanced"], rows, ["l_orderkey"]).groupBy("action", "rule_id").agg(F.count("*").alias("n"))
 
 
+def policy_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions of all profiles on one row for each line, with what applies and what blocks."""
+    pick = lambda names, c: F.element_at(F.array(*map(F.lit, names)), (c % len(names) + 1).cast("int"))
+    rows = table(spark, sf_dir, "lineitem").select(pick(_ALL_ENTITIES, F.col("l_partkey")).alias("entity"), pick(_ALL_SURFACES, F.col("l_suppkey")).alias("surface"), F.round(0.3 + F.col("l_discount") * 6, 2).alias("confidence"))
+    rows = rows.groupBy("entity", "surface", "confidence").agg(F.count("*").alias("k"))
+    out = []
+    for name, policy in PROFILES.items():
+        d = rows.select("k", decide(policy, F.col("entity"), F.col("surface"), F.col("confidence")).alias("d"))
+        out.append(d.select("k", F.lit(name).alias("profile"), "d.action", "d.rule_id", applies(policy.mode, F.col("d.action"), F.col("d.on_fail")).alias("applies"), blocks(policy.mode, F.col("d.action"), F.col("d.on_fail")).alias("blocks")))
+    both = out[0]
+    for more in out[1:]:
+        both = both.unionByName(more)
+    return both.groupBy("profile", "action", "rule_id", "applies", "blocks").agg(F.sum("k").alias("n"))
+
+
+_ALL_ENTITIES = [e for members in CATEGORIES.values() for e in members] + ["EMAIL", "PHONE", "PERSON", "ADDRESS", "DATE_OF_BIRTH", "BANK_ACCOUNT", "IBAN", "CREDIT_CARD", "SWIFT", "CUSTOMER_CONFIDENTIAL", "PROMPT_INJECTION"]
+_ALL_SURFACES = ["input.messages", "input.system", "input.developer", "input.rag_context", "input.tool_results", "output.content", "output.stream_chunk", "output.tool_calls.arguments", "output.reasoning", "logs.traces"]
+
+
+def _quoted(names) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
+def _rules_of(policy: Policy) -> list[str]:
+    return [f"({k}, '{policy.name}', '{policy.mode}', '{r.id}', '{r.action}', {f"'{r.on_fail}'" if r.on_fail else 'NULL'}, '{e}', '{s}', {r.min_confidence})" for k, r in enumerate(policy.ranked()) for e in r.members() for s in r.surfaces or ("",)]
+
+
+def _profiles_sql() -> str:
+    rules = ", ".join(x for p in PROFILES.values() for x in _rules_of(p))
+    scopes = ", ".join(f"('{p.name}', '{p.mode}', '{e}')" for p in PROFILES.values() for e in p.scoped())
+    return f"""WITH r(rank, profile, mode, rule_id, action, on_fail, e, s, least) AS (VALUES {rules}), sc(profile, mode, e) AS (VALUES {scopes}), p AS (SELECT DISTINCT profile, mode FROM sc),
+    f AS (SELECT [{_quoted(_ALL_ENTITIES)}][l_partkey % {len(_ALL_ENTITIES)} + 1] AS entity, [{_quoted(_ALL_SURFACES)}][l_suppkey % 10 + 1] AS surface, round(0.3 + l_discount * 6, 2) AS confidence, count(*) AS k FROM lineitem GROUP BY ALL),
+    m AS (SELECT f.*, p.profile, p.mode, r.rank, r.rule_id, r.action, r.on_fail FROM f CROSS JOIN p LEFT JOIN sc ON sc.profile = p.profile AND sc.e = f.entity
+          LEFT JOIN r ON r.profile = sc.profile AND r.e = f.entity AND (r.s = '' OR r.s = f.surface) AND f.confidence >= r.least
+          QUALIFY row_number() OVER (PARTITION BY p.profile, f.entity, f.surface, f.confidence ORDER BY r.rank NULLS LAST) = 1)
+    SELECT profile, coalesce(action, 'allow') AS action, coalesce(rule_id, 'default-allow') AS rule_id,
+           CASE WHEN action IS NULL OR on_fail = 'observe' THEN false WHEN on_fail IN ('mask', 'reask', 'block') THEN true ELSE mode IN ('redact', 'block') END AS applies,
+           CASE WHEN action IS NULL OR on_fail = 'observe' THEN false WHEN on_fail IN ('block', 'exception') THEN true WHEN mode = 'block' THEN true ELSE action = 'block' AND mode = 'redact' END AS blocks, sum(k)::BIGINT AS n
+    FROM m GROUP BY ALL"""
+
+
 def _policy_cte() -> str:
-    rows = []
-    for k, r in enumerate(PROFILES["balanced"].ranked()):
-        for e in r.members():
-            for s in r.surfaces or ("",):
-                rows.append(f"({k}, '{r.id}', '{r.action}', '{e}', '{s}')")
+    rows = [f"({k}, '{r.id}', '{r.action}', '{e}', '{s}')" for k, r in enumerate(PROFILES["balanced"].ranked()) for e in r.members() for s in r.surfaces or ("",)]
     return f"""WITH r(rank, rule_id, action, e, s) AS (VALUES {', '.join(rows)}),
-    f AS (SELECT DISTINCT l_orderkey, ['EMAIL','PHONE','CREDIT_CARD','API_KEY','MRN','ADDRESS','SWIFT','PROMPT_INJECTION'][l_orderkey % 8 + 1] AS entity,
-          ['input.messages','output.content','output.tool_calls.arguments','logs.traces'][(l_orderkey // 8) % 4 + 1] AS surface FROM lineitem),
+    f AS (SELECT DISTINCT l_orderkey, [{_quoted(_SOME)}][l_orderkey % 8 + 1] AS entity, [{_quoted(_WHERE)}][(l_orderkey // 8) % 4 + 1] AS surface FROM lineitem),
     d AS (SELECT f.*, coalesce(action, 'allow') AS action, coalesce(rule_id, 'default-allow') AS rule_id FROM f LEFT JOIN r ON r.e = f.entity AND (r.s = '' OR r.s = f.surface)
           QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY rank NULLS LAST) = 1)"""
 
 
+# -- inspection ----------------------------------------------------------
+
+
 def inspect_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: detect, resolve, decide and count over all documents under the balanced profile."""
-    return inspect.counts(inspect.inspect(table(spark, sf_dir, "documents"), "text", PROFILES["balanced"]))
+    return inspect.counts(inspect.inspect(texts(spark, sf_dir), "text", PROFILES["balanced"]))
 
 
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    policy = Policy("mail", (Rule("r", "redact", ("EMAIL",), priority=1),), detectors=("regex",))
-    out = inspect.inspect(table(spark, sf_dir, "documents"), "text", policy)
+    out = inspect.inspect(texts(spark, sf_dir), "text", MAIL_POLICY)
     return out.select("doc_id", F.sha2("transformed", 256).alias("text_sha256"), "blocked")
 
 
+#: Texts with mail addresses replaced, those of role accounts left, as SQL.
+_REDACTED = f"""SELECT doc_id, lang, text, list_reduce(list_prepend(ps[1], list_transform(range(1, len(vs) + 1), lambda i: CASE WHEN lower(split_part(vs[i], '@', 1)) IN ({_ROLES}) THEN vs[i] ELSE '<EMAIL:REDACTED>' END || ps[i + 1])), lambda a, b: a || b) AS changed
+    FROM (SELECT doc_id, lang, text, regexp_extract_all(text, '{MAIL}') AS vs, string_split_regex(text, '{MAIL}') AS ps FROM documents)"""
+
+
 def mask_hash_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, e = F.col("c_name"), F.lit("PERSON")
     return table(spark, sf_dir, "customer").select("c_custkey", T.masked(v).alias("masked"), T.hashed(e, v).alias("hashed"), T.tokenized(e).alias("token"), T.redacted(e).alias("redacted"), T.vault_token(KEY, e, v).alias("vault_token"))
@@ -107,6 +291,80 @@ def _hmac_sql() -> str:
     return f"sha256(unhex('{o}') || unhex({inner}))"
 
 
+def injection_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = texts(spark, sf_dir, "pages").select("page_id", spans(F.col("html"), ("xpia",), resolved=False).alias("s")).select("page_id", F.inline("s"))
+    return found.groupBy("detector_id").agg(F.count("*").alias("n"), F.sum(F.length("value")).cast("long").alias("n_chars"))
+
+
+_HIDDEN = r"<\s*style\b[^>]*>(?s:.{0,1000}?.{0,1000}?)<\s*/\s*style\s*>|<\s*script\b[^>]*>(?s:.{0,1000}?.{0,1000}?)<\s*/\s*script\s*>"
+_INJECTION = {
+    "hidden_html_block": _HIDDEN,
+    "role_override_phrase": r"(?i)\b(?:you\s+are\s+now|act\s+as|pretend\s+to\s+be|from\s+now\s+on(?:,?\s+you\s+(?:are|will))?)\b",
+    "instruction_override_phrase": r"(?i)\b(?:ignore|disregard|forget|override)\s+(?:(?:all|the|every|any)\s+)*(?:(?:previous|prior|earlier|above|preceding)\s+)?(?:instructions?|prompts?|rules?|system\s+message|directives?)\b",
+    "exfiltration_phrase": r"(?i)\b(?:print|reveal|repeat|output|leak)\s+(?:your|the|all)\s+(?:system\s+prompt|hidden\s+instructions?|secret\s+key|api\s+key)\b",
+    "long_base64_blob": r"\b[A-Za-z0-9+/]{256,}={0,2}\b",
+}
+_INJECTION_SQL = "SELECT detector_id, count(*) AS n, sum(length(v))::BIGINT AS n_chars FROM (" + " UNION ALL ".join(f"SELECT 'xpia.{k}' AS detector_id, unnest(regexp_extract_all(html, '{p}')) AS v FROM pages" for k, p in _INJECTION.items()) + ") GROUP BY 1"
+
+
+def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit events of the mail policy: counts, and the values' places without the values."""
+    events = reports.audit_events(inspect.inspect(texts(spark, sf_dir), "text", MAIL_POLICY))
+    return events.select("doc_id", "decision_count", "blocked", F.get_json_object("audit_event", "$.decisions[0].finding.value").alias("first_value"), F.length(F.regexp_replace("audit_event", "[0-9]", "")).cast("long").alias("n_chars"))
+
+
+_EVENT = '{"decision_count":,"blocked":false,"reask_hint":false,"decisions":[]}'
+_DECISION = '{"action":"redact","rule_id":"r","severity":"medium","finding":{"entity":"EMAIL","start":,"end":,"confidence":.,"detector_id":"regex.email","value":"[REDACTED len=]"}}'
+_AUDIT_SQL = f"""WITH v AS (SELECT doc_id, list_filter(regexp_extract_all(text, '{MAIL}'), lambda x: lower(split_part(x, '@', 1)) NOT IN ({_ROLES})) AS vs FROM documents)
+    SELECT doc_id, coalesce(len(vs), 0)::BIGINT AS decision_count, false AS blocked, CASE WHEN len(vs) > 0 THEN '[REDACTED len=' || length(vs[1]) || ']' END AS first_value,
+           {len(_EVENT)} + coalesce(len(vs), 0) * {len(_DECISION)} + greatest(coalesce(len(vs), 0) - 1, 0) AS n_chars FROM v"""
+
+
+def findings_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit summary of decisions under the balanced profile: counts by entity, detector, action and source in one pass."""
+    found = _three(spark, sf_dir)
+    d = decide(PROFILES["balanced"], F.col("entity"), F.lit("output.content"), F.col("confidence"))
+    return reports.audit_summary(found.withColumn("action", d["action"]).withColumn("rule_id", d["rule_id"]), ["entity", "detector_id", "action", "rule_id", "source"])
+
+
+_ROLLUP_SQL = f"""WITH f AS (SELECT x.*, source FROM ({_THREE}) x JOIN documents USING (doc_id)),
+    d AS (SELECT *, 'redact' AS action, CASE WHEN entity = 'CREDIT_CARD' THEN 'redact-sensitive-identifiers-output' ELSE 'redact-generic-identity-outbound' END AS rule_id FROM f)
+    SELECT 'entity' AS dimension, entity AS value, count(*) AS n FROM d GROUP BY ALL UNION ALL SELECT 'detector_id', detector_id, count(*) FROM d GROUP BY ALL
+    UNION ALL SELECT 'action', action, count(*) FROM d GROUP BY ALL UNION ALL SELECT 'rule_id', rule_id, count(*) FROM d GROUP BY ALL UNION ALL SELECT 'source', source, count(*) FROM d GROUP BY ALL"""
+
+
+def findings_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit export: for each source the distinct entities and detectors of its findings."""
+    out = reports.export_sets(_three(spark, sf_dir), "source", ["entity", "detector_id"])
+    return out.select("source", F.array_join("entity", ",").alias("entities"), F.array_join("detector_id", ",").alias("detectors"))
+
+
+def inspection_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of findings by entity and language, as lines for a scraper."""
+    found = _three(spark, sf_dir).withColumn("m", F.lit("findings_total"))
+    return reports.prometheus(reports.counters(found, "m", ["entity", "lang"]))
+
+
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with at least each of five confidences, by entity."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("entity"), (F.col("l_discount") * 10).alias("confidence"))
+    return reports.sweep(rows, [0.1, 0.25, 0.5, 0.75, 0.9], ["entity"])
+
+
+def blocked_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether anything in a payload blocks it: one payload an order, one finding a line, under two profiles."""
+    pick = lambda names, c: F.element_at(F.array(*map(F.lit, names)), (c % len(names) + 1).cast("int"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", pick(_SOME, F.col("l_partkey")).alias("entity"), pick(_WHERE, F.col("l_suppkey")).alias("surface"))
+    flag = lambda p: F.bool_or(blocks(p.mode, *[decide(p, F.col("entity"), F.col("surface"), F.lit(0.9))[c] for c in ("action", "on_fail")]))
+    return rows.groupBy("l_orderkey").agg(flag(PROFILES["balanced"]).alias("balanced"), flag(PROFILES["monitor"]).alias("monitor"))
+
+
+_BLOCKED_SQL = f"""WITH f AS (SELECT l_orderkey, [{_quoted(_SOME)}][l_partkey % 8 + 1] AS e, [{_quoted(_WHERE)}][l_suppkey % 4 + 1] AS s FROM lineitem)
+    SELECT l_orderkey, bool_or(e = 'API_KEY' AND s <> 'output.content' OR s = 'output.tool_calls.arguments' AND e IN ('CREDIT_CARD', 'SWIFT', 'MRN')) AS balanced, false AS monitor FROM f GROUP BY 1"""
+
+# -- reports -------------------------------------------------------------
+
+
 def surfaces_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.roles(table(spark, sf_dir, "conversations"))
 
@@ -116,61 +374,128 @@ def metrics_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.counters(table(spark, sf_dir, "documents").withColumn("m", F.lit("docs")), "m", ["source", "lang"])
-
-
-def audit_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.audit_summary(table(spark, sf_dir, "documents"), ["lang", "source"])
-
-
-def export_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = reports.export_sets(table(spark, sf_dir, "documents"), "source", ["lang"])
-    return out.select("source", F.array_join("lang", ",").alias("langs"))
+    return reports.counters(table(spark, sf_dir, "events").withColumn("m", F.lit("events")), "m", ["event_type"])
 
 
 def eval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containment of mail addresses: before and after redaction, by language."""
-    policy = Policy("mail", (Rule("r", "redact", ("EMAIL",), priority=1),), detectors=("regex",))
-    rows = inspect.inspect(table(spark, sf_dir, "documents"), "text", policy)
-    n = lambda c: F.size(F.regexp_extract_all(F.col(c), F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit(0)))
+    rows = inspect.inspect(texts(spark, sf_dir), "text", MAIL_POLICY)
+    n = lambda c: F.size(F.regexp_extract_all(F.col(c), F.lit(f"(?U){MAIL}"), F.lit(0)))
     cases = rows.select("lang", n("text").alias("before"), n("transformed").alias("after"), (n("text") == 0).alias("benign"), (F.col("text") != F.col("transformed")).alias("failed"))
     return reports.recall(cases, ["lang"])
 
 
-def injection_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.inline(spans(F.col("html"), ("xpia",)))).groupBy("detector_id").agg(F.count("*").alias("n"))
+_RECALL_SQL = f"""WITH r AS ({_REDACTED}), n AS (SELECT lang, len(regexp_extract_all(text, '{MAIL}')) AS b, len(regexp_extract_all(changed, '{MAIL}')) AS a, text <> changed AS f FROM r WHERE text IS NOT NULL),
+    g AS (SELECT lang, sum(b)::BIGINT AS before, sum(a)::BIGINT AS after, count(*) FILTER (b = 0) AS benign, count(*) FILTER (b = 0 AND f) AS bad FROM n GROUP BY 1),
+    s AS (SELECT *, CASE WHEN before > 0 THEN (before - after)::DOUBLE / before END AS r, CASE WHEN benign > 0 THEN 1 - bad::DOUBLE / benign END AS sp FROM g)
+    SELECT lang, before, after, round(r, 6) AS recall, round(sp, 6) AS specificity, round(CASE WHEN 4 * sp + r > 0 THEN 5 * sp * r / (4 * sp + r) END, 6) AS f2 FROM s"""
 
 
-def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.audit_events(inspect.inspect(table(spark, sf_dir, "documents"), "text", PROFILES["default"]))
+def release_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which promises hold: one corpus a language, recall from the labels as they are known; a corpus without a result fails."""
+    known = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("corpus")).join(table(spark, sf_dir, "labels"), "doc_id")
+    results = known.groupBy("corpus").agg(F.avg("quality").alias("recall")).select(F.explode(F.array(F.lit("low"), F.lit("high"))).alias("profile"), "corpus", "recall")
+    promised = spark.createDataFrame([("low", c, 0.2) for c in ("en", "de", "fr")] + [("high", c, 0.99) for c in ("en", "de")] + [("gone", "xx", 0.0)], "profile string, corpus string, floor double")
+    return reports.gate(results, promised)
+
+
+_GATE_SQL = """WITH r AS (SELECT lang AS corpus, avg(quality) AS recall FROM documents JOIN labels USING (doc_id) GROUP BY 1),
+    p(profile, corpus, floor) AS (VALUES ('low', 'en', 0.2), ('low', 'de', 0.2), ('low', 'fr', 0.2), ('high', 'en', 0.99), ('high', 'de', 0.99), ('gone', 'xx', 0.0))
+    SELECT profile, bool_and(coalesce(recall >= floor, false)) AS passed FROM p LEFT JOIN r ON r.corpus = p.corpus AND p.profile <> 'gone' GROUP BY 1"""
+
+
+def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities in the scope of each profile that the regex family does not find."""
+    from .functions.detect import LABELS
+    from .functions.patterns import REGEX
+
+    scoped = spark.createDataFrame([(p.name, e) for p in PROFILES.values() for e in p.scoped()], "profile string, entity string")
+    emitters = spark.createDataFrame([(e,) for e in sorted({r[1] for r in REGEX} | {e for *_, e in LABELS})], "entity string")
+    return reports.coverage_gaps(scoped, emitters).select("profile", F.array_join("entities", ",").alias("entities"))
+
+
+def _gaps_sql() -> str:
+    from .functions.detect import LABELS
+    from .functions.patterns import REGEX
+
+    scoped = ", ".join(f"('{p.name}', '{e}')" for p in PROFILES.values() for e in p.scoped())
+    emitters = ", ".join(f"('{e}')" for e in sorted({r[1] for r in REGEX} | {e for *_, e in LABELS}))
+    return f"SELECT profile, string_agg(entity, ',' ORDER BY entity) AS entities FROM (VALUES {scoped}) s(profile, entity) ANTI JOIN (VALUES {emitters}) e(entity) USING (entity) GROUP BY 1"
 
 
 def chat_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chat payloads made of turns, walked to surfaces and inspected per surface."""
+    """Chat payloads made of turns, walked to surfaces: each value with its surface and place."""
     from .sources.payloads import surface_array
 
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("t"))
     payload = turns.select("conv_id", F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))).alias("payload"))
-    rows = payload.select("conv_id", F.inline(surface_array(F.col("payload"))))
-    return rows.groupBy("name").agg(F.count("*").alias("n"))
+    rows = payload.select("conv_id", surface_array(F.col("payload")).alias("s")).select("conv_id", F.inline("s"))
+    return rows.select("conv_id", "name", "pointer", F.md5(F.encode("value", "UTF-8")).alias("value_md5"))
+
+
+_CHAT_SQL = """WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations)
+    SELECT conv_id, CASE role WHEN 'system' THEN 'input.system' WHEN 'developer' THEN 'input.developer' WHEN 'tool' THEN 'input.tool_results' ELSE 'input.messages' END AS name, '["messages", ' || i || ', "content"]' AS pointer, md5(text) AS value_md5 FROM t WHERE text IS NOT NULL
+    UNION ALL SELECT conv_id, 'input.messages', '["messages", ' || i || ', "role"]', md5(role) FROM t WHERE role IS NOT NULL"""
+
+
+def trace_surfaces_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of event properties as trace surfaces."""
+    from .sources.payloads import surface_array
+
+    rows = table(spark, sf_dir, "events").select("event_id", surface_array(F.col("props"), "trace").alias("s")).select("event_id", F.inline("s"))
+    return rows.select("event_id", "name", "pointer", "value")
+
+
+_TRACE_SQL = """SELECT event_id, 'logs.traces' AS name, '["' || k || '"]' AS pointer, json_extract_string(props, '$."' || k || '"') AS value
+    FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) WHERE json_type(props, '$."' || k || '"') NOT IN ('NULL', 'OBJECT', 'ARRAY')"""
+
+
+def vault_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of a vault filled from the mail addresses of all documents, by entity; a token is held once."""
+    found = _three(spark, sf_dir).select(T.vault_token(KEY, F.col("entity"), F.col("value")).alias("token"), "entity")
+    empty = spark.createDataFrame([], "token string")
+    return reports.vault_new(found, empty).groupBy("entity").agg(F.count("*").alias("n"))
 
 
-QUERIES = {
-    "spans_email": _spans_of("EMAIL"), "spans_credit_card": _spans_of("CREDIT_CARD"), "spans_phone": _spans_of("PHONE"),
-} | {f.__name__: f for f in (injected_ids, policy_decide, policy_theta_join, inspect_documents, redact_text, mask_hash_token, surfaces_conversations, metrics_percentiles, metrics_counters, audit_rollup, export_sets, eval_recall, injection_pages, audit_events, chat_payloads)}
+QUERIES = {f"spans_{e.lower()}": _spans_of(e) for e in ("EMAIL", "CREDIT_CARD", "PHONE")} | {
+    f.__name__: f
+    for f in (
+        injected_ids, injected_keys, medical_context, contextual_fields, entropy_tokens, proximity_range_join, policy_decide, policy_theta_join, policy_profiles, inspect_documents, redact_text, mask_hash_token,
+        surfaces_conversations, metrics_percentiles, metrics_counters, findings_rollup, findings_export, inspection_metrics, threshold_sweep, blocked_orders, eval_recall, release_gate, coverage_gaps, injection_pages, audit_events,
+        chat_payloads, trace_surfaces_events, vault_status,
+    )
+}
 
 ORACLES = {
-    "spans_email": _values(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", _NOT_ROLE),
-    "spans_credit_card": _values(r"\b(?:\d[ -]*?){13,19}\b", _LUHN),
+    "spans_email": _values(MAIL, _NOT_ROLE),
+    "spans_credit_card": _values(CARD, _LUHN),
+    "spans_phone": f"{_values(PHONE)} UNION ALL {_values(ABROAD)}",
     "injected_ids": _INJECTED_SQL,
+    "injected_keys": _INJECTED_KEYS_SQL,
+    "medical_context": _MEDICAL_SQL,
+    "contextual_fields": _FIELDS_SQL,
+    "entropy_tokens": _ENTROPY_SQL,
+    "proximity_range_join": _NEAR_SQL,
     "policy_decide": _policy_cte() + " SELECT entity, surface, action, rule_id, count(*) AS n FROM d GROUP BY ALL",
     "policy_theta_join": _policy_cte() + " SELECT action, rule_id, count(*) AS n FROM d GROUP BY ALL",
+    "policy_profiles": _profiles_sql(),
+    "redact_text": f"SELECT doc_id, sha256(changed) AS text_sha256, false AS blocked FROM ({_REDACTED})",
     "mask_hash_token": f"""SELECT c_custkey, CASE WHEN length(c_name) <= 4 THEN repeat('*', length(c_name)) ELSE c_name[1:2] || repeat('*', length(c_name) - 4) || right(c_name, 2) END AS masked,
         '<PERSON:HASH:sha256=' || sha256(c_name)[1:16] || '>' AS hashed, '<PERSON:TOKEN>' AS token, '<PERSON:REDACTED>' AS redacted, 'vault_tok_person_' || {_hmac_sql()}[1:20] AS vault_token FROM customer""",
     "surfaces_conversations": "SELECT CASE role WHEN 'system' THEN 'input.system' WHEN 'developer' THEN 'input.developer' WHEN 'tool' THEN 'input.tool_results' ELSE 'input.messages' END AS surface, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM conversations GROUP BY 1",
     "metrics_percentiles": "SELECT event_type AS name, count(*) AS n, min(value) AS min, list(value ORDER BY value)[round_even((count(*) - 1) * 0.5, 0)::INT + 1] AS p50, list(value ORDER BY value)[round_even((count(*) - 1) * 0.95, 0)::INT + 1] AS p95, max(value) AS max, round(avg(value), 6) AS avg FROM events WHERE value IS NOT NULL GROUP BY 1",
-    "metrics_counters": "SELECT 'docs{lang=' || lang || ',source=' || source || '}' AS key, count(*) AS n FROM documents GROUP BY ALL",
-    "audit_rollup": "SELECT 'lang' AS dimension, lang AS value, count(*) AS n FROM documents GROUP BY ALL UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY ALL",
-    "export_sets": "SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM documents GROUP BY 1",
-    "chat_payloads": "SELECT name, count(*) AS n FROM (SELECT CASE role WHEN 'system' THEN 'input.system' WHEN 'developer' THEN 'input.developer' WHEN 'tool' THEN 'input.tool_results' ELSE 'input.messages' END AS name FROM conversations WHERE text IS NOT NULL UNION ALL SELECT 'input.messages' FROM conversations WHERE role IS NOT NULL) GROUP BY 1",
+    "metrics_counters": "SELECT 'events{event_type=' || event_type || '}' AS key, count(*) AS n FROM events GROUP BY ALL",
+    "findings_rollup": _ROLLUP_SQL,
+    "findings_export": f"SELECT source, string_agg(DISTINCT entity, ',' ORDER BY entity) AS entities, string_agg(DISTINCT detector_id, ',' ORDER BY detector_id) AS detectors FROM ({_THREE}) JOIN documents USING (doc_id) GROUP BY 1",
+    "inspection_metrics": f"""SELECT 'veilspan_findings_total{{entity="' || entity || '",lang="' || lang || '"}} ' || count(*) AS line FROM ({_THREE}) JOIN documents USING (doc_id) GROUP BY entity, lang""",
+    "threshold_sweep": "SELECT t AS threshold, l_returnflag AS entity, count(*) AS n FROM lineitem, (VALUES (0.1::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (0.9::DOUBLE)) x(t) WHERE l_discount * 10 >= t GROUP BY ALL",
+    "blocked_orders": _BLOCKED_SQL,
+    "eval_recall": _RECALL_SQL,
+    "release_gate": _GATE_SQL,
+    "coverage_gaps": _gaps_sql(),
+    "injection_pages": _INJECTION_SQL,
+    "audit_events": _AUDIT_SQL,
+    "chat_payloads": _CHAT_SQL,
+    "trace_surfaces_events": _TRACE_SQL,
+    "vault_status": f"SELECT entity, count(DISTINCT value) AS n FROM ({_THREE}) GROUP BY 1",
 }
