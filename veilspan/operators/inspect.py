@@ -56,7 +56,7 @@ def replacement(policy: Policy, x: Column, key: bytes | None, environment: Mappi
     return out.otherwise(T.redacted(s["entity"]))
 
 
-def _priority(entity: Column) -> Column:
+def priority(entity: Column) -> Column:
     table = F.create_map(*[F.lit(v) for pair in PRIORITY.items() for v in pair])
     return F.coalesce(F.try_element_at(table, entity), F.lit(USUAL_PRIORITY))
 
@@ -80,7 +80,7 @@ def inspect(docs: DataFrame, text: str, policy: Policy, surface: str | Column =
     edits = F.transform(
         act,
         lambda x, i: F.struct(
-            x["span"]["start"].alias("start"), (-_priority(x["span"]["entity"])).alias("p"), (x["span"]["start"] - x["span"]["end"]).alias("n"), i.alias("i"),
+            x["span"]["start"].alias("start"), (-priority(x["span"]["entity"])).alias("p"), (x["span"]["start"] - x["span"]["end"]).alias("n"), i.alias("i"),
             x["span"]["end"].alias("end"), F.when(x["decision"]["action"] == "block", 0).otherwise(1).alias("rank"), x["decision"]["scope"].alias("scope"), replacement(policy, x, key, environment, at).alias("replacement"),
         ),
     )

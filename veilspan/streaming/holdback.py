@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.detect import scan
 
@@ -23,7 +24,7 @@ class TextState:
         if self.halted:
             return "", False
         self.pending += delta
-        spans = sorted(scan(self.pending), key=lambda s: s["start"])
+        spans = sorted(scan(self.pending, surface="output.stream_chunk"), key=lambda s: s["start"])
         acts = [(s, self.act(s)) for s in spans]
         if any(a == "block" for _, a in acts):
             self.halted, self.pending = True, ""
@@ -42,39 +43,55 @@ class TextState:
         return "".join(out), False
 
 
-def stream(deltas: DataFrame, act, holdback: int = HOLDBACK) -> DataFrame:
+def _one_stream(rows: list, act, holdback: int, held: dict[str, str]) -> tuple[list[tuple[str, str]], bool]:
+    """(what comes out, whether the stream has ended) for rows in order; `held` takes what is withheld, by field."""
+    out: list[tuple[str, str]] = []
+    for r in rows:
+        field = TextState(act, holdback, held.get(r.field, ""))
+        text, blocked = field.append(r.delta or "")
+        held[r.field] = field.pending
+        if text:
+            out.append(("chunk", text))
+        if not blocked and r.terminal:
+            flushed = [TextState(act, holdback, p).append("", True) for _, p in sorted(held.items())]
+            blocked = any(b for _, b in flushed)
+            out += [] if blocked else [("chunk", t) for t, _ in flushed if t] + [("terminal", "")]
+        if blocked:
+            out.append(("blocked", ""))
+        if blocked or r.terminal:
+            held.clear()
+            return out, True
+    return out, False
+
+
+def stream(deltas: DataFrame, act, holdback: int = HOLDBACK, idle_seconds: int = 300) -> DataFrame:
     """(stream_id, kind, text) from rows (stream_id, seq, field, delta, terminal).
 
     All fields of a stream share one key: at the end either all are released or,
-    if one blocks, none.  `act` maps a span to allow, redact or block.
+    if one blocks, none.  `act` maps a span to allow, redact or block.  Withheld
+    text goes when a stream ends or blocks; a mark that it has ended stays until no
+    row has come for `idle_seconds`, and a stream that has not ended by then is
+    told as `timeout`, its withheld text dropped.  So the state holds recent streams only.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held = dict(zip(*state.get, strict=True)) if state.exists else {}
-        halted = held.pop("", None) is not None
-        out = []
-        for rows in batches:
-            for r in rows.sort_values("seq").itertuples():
-                if halted:
-                    continue
-                field = TextState(act, holdback, held.get(r.field, ""))
-                text, blocked = field.append(r.delta or "")
-                held[r.field] = field.pending
-                if blocked:
-                    halted = True
-                    out.append((key[0], "blocked", ""))
-                    continue
-                if text:
-                    out.append((key[0], "chunk", text))
-                if r.terminal:
-                    flushed = [(f, TextState(act, holdback, p).append("", True)) for f, p in sorted(held.items())]
-                    if any(b for _, (_, b) in flushed):
-                        out.append((key[0], "blocked", ""))
-                    else:
-                        out += [(key[0], "chunk", t) for _, (t, _) in flushed if t] + [(key[0], "terminal", "")]
-                    halted, held = True, {}
-        kept = held | ({"": "halted"} if halted else {})
-        state.update((list(kept), list(kept.values())))
-        yield pd.DataFrame(out, columns=["stream_id", "kind", "text"])
-
-    return deltas.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, kind string, text string", "fields array<string>, pending array<string>", "append", "NoTimeout")
+        ended = held.pop("", None) is not None
+        if state.hasTimedOut:
+            state.remove()
+            out = [] if ended else [("timeout", "")]
+        else:
+            rows = sorted((r for batch in batches for r in batch.itertuples()), key=lambda r: r.seq)
+            out, now_ended = ([], True) if ended else _one_stream(rows, act, holdback, held)
+            kept = {"": "ended"} if now_ended else held
+            state.update((list(kept), list(kept.values())))
+            state.setTimeoutDuration(idle_seconds * 1000)
+        yield pd.DataFrame([(key[0], kind, text) for kind, text in out], columns=["stream_id", "kind", "text"])
+
+    return deltas.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, kind string, text string", "fields array<string>, pending array<string>", "append", "ProcessingTimeTimeout")
+
+
+def telemetry(events: DataFrame) -> DataFrame:
+    """(stream_id, n_chunks, n_chars, state): how each stream went, from what stream() gives; the state is done, blocked, timeout or open."""
+    last = F.when(F.count_if(F.col("kind") == "blocked") > 0, "blocked").when(F.count_if(F.col("kind") == "terminal") > 0, "done").when(F.count_if(F.col("kind") == "timeout") > 0, "timeout").otherwise("open")
+    return events.groupBy("stream_id").agg(F.count_if(F.col("kind") == "chunk").alias("n_chunks"), F.sum(F.length("text")).cast("long").alias("n_chars"), last.alias("state"))
