@@ -130,7 +130,7 @@ def marker(n):
     return word, word.translate(str.maketrans("ab", "ba"))
 
 
-@pytest.mark.parametrize("n", [8, 64, 1024, 2048, 4096])
+@pytest.mark.parametrize("n", [8, 1024, 4096])
 def test_words_that_differ_have_different_hashes(spark, n):
     """Texts that share no word but marker words that collide under weak hashes: nothing links, repeats or is known."""
     from veilspan.llm.textcore import byte_hashes

@@ -11,7 +11,9 @@ to the text it came from, space marks of the text itself included.
 
 Narrow: no shuffle.  Defined results: a null or empty text has no pieces and
 decodes to the empty text.  Rows with null ids are cut as one id.  Repeated rows
-give repeated results.  Other columns do not matter.
+give repeated results.  A text is cut whole, whatever its length; of candidates
+with one score the leftmost is taken.  An empty table gives no rows.  Other columns
+do not matter.
 """
 
 from __future__ import annotations

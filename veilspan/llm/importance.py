@@ -12,7 +12,9 @@ sort key, 2**12 ranges a round, so nothing is sorted or gathered.
 
 Defined results: a null or empty text has log weight 0.  Rows whose key equals
 the k-th largest are all kept.  An empty table yields an empty result.  Rows
-with a null id share one draw of noise.  Repeated rows get equal keys.
+with a null id share one draw of noise.  Repeated rows get equal keys, so they are
+kept or left together (ties: more than k rows may be kept).  A text of any length is
+weighed whole.  Other columns do not matter.
 """
 
 from __future__ import annotations

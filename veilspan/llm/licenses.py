@@ -17,7 +17,9 @@ Python.  Templates are literals in the plan; their number is fixed.
 Defined results: a null or empty text, or a unit with fewer than two words,
 has no bigrams and matches nothing.  Among templates with equal coefficients
 the first name in alphabetical order wins.  Repeated rows yield repeated
-results; columns other than the key and the text are ignored.
+results, null keys are kept, an empty table gives no rows.  A text, a line or a
+word of any length is compared whole; columns other than the key and the text are
+ignored.
 """
 
 from __future__ import annotations

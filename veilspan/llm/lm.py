@@ -17,10 +17,12 @@ that asked.  No table that grows with the input is broadcast or collected.
 
 Also returned is the base: word counts with add-one smoothing.
 
-Defined results: a null or empty text is one end mark.  A null key hashes as
-null and is scored, and learned from as `learn` says (null: not).  With
+Defined results: a null or empty text is one end mark.  Rows with a null key are
+dealt by their text, scored, and learned from as `learn` says (null: not).  With
 nothing to learn, every byte has probability 1/256.  Repeated rows are learned
-from as often as they occur.  Other columns do not matter.
+from as often as they occur, and scored alike.  A text or word of any length is
+scored whole, in one task.  Scores are sums, so there are no ties to break.  An
+empty table gives no rows.  Other columns do not matter.
 """
 
 from __future__ import annotations

@@ -17,8 +17,13 @@ Narrow over the documents.
 
 Defined results: a null or empty text, or an item without words, is never
 contaminated or covered.  Items shorter than the seed must occur as a whole.
-Ties between items are resolved by the smaller id.  Repeated rows and rows
-with null ids give one result each, however many blocks there are.
+Ties between items are resolved by the smaller id, ties between matches by the
+earlier place in the document.  Repeated rows and rows with null ids give one
+result each, however many blocks there are; rows of one item id are one item as
+long as the longest of them.  Texts and words of any length are compared whole, in
+one task.  An empty table of documents gives no rows, an empty benchmark
+contaminates nothing.  Columns of `docs` named like those returned do not matter
+unless `carry` names them.
 """
 
 from __future__ import annotations
