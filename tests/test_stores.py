@@ -87,3 +87,30 @@ def test_audits_by_date(spark, tmp_path):
     assert [(r.date, r.removed) for r in stores.purge_audits(spark, path, day).collect()] == [(dt.date(2020, 1, 1), False)]
     assert [(r.date, r.removed) for r in stores.purge_audits(spark, path, day, dry_run=False).collect()] == [(dt.date(2020, 1, 1), True)]
     assert stores.purge_audits(spark, path, day).count() == 0 and (tmp_path / "audits" / "date=soon").exists()
+
+
+def test_catalog(spark):
+    from veilspan.plans import catalog
+
+    found = {(r.family, r.entity) for r in catalog.detectors(spark).collect()}
+    assert {("regex", "TAX_ID"), ("gliner", "MRN"), ("contextual-anchored", "PASSPORT"), ("xpia", "PROMPT_INJECTION")} <= found
+    assert {r.category for r in catalog.entities(spark).collect()} == {None, "PHI", "SECRET", "STRONG_ID", "INTERNAL_ID"}
+    assert catalog.profiles(spark).count() == 11
+    assert catalog.markdown(spark.createDataFrame([(1, "a|b"), (2, None)], "k int, v string")) == "| k | v |\n| --- | --- |\n| 1 | a\\|b |\n| 2 |  |\n"
+
+
+def test_arguments_in_streams():
+    """Arguments are withheld to the end; all fields are judged before any is released; a changed id ends the stream."""
+    from collections import namedtuple
+
+    from veilspan.streaming.holdback import _one_stream
+
+    Row = namedtuple("Row", "seq field delta terminal response_id")
+    act = lambda s: {"AWS_KEY": "block", "EMAIL": "redact"}.get(s["entity"], "allow")
+    run = lambda *rows: _one_stream([Row(k, *r) for k, r in enumerate(rows)], act, 512, {})
+    out, ended = run(("arguments:0", '{"to":"ann@', False, "r"), ("content", "hi", False, "r"), ("arguments:0", 'x.org","n":1}', False, None), ("content", "", True, "r"))
+    assert ended and out == [("arguments", '{"to":"<EMAIL:REDACTED>","n":1}'), ("chunk", "hi"), ("terminal", "")]
+    assert run(("arguments:0", '{"ann@x.org":1}', False, None), ("content", "hi", True, None)) == ([("blocked", "")], True)
+    assert run(("arguments:0", '{"to":', False, None), ("content", "hi", True, None)) == ([("error", "malformed_tool_call_arguments")], True)
+    assert run(("content", "a", False, "r1"), ("content", "b", True, "r2")) == ([("error", "response_id_mismatch")], True)
+    assert run(("arguments:0", "", False, None), ("content", "x", False, None)) == ([], False)
