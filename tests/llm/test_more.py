@@ -112,6 +112,23 @@ def test_tiling_against_definition(spark):
             assert got[d].best_item is None
 
 
+def test_tiling_of_repetitive_texts(spark, monkeypatch):
+    """Few words over and over: many seeds a pair, items that share all words; also with few seeds held at a time."""
+    rng = random.Random(3)
+    items = {k: [rng.choice("ab") for _ in range(12)] for k in range(6)}
+    docs = {d: [rng.choice("ab") for _ in range(rng.randint(0, 40))] for d in range(12)}
+    part = next(tiling.plain_slices(iter([pa.RecordBatch.from_arrays([pa.array(list(docs)), pa.array([" ".join(w) for w in docs.values()])], ["doc_id", "text"])]), "text", "doc_id"))
+    table = tiling.Items([(k, " ".join(w)) for k, w in items.items()], 5)
+    want = {(d, k): brute_tiles(docs[d], items[k], 5) / 12 for d in docs for k in items}
+    for held in (2_000_000, 7):
+        monkeypatch.setattr(tiling, "SEEDS", held)
+        got = {(r, k): c for r, k, c in tiling._covers(part, table, 0.5)}
+        for d in docs:
+            best = max(want[d, k] for k in items)
+            assert {k for k in items if got.get((d, k), 0) >= 0.5} == {k for k in items if want[d, k] >= 0.5}
+            assert max((c for (r, _), c in got.items() if r == d), default=0) == pytest.approx(best)
+
+
 def plain_dropout(v, unit, drop, key):
     """Merges of one unit by their definition: of the candidates not skipped, always the best, the leftmost among equals."""
     text = [pieces.MARK if c == " " else c for c in unit]

@@ -46,6 +46,8 @@ BLOCK_BYTES = 16 << 20
 _PLAIN = _LOWER.copy()
 _PLAIN[[b for b in range(33, 127) if not chr(b).isalnum()]] = 32
 _BITS = 20
+#: Shared seeds that are held at a time, or those of one row if it has more.
+SEEDS = 2_000_000
 
 
 def plain_slices(batches, text: str, key: str) -> Iterator[Slice]:
@@ -108,31 +110,58 @@ class Items:
             self.tables.append((m, h, i[order], p[order], bitmap))
 
 
-def _covers(part: Slice, items: Items) -> Iterator[tuple[int, int, float]]:
-    """(row, item, coverage) of every pair that shares a seed."""
+def _seeds(part: Slice, items: Items) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays (row, item, seed length, place in the document, place in the item) of shared seeds, some whole rows at a time."""
     words = part.word_hashes()
-    pairs: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
     for m, hashes, item, place, bitmap in items.tables:
         h = ngrams(words, m)
         at = np.flatnonzero(bitmap[h & np.uint64((1 << _BITS) - 1)])
         low = np.searchsorted(hashes, h[at])
-        at = at[hit] if (hit := (low < len(hashes)) & (hashes[np.minimum(low, len(hashes) - 1)] == h[at])).any() else at[:0]
+        at = at[hashes[np.minimum(low, len(hashes) - 1)] == h[at]]
         rows = np.searchsorted(part.docs, at, side="right") - 1
         inside = at + m <= part.docs[rows + 1]
         at, rows = at[inside], rows[inside]
-        low, high = np.searchsorted(hashes, h[at]), np.searchsorted(hashes, h[at], side="right")
-        for i, r, a, b in zip(at.tolist(), rows.tolist(), low.tolist(), high.tolist(), strict=True):
-            for k in range(a, b):
-                pairs[(r, int(item[k]), m)].append((i, int(place[k])))
-    for (r, i, m), seeds in sorted(pairs.items()):
-        runs, matches = sorted((a - b, a) for a, b in seeds), []
-        start = 0
-        for k in range(1, len(runs) + 1):  # neighbours on a diagonal join
-            if k == len(runs) or runs[k] != (runs[k - 1][0], runs[k - 1][1] + 1):
-                d, a = runs[start]
-                matches.append((a, a - d, k - start + m - 1))
-                start = k
-        yield r, i, sum(n for *_, n in tile(matches, m)) / items.sizes[i]
+        low = np.searchsorted(hashes, h[at])
+        n = np.searchsorted(hashes, h[at], side="right") - low
+        total, first = np.cumsum(n), 0
+        while first < len(at):  # as many rows as have SEEDS seeds together, or one row with more
+            before = int(total[first - 1]) if first else 0
+            last = max(int(np.searchsorted(total, before + SEEDS, side="right")), int(np.searchsorted(rows, rows[first], side="right")))
+            last = len(at) if last >= len(at) else max(int(np.searchsorted(rows, rows[last])), int(np.searchsorted(rows, rows[first], side="right")))
+            some = slice(first, last)
+            k = np.arange(n[some].sum()) + np.repeat(low[some] - (np.cumsum(n[some]) - n[some]), n[some])
+            yield np.repeat(rows[some], n[some]), item[k], np.full(len(k), m), np.repeat(at[some], n[some]), place[k]
+            first = last
+
+
+def _covers(part: Slice, items: Items, enough: float) -> Iterator[tuple[int, int, float]]:
+    """(row, item, coverage) of pairs that share a seed, but for those that can neither reach `enough` nor be the best of their row."""
+    for row, item, length, i, j in _seeds(part, items):
+        order = np.lexsort((i, i - j, length, item, row))
+        row, item, length, i, j = (x[order] for x in (row, item, length, i, j))
+        changed = np.ones(len(row), dtype=bool)
+        changed[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (length[1:] != length[:-1])
+        broken = changed.copy()
+        broken[1:] |= ((i - j)[1:] != (i - j)[:-1]) | (i[1:] != i[:-1] + 1)
+        runs = np.flatnonzero(broken)  # neighbours on a diagonal join
+        sizes = np.diff(np.append(runs, len(row))) + length[runs] - 1
+        pairs = np.searchsorted(runs, np.flatnonzero(changed))
+        ends = np.append(pairs[1:], len(runs))
+        most = np.minimum(1.0, np.add.reduceat(sizes, pairs) / np.array([items.sizes[k] for k in item[runs[pairs]].tolist()]))
+        best_row, best = -1, 0.0
+        for k in np.lexsort((item[runs[pairs]], -most, row[runs[pairs]])).tolist():
+            a, b = int(pairs[k]), int(ends[k])
+            r = int(row[runs[a]])
+            if r != best_row:
+                best_row, best = r, 0.0
+            if most[k] < best and most[k] < enough:
+                continue
+            own = runs[a:b]
+            matches = list(zip(i[own].tolist(), j[own].tolist(), sizes[a:b].tolist(), strict=True))
+            which = int(item[own[0]])
+            share = sum(n for *_, n in tile(matches, int(length[own[0]]))) / items.sizes[which]
+            best = max(best, share)
+            yield r, which, share
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
@@ -161,7 +190,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, cover
             for block in held:
                 items = block.value
                 for k, part in enumerate(parts):
-                    for r, i, c in _covers(part, items):
+                    for r, i, c in _covers(part, items, coverage):
                         b, so_far = best[k][r]
                         if so_far is None or c > so_far or c == so_far and i < b:
                             best[k][r] = (i, c)
