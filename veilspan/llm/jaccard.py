@@ -216,5 +216,6 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str =
     labels = components(links)
     classes = sketch.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min(F.struct("odd", "id")).alias("x")).selectExpr("k1", "k2", "n", "x.id class_id")
     classes = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").selectExpr("k1", "k2", "n", "class_id", "coalesce(component, class_id) component_id")
+    classes = cut(classes)  # read again, so that the rows of a class with very many copies can be split in the join
     rows = sketch.select("id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
     return rows.selectExpr(f"id as {key}", "cast(n as long) n_shingles", "if(id is null, null, coalesce(class_id, id)) class_id", "if(id is null, null, coalesce(component_id, id)) component_id")
