@@ -28,6 +28,7 @@ columns do not matter.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +42,7 @@ from .tables import if_small
 
 #: The bounds on labelled documents used for fitting.
 FIT_ROWS = 6000
-FIT_BYTES = 64 << 20
+FIT_BYTES = 32 << 20
 BITS = 18
 #: Lengths of the beginnings of a word that are features.
 BEGINNINGS = range(3, 8)
@@ -84,7 +85,7 @@ class Bags:
     def __init__(self, texts: list[str], bits: int = BITS):
         words: dict[str, int] = {}
         of_word: list[list[int]] = []
-        sentence, word, document = [], [], []
+        sentence, word, document = array("q"), array("q"), array("q")
         for d, text in enumerate(texts):
             for a, b in sentences(text):
                 for w in sorted(sentence_words(text[a:b])):
@@ -94,7 +95,7 @@ class Bags:
                     sentence.append(len(document))
                     word.append(words[w])
                 document.append(d)
-        self.sentence, self.word, self.document = (np.array(x, dtype=np.int64) for x in (sentence, word, document))
+        self.sentence, self.word, self.document = (np.frombuffer(x, dtype=np.int64) if x else np.empty(0, dtype=np.int64) for x in (sentence, word, document))
         self.feature_word = np.repeat(np.arange(len(of_word)), [len(f) for f in of_word])
         self.feature = np.array([f for fs in of_word for f in fs], dtype=np.int64)
         self.sizes = len(texts), len(document), len(of_word), 1 << bits
