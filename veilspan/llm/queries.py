@@ -1,14 +1,16 @@
-"""Registered queries of the ten operators, and their SQL where SQL can express them."""
+"""Registered queries of the operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, importance, jaccard, licenses, lm, quality_rules, substrings, tiling, token_counts, toxicity
+from . import byte_bpe, divergence, encoding, importance, jaccard, licenses, lm, quality_rules, substrings, tiling, token_counts, toxicity
 
 #: Name of the vocabulary file for operators 7 and 9.
 MODEL = "piece_bpe_32k.model"
+#: Name of the rank file for operator 13.
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def model_path() -> str:
@@ -74,7 +76,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op2_ngram_jaccard_join, op3_lm_scoring, op4_quality_rules, op5_toxicity, op6_quality_classifier, op7_token_counts, op8_benchmark_decontamination, op9_sentencepiece_encoding, op10_substring_dedup)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), str(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scans, op2_ngram_jaccard_join, op3_lm_scoring, op4_quality_rules, op5_toxicity, op6_quality_classifier, op7_token_counts, op8_benchmark_decontamination, op9_sentencepiece_encoding, op10_substring_dedup, op11_source_divergence, op13_byte_bpe)}
 
 
 def _licenses_sql() -> str:
@@ -111,4 +123,24 @@ _QUALITY_SQL = r"""
                 OR word_chars NOT BETWEEN 2 * n_words AND 15 * n_words OR 10 * large > 3 * length(text) OR 10 * marks > n_words) AS kept
     FROM s"""
 
-ORACLES = {"op1_license_scans": _licenses_sql(), "op4_quality_rules": _QUALITY_SQL}
+_DIVERGENCE_SQL = r"""
+    WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    t AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT doc) >= 30),
+    c AS (SELECT lang, source, term, count(*)::HUGEINT n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    v AS (SELECT lang, count(*) v FROM kept GROUP BY 1),
+    gn AS (SELECT lang, source, coalesce(sum(n), 0) + 5 * coalesce(any_value(v), 0) whole FROM g LEFT JOIN c USING (lang, source) LEFT JOIN v USING (lang) GROUP BY ALL),
+    ln AS (SELECT lang, sum(n) + 5 * any_value(v) whole FROM c JOIN v USING (lang) GROUP BY 1),
+    p AS (SELECT gn.lang, gn.source, k.term, coalesce(c.n, 0) n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)) // whole AS p
+          FROM gn JOIN kept k USING (lang) LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = k.term),
+    q AS (SELECT lang, term, 1 + (1000000000 * (sum(n) + 5)) // any_value(whole) AS q FROM c JOIN ln USING (lang) GROUP BY ALL),
+    pairs AS (SELECT a.lang, a.source, b.source item, sum(abs(a.p - b.p)) f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    rows AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value
+             FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+             UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+    FROM rows QUALIFY part = 'pair' OR rank <= 50"""
+
+ORACLES = {"op11_source_divergence": _DIVERGENCE_SQL, "op1_license_scans": _licenses_sql(), "op4_quality_rules": _QUALITY_SQL}
