@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, divergence, encoding, importance, jaccard, licenses, lm, quality_rules, substrings, tiling, token_counts, toxicity
+from . import byte_bpe, collocations, divergence, encoding, importance, jaccard, licenses, lm, quality_rules, substrings, tiling, token_counts, toxicity
 
 #: Name of the vocabulary file for operators 7 and 9.
 MODEL = "piece_bpe_32k.model"
@@ -80,13 +80,18 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = {c: F.col(c).cast("long") for c in ("rank", "a", "l", "r", "n", "score")}
+    return collocations.mine(table(spark, sf_dir, "documents")).withColumns(long)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), str(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op2_ngram_jaccard_join, op3_lm_scoring, op4_quality_rules, op5_toxicity, op6_quality_classifier, op7_token_counts, op8_benchmark_decontamination, op9_sentencepiece_encoding, op10_substring_dedup, op11_source_divergence, op13_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_license_scans, op2_ngram_jaccard_join, op3_lm_scoring, op4_quality_rules, op5_toxicity, op6_quality_classifier, op7_token_counts, op8_benchmark_decontamination, op9_sentencepiece_encoding, op10_substring_dedup, op11_source_divergence, op12_collocations, op13_byte_bpe)}
 
 
 def _licenses_sql() -> str:
@@ -143,4 +148,22 @@ _DIVERGENCE_SQL = r"""
     SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
     FROM rows QUALIFY part = 'pair' OR rank <= 50"""
 
-ORACLES = {"op11_source_divergence": _DIVERGENCE_SQL, "op1_license_scans": _licenses_sql(), "op4_quality_rules": _QUALITY_SQL}
+_COLLOCATION_SQL = r"""
+    WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+                      regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+    p AS (SELECT lang, unnest(ps) AS piece FROM d),
+    w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+    g AS (SELECT lang, k.k AS m, unnest(list_transform(range(1, len(w) - k.k + 2), lambda i: array_to_string(w[i:i + k.k - 1], ' '))) AS g
+          FROM w, (VALUES (1), (2), (3), (4), (5)) k(k) WHERE len(w) >= k.k),
+    f AS (SELECT lang, m, g, count(*)::HUGEINT AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+    t AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY 1),
+    c AS (SELECT f.lang, m, g, f AS a, string_split(g, ' ') AS ws, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+    s AS (SELECT c.lang, c.m, c.g, c.a, k, x.f AS l, y.f AS r, t.n, (1000 * c.a * t.n) // (x.f * y.f) AS score
+          FROM c JOIN t USING (lang) JOIN f x ON x.lang = c.lang AND x.m = k AND x.g = array_to_string(ws[1:k], ' ')
+          JOIN f y ON y.lang = c.lang AND y.m = c.m - k AND y.g = array_to_string(ws[k + 1:c.m], ' ')),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+    o AS (SELECT DISTINCT b.lang, b.g FROM b JOIN b x ON x.lang = b.lang AND x.m > b.m AND 100 * x.a >= 100 * b.a AND contains(' ' || x.g || ' ', ' ' || b.g || ' '))
+    SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.g) AS rank, b.g AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+    FROM b LEFT JOIN o ON o.lang = b.lang AND o.g = b.g WHERE o.g IS NULL QUALIFY rank <= 2000"""
+
+ORACLES = {"op12_collocations": _COLLOCATION_SQL, "op11_source_divergence": _DIVERGENCE_SQL, "op1_license_scans": _licenses_sql(), "op4_quality_rules": _QUALITY_SQL}
