@@ -114,6 +114,11 @@ def tuples(ids: np.ndarray, pieces: np.ndarray, count: int) -> list[np.ndarray]:
     return columns
 
 
+def _bits(hashes: np.ndarray) -> int:
+    """Bits for the numbers of words, and for one beyond them."""
+    return (len(hashes) + 1).bit_length()
+
+
 def packed(columns: list[np.ndarray], bits: int) -> list[np.ndarray]:
     """Columns of small numbers as few sort keys, the first one first."""
     each = 64 // max(1, bits)
@@ -227,7 +232,7 @@ class Shard:
         columns = tuples(numbers + 1, p, len(h) - kept)
         hold = Words(h[-kept:], p[-kept:], *_held(self.parts, kept)) if kept else None
         self.parts, self.size = ([hold], kept) if hold else ([], 0)
-        return *in_order(columns, len(hashes).bit_length()), hashes, names
+        return *in_order(columns, _bits(hashes)), hashes, names
 
 
 def _held(parts: list[Words], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,7 +247,7 @@ def _records(lang: str, shard: Shard, more: bool, borders: np.ndarray, deal: np.
     columns, lcp, counts, hashes, names = shard.trie(more)
     if not len(counts):
         return
-    at = np.concatenate([[0], cuts_in(columns, hashes, borders, len(hashes).bit_length()), [len(counts)]]).astype(np.int64)
+    at = np.concatenate([[0], cuts_in(columns, hashes, borders, _bits(hashes)), [len(counts)]]).astype(np.int64)
     for r in np.flatnonzero(np.diff(at)).tolist():
         rows = np.arange(at[r], at[r + 1])
         of = _dealt(columns, hashes, rows, int(deal[r]), groups)
@@ -372,7 +377,7 @@ def merged_nodes(blobs: list[bytes], least: int, open_depth: int) -> Iterator[tu
         for k in range(DEPTH):
             columns[k].append(number[own[k]])
         names.update(zip(number[np.unique(own[0])].tolist(), words, strict=True))
-    columns, lcp, counts = in_order([np.concatenate(c) for c in columns], len(hashes).bit_length(), np.concatenate([r[1] for r in read]))
+    columns, lcp, counts = in_order([np.concatenate(c) for c in columns], _bits(hashes), np.concatenate([r[1] for r in read]))
     yield _keys([]), 0, np.array([counts.sum()]), np.empty((1, 0), dtype=np.int64), None
     spelled = np.concatenate([np.zeros(1, dtype=np.uint64), hashes])
     of_row: list[np.ndarray] = []  # counts of each row's nodes by depth, -1 where open
