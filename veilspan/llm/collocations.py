@@ -47,9 +47,9 @@ from .textcore import _LOWER, byte_hashes, mix, raw_text
 #: Words of a phrase at most.
 DEPTH = 5
 #: Bytes of text read together, words of a shard of one language at most; all shards of a task together hold twice as many.
-RUN_BYTES, SHARD_WORDS = 8 << 20, 2_000_000
+RUN_BYTES, SHARD_WORDS = 4 << 20, 1_000_000
 #: Bytes of text for a group of the merge; ranges at most; bytes of the sample that cuts ranges, and one of how many of its tuples is taken.
-GROUP_BYTES, RANGES, SAMPLE_BYTES, SAMPLE_THIN = 12 << 20, 8192, 24 << 20, 8
+GROUP_BYTES, RANGES, SAMPLE_BYTES, SAMPLE_THIN = 8 << 20, 8192, 24 << 20, 8
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 _GAP = _BREAK.copy()
@@ -82,7 +82,7 @@ def read_words(data: np.ndarray, at: np.ndarray) -> Words:
     pieces = np.cumsum(_BREAK[data], dtype=np.int64)[starts] + np.searchsorted(at, starts, side="right")
     hashes = byte_hashes(data, starts, stops)
     hashes[hashes == 0] = 1
-    return Words(hashes, pieces, data, starts, stops)
+    return Words(hashes, pieces, data, starts.astype(np.int32), stops.astype(np.int32))
 
 
 def windows(data: np.ndarray, at: np.ndarray, size: int) -> Iterator[tuple[Words, bool]]:
@@ -135,7 +135,7 @@ def in_order(columns: list[np.ndarray], bits: int, counts: np.ndarray | None = N
     """(columns, lcp, counts) of distinct rows in order; lcp: columns that a row shares with the one before."""
     order = np.lexsort(packed(columns, bits)[::-1])
     columns = [c[order] for c in columns]
-    same, lcp = np.ones(len(order), dtype=bool), np.zeros(len(order), dtype=np.int64)
+    same, lcp = np.ones(len(order), dtype=bool), np.zeros(len(order), dtype=np.int8)
     same[:1] = False
     for c in columns:
         same[1:] &= c[1:] == c[:-1]
@@ -178,7 +178,7 @@ def read_blob(blob: bytes) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, li
     columns = []
     for k in range(DEPTH):
         from_row = np.maximum.accumulate(np.where(lcp <= k, rows, 0))
-        columns.append(rest[begin[from_row] + k - lcp[from_row]].astype(np.int64))
+        columns.append(rest[begin[from_row] + k - lcp[from_row]].astype(np.int32))
     return columns, _from_planes(parts[1], 8).astype(np.int64), np.cumsum(_from_planes(parts[3], 8), dtype=np.uint64), parts[4].split(b"\n")
 
 
@@ -229,7 +229,7 @@ class Shard:
             w, j = self.parts[k], place - (int(ends[k - 1]) if k else 0)
             names[i + 1] = w.data[w.starts[j] : w.ends[j]].tobytes()
         kept = min(DEPTH - 1, len(h)) if more else 0
-        columns = tuples(numbers + 1, p, len(h) - kept)
+        columns = tuples(numbers.astype(np.int32) + np.int32(1), p, len(h) - kept)
         hold = Words(h[-kept:], p[-kept:], *_held(self.parts, kept)) if kept else None
         self.parts, self.size = ([hold], kept) if hold else ([], 0)
         return *in_order(columns, _bits(hashes)), hashes, names
@@ -373,7 +373,7 @@ def merged_nodes(blobs: list[bytes], least: int, open_depth: int) -> Iterator[tu
     hashes = np.unique(np.concatenate([r[2] for r in read]))
     columns, names = [[] for _ in range(DEPTH)], {}
     for own, _, have, words in read:
-        number = np.concatenate([[0], np.searchsorted(hashes, have) + 1])
+        number = np.concatenate([[0], np.searchsorted(hashes, have) + 1]).astype(np.int32)
         for k in range(DEPTH):
             columns[k].append(number[own[k]])
         names.update(zip(number[np.unique(own[0])].tolist(), words, strict=True))
