@@ -12,6 +12,7 @@ from .functions.patterns import CATEGORIES, CLINICAL_WORDS, ROLE_ACCOUNTS
 from .operators import inspect, ranges, reports
 from .plans.policy import Policy, Rule, applies, blocks, decide, decide_by_join
 from .plans.profiles import PROFILES
+from .streaming import frames
 
 KEY = b"an example key for tests only"
 MAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
@@ -369,6 +370,25 @@ def surfaces_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.roles(table(spark, sf_dir, "conversations"))
 
 
+#: Mails are struck, a card ends a stream.
+STREAM_POLICY = Policy("stream", (Rule("mail", "redact", ("EMAIL",), priority=1), Rule("card", "block", ("CREDIT_CARD",), priority=2)), detectors=("regex",))
+
+
+def stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every conversation as a stream of deltas of 40 characters, with a mail and, in each tenth, a card; how each ended, and what came out."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("stream_id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" mail user"), F.col("conv_id").cast("string"), F.lit("@example.org"), F.when(F.col("conv_id") % 10 == 3, " card 4111 1111 1111 1111").otherwise(""), F.lit(" end")).alias("text"))
+    delta = lambda k: F.to_json(F.struct(F.lit("r").alias("id"), F.array(F.struct(F.lit(0).alias("index"), F.struct(F.substring(F.col("text"), 40 * k + 1, 40).alias("content")).alias("delta"))).alias("choices")))
+    datas = F.concat(F.transform(F.sequence(F.lit(0), ((F.length("text") - 1) / 40).cast("int")), delta), F.array(F.lit("[DONE]")))
+    out = frames.frames(turns.select("stream_id", F.posexplode(datas).alias("seq", "data")), STREAM_POLICY)
+    content = F.get_json_object(F.regexp_extract("frame", r"data: (\{.*)", 1), "$.choices[0].delta.content")
+    each = out.groupBy("stream_id").agg(F.max("state").alias("state"), F.sort_array(F.collect_list(F.when(content.isNotNull(), F.struct("seq", "part", content.alias("text"))))).alias("parts"))
+    return each.select("stream_id", "state", F.when(F.col("state") == "done", F.sha2(F.array_join(F.transform("parts", lambda p: p["text"]), ""), 256)).alias("text_sha256"))
+
+
+_STREAM_SQL = f"""SELECT conv_id || ':' || turn AS stream_id, CASE WHEN conv_id % 10 = 3 THEN 'blocked' ELSE 'done' END AS state,
+    CASE WHEN conv_id % 10 <> 3 THEN sha256(regexp_replace(coalesce(text, '') || ' mail user' || conv_id || '@example.org end', '{MAIL}', '<EMAIL:REDACTED>', 'g')) END AS text_sha256 FROM conversations"""
+
+
 def metrics_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.durations(table(spark, sf_dir, "events"), "event_type", "value")
 
@@ -462,11 +482,12 @@ QUERIES = {f"spans_{e.lower()}": _spans_of(e) for e in ("EMAIL", "CREDIT_CARD",
     for f in (
         injected_ids, injected_keys, medical_context, contextual_fields, entropy_tokens, proximity_range_join, policy_decide, policy_theta_join, policy_profiles, inspect_documents, redact_text, mask_hash_token,
         surfaces_conversations, metrics_percentiles, metrics_counters, findings_rollup, findings_export, inspection_metrics, threshold_sweep, blocked_orders, eval_recall, release_gate, coverage_gaps, injection_pages, audit_events,
-        chat_payloads, trace_surfaces_events, vault_status,
+        chat_payloads, trace_surfaces_events, vault_status, stream_frames,
     )
 }
 
 ORACLES = {
+    "stream_frames": _STREAM_SQL,
     "spans_email": _values(MAIL, _NOT_ROLE),
     "spans_credit_card": _values(CARD, _LUHN),
     "spans_phone": f"{_values(PHONE)} UNION ALL {_values(ABROAD)}",
