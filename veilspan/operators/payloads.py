@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import transforms as T
-from ..functions.detect import PLAIN, SPAN, Settings, scan
+from ..functions.detect import PLAIN, SPAN, Settings, family_spans, resolved_spans, scan
 from ..plans.policy import Policy, applies, blocks, decide
 from ..sources.payloads import SURFACE, rewritten, surfaces
 from .inspect import priority, replacement, wanted_entities
@@ -52,13 +52,51 @@ def inspect_payloads(rows: DataFrame, payload: str, policy: Policy, mode: str =
     A finding on a key of tool arguments, or on metadata, that applies rejects the
     payload: it is blocked and not written.  So is one that cannot be read (`fault`).
     """
-    if any(r.action == "hash" and r.hash_algo == "blake2b" for r in policy.rules):
-        raise ValueError("blake2b digests are made for flat texts only")
+    return decide_payloads(rows.withColumn("_scan", scanned(F.col(payload), policy, mode, settings)), payload, policy, mode, key, environment)
+
+
+def scanned_by_sets(payload: Column, policy: Policy, sets: dict[str, tuple[str, ...]], mode: str = "chat", settings: Settings = PLAIN) -> Column:
+    """An array of structs (name, scan): for each set of detector families what `scanned` gives for it.  Every family looks at a text once."""
+    every = tuple(dict.fromkeys(f for families in sets.values() for f in families))
+    wanted = wanted_entities(policy)
+    only = None if wanted is None else frozenset(wanted)
+
+    def walk(text: str | None) -> list[dict]:
+        fault, rows = None, []
+        try:
+            rows = surfaces(text, mode) if text is not None else []
+        except ValueError:
+            fault = FAULTS["json"]
+        except RecursionError:
+            fault = FAULTS["depth"]
+        seen = []
+        for r in rows:
+            flags = frozenset(filter(None, r["flags"].split(",")))
+            seen.append({f: list(family_spans(f, r["value"], 0, settings, r["name"], flags)) if r["value"] else [] for f in every})
+        return [
+            {"name": name, "scan": {"rows": [r | {"spans": resolved_spans(r["value"], [s | {"registry_order": k} for k, f in enumerate(families) for s in found[f]], settings, only)} for r, found in zip(rows, seen, strict=True)], "fault": fault}}
+            for name, families in sets.items()
+        ]
+
+    @F.pandas_udf(f"array<struct<name:string,scan:struct<rows:array<{SCANNED}>,fault:string>>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([walk(t) for t in batch], dtype=object)
+
+    return run.asNondeterministic()(payload)
+
+
+def decide_payloads(rows: DataFrame, payload: str, policy: Policy, mode: str = "chat", key: bytes | None = None, environment: Mapping[str, str] | None = None, least: Column | None = None) -> DataFrame:
+    """What inspect_payloads gives, for rows whose column `_scan` has the spans already; `least` raises the least confidence of every rule."""
     environment, at = os.environ if environment is None else environment, int(time.time())
     acts = lambda f: applies(policy.mode, f["decision"]["action"], f["decision"]["on_fail"])
 
+    # An Arrow function cannot stand inside transform(): digests of all values are made beside it and looked up.
+    needs_digest = any(r.action == "hash" and r.hash_algo == "blake2b" for r in policy.rules)
+    digest = (lambda v: F.try_element_at("_digests", v)) if needs_digest else lambda v: F.lit("")
+
     def decided(s: Column) -> Column:
-        every = F.transform(s["spans"], lambda x: F.struct(x.alias("span"), decide(policy, x["entity"], s["name"], x["confidence"]).alias("decision"), F.lit("").alias("digest")))
+        every = F.transform(s["spans"], lambda x: F.struct(x.alias("span"), decide(policy, x["entity"], s["name"], x["confidence"], least).alias("decision"), digest(x["value"]).alias("digest")))
         return F.struct(*[s[c].alias(c) for c in ("name", "pointer", "value", "json_pointer", "is_key", "safe_pointer", "flags")], F.filter(every, lambda f: f["decision"]["action"] != "allow").alias("found"))
 
     def edit(s: Column) -> Column:
@@ -76,7 +114,10 @@ def inspect_payloads(rows: DataFrame, payload: str, policy: Policy, mode: str =
         return F.struct(s["pointer"].alias("pointer"), s["json_pointer"].alias("json_pointer"), value.alias("value"))
 
     fixed = mode in ("metadata", "stream_metadata", "sse")
-    out = rows.withColumn("_scan", scanned(F.col(payload), policy, mode, settings)).withColumn("_rows", F.transform("_scan.rows", decided))
+    if needs_digest:
+        values = F.array_distinct(F.flatten(F.transform("_scan.rows", lambda s: s["spans"]["value"])))
+        rows = rows.withColumn("_values", values).withColumn("_digests", F.map_from_arrays("_values", T.blake2b(F.col("_values"))))
+    out = rows.withColumn("_rows", F.transform("_scan.rows", decided))
     flat = F.flatten(F.transform("_rows", lambda s: F.transform(s["found"], lambda f: F.struct(f["span"].alias("span"), f["decision"].alias("decision"), s["name"].alias("surface"), F.coalesce(s["safe_pointer"], s["pointer"]).alias("pointer"), F.when(~s["is_key"], s["json_pointer"]).alias("json_pointer"), s["is_key"].alias("is_key")))))
     out = out.withColumn("findings", flat)
     rejected = F.exists("findings", lambda f: (F.lit(fixed) | f["is_key"]) & acts(f))
@@ -85,7 +126,7 @@ def inspect_payloads(rows: DataFrame, payload: str, policy: Policy, mode: str =
     edits = F.transform(F.filter("_rows", lambda s: F.exists(s["found"], acts)), edit)
     # A drawn column that is read twice is not written out inside the Python function's arguments, where Spark does not find lambdas again.
     out = out.withColumn("_edits", F.when(F.rand(0) >= 0, edits)).withColumn("_new", rewritten(F.col(payload), F.col("_edits")))
-    return out.withColumn("transformed", F.when(F.col("_edits").isNotNull() & ~F.col("halted") & ~F.col("rejected") & F.col("fault").isNull(), F.col("_new"))).drop("_scan", "_rows", "_edits", "_new")
+    return out.withColumn("transformed", F.when(F.col("_edits").isNotNull() & ~F.col("halted") & ~F.col("rejected") & F.col("fault").isNull(), F.col("_new"))).drop("_scan", "_rows", "_edits", "_new", "_values", "_digests")
 
 
 def outcomes(inspected: DataFrame, direction: str = "request") -> DataFrame:

@@ -149,8 +149,9 @@ def explained(spark, policy: Policy) -> DataFrame:
     return spark.createDataFrame(rows, "rank int, rule_id string, action string, on_fail string, scope string, severity string, priority int, min_confidence double, entities array<string>, surfaces array<string>, from_pack boolean")
 
 
-def _matches(rule: Rule, entity: Column, surface: Column, confidence: Column) -> Column:
+def _matches(rule: Rule, entity: Column, surface: Column, confidence: Column, least: Column | None) -> Column:
     out = confidence >= rule.min_confidence
+    out = out if least is None else out & (confidence >= least)
     if rule.entities or rule.categories:
         out = out & entity.isin(rule.members())
     elif rule.excepted:
@@ -158,13 +159,13 @@ def _matches(rule: Rule, entity: Column, surface: Column, confidence: Column) ->
     return out & surface.isin(*rule.surfaces) if rule.surfaces else out
 
 
-def decide(policy: Policy, entity: Column, surface: Column, confidence: Column) -> Column:
-    """A struct (action, rule_id, severity, on_fail, scope) for a span: first match by rank, else allow."""
+def decide(policy: Policy, entity: Column, surface: Column, confidence: Column, least: Column | None = None) -> Column:
+    """A struct (action, rule_id, severity, on_fail, scope) for a span: first match by rank, else allow.  `least` raises the least confidence of every rule."""
     make = lambda a, i, s, o, c: F.struct(F.lit(a).alias("action"), F.lit(i).alias("rule_id"), F.lit(s).alias("severity"), F.lit(o).cast("string").alias("on_fail"), F.lit(c).alias("scope"))
     none = make("allow", "default-allow", "info", None, "span")
     out = F.when(~entity.isin(policy.scoped()), none) if policy.scope else None
     for r in policy.ranked():
-        out = (F if out is None else out).when(_matches(r, entity, surface, confidence), make(r.action, r.id, r.severity, r.on_fail, r.scope))
+        out = (F if out is None else out).when(_matches(r, entity, surface, confidence, least), make(r.action, r.id, r.severity, r.on_fail, r.scope))
     return out.otherwise(none) if out is not None else none
 
 

@@ -9,7 +9,7 @@ from .functions import transforms as T
 from .functions.detect import spans
 from .functions.native import native_spans
 from .functions.patterns import CATEGORIES, CLINICAL_WORDS, ROLE_ACCOUNTS
-from .operators import inspect, ranges, reports
+from .operators import evaluation, inspect, ranges, reports
 from .plans.policy import Policy, Rule, applies, blocks, decide, decide_by_join
 from .plans.profiles import PROFILES
 from .streaming import frames
@@ -389,6 +389,99 @@ _STREAM_SQL = f"""SELECT conv_id || ':' || turn AS stream_id, CASE WHEN conv_id
     CASE WHEN conv_id % 10 <> 3 THEN sha256(regexp_replace(coalesce(text, '') || ' mail user' || conv_id || '@example.org end', '{MAIL}', '<EMAIL:REDACTED>', 'g')) END AS text_sha256 FROM conversations"""
 
 
+# -- evaluation of planted values ------------------------------------------
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request a customer: a mail, every second with a phone number and every third with a social security number."""
+    key, four = F.col("c_custkey").cast("string"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0")
+    values = F.array_compact(F.array(F.concat(F.lit("c"), key, F.lit("@example.org")), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("212-555-"), four)), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("123-45-"), four))))
+    entities = F.array_compact(F.array(F.lit("EMAIL"), F.when(F.col("c_custkey") % 2 == 0, F.lit("PHONE")), F.when(F.col("c_custkey") % 3 == 0, F.lit("US_SSN")), F.when(F.col("c_custkey") % 5 == 0, F.lit("PERSON"))))
+    payload = F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit("reach me: "), F.array_join(values, " and "), F.lit(" thanks")).alias("content"))).alias("messages")))
+    return table(spark, sf_dir, "customer").select(key.alias("id"), payload.alias("payload"), values.alias("sensitive_values"), values.alias("expected_absent"), entities.alias("expected_entities"))
+
+
+THREE_POLICY = Policy("three", (Rule("all", "redact", ("EMAIL", "PHONE", "US_SSN"), priority=1),), detectors=("regex",))
+TWO_POLICY = Policy("two", (Rule("some", "redact", ("EMAIL", "US_SSN"), priority=1),), detectors=("regex",))
+THRESHOLDS = [0.0, 0.5, 0.8, 0.85, 0.9, 0.95, 0.97, 1.0]
+SETS = {"both": ("regex", "medical-regex"), "regex": ("regex",), "medical": ("medical-regex",), "gone": ("regex", "presidio")}
+_CASES_SQL = "SELECT c_custkey AS k, 1 AS mails, (c_custkey % 2 = 0)::INT AS phones, (c_custkey % 3 = 0)::INT AS ssns FROM customer"
+
+
+def sweep_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of planted values at each least confidence, from one inspection."""
+    # every expected entity that goes with its confidence would fail a case, so only values are asked for
+    totals = evaluation.threshold_sweep(_cases(spark, sf_dir).drop("expected_entities"), THREE_POLICY, THRESHOLDS)
+    return totals.select("threshold", "cases", "passed", "mutated", "leaks_before", "leaks_after")
+
+
+def compare_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for sets of detector families, from one inspection; a set that is not to be had is told."""
+    totals = evaluation.compare(_cases(spark, sf_dir).drop("expected_entities"), THREE_POLICY, SETS)
+    return totals.select("detectors", "unavailable", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("cases", "passed", "leaks_before", "leaks_after")])
+
+
+_SWEEP_SQL = f"""WITH c AS ({_CASES_SQL}), t(threshold) AS (VALUES {", ".join(f"({t}::DOUBLE)" for t in THRESHOLDS)}),
+    l AS (SELECT threshold, mails + phones + ssns AS b, mails * (threshold > 0.94)::INT + phones * (threshold > 0.8)::INT + ssns * (threshold > 0.96)::INT AS a FROM c, t)
+    SELECT threshold, count(*) AS cases, count(*) FILTER (a = 0) AS passed, count(*) FILTER (a < b) AS mutated, sum(b)::BIGINT AS leaks_before, sum(a)::BIGINT AS leaks_after FROM l GROUP BY 1"""
+_COMPARE_SQL = f"""WITH c AS (SELECT mails + phones + ssns AS n FROM ({_CASES_SQL}))
+    SELECT d AS detectors, '' AS unavailable, count(*) AS cases, count(*) FILTER (d <> 'medical') AS passed, sum(n)::BIGINT AS leaks_before, sum(CASE WHEN d = 'medical' THEN n ELSE 0 END)::BIGINT AS leaks_after
+    FROM c, (VALUES ('both'), ('regex'), ('medical')) s(d) GROUP BY 1 UNION ALL SELECT 'gone', 'presidio', 0, 0, 0, 0"""
+
+
+def entity_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containment and tagging of planted entities where phone numbers are not decided on."""
+    return evaluation.by_entity(evaluation.evaluate(_cases(spark, sf_dir), TWO_POLICY, carry=["expected_entities"]))
+
+
+_ENTITY_SQL = """WITH c AS (SELECT c_custkey AS k, unnest(list_filter(['EMAIL', CASE WHEN c_custkey % 2 = 0 THEN 'PHONE' END, CASE WHEN c_custkey % 3 = 0 THEN 'US_SSN' END, CASE WHEN c_custkey % 5 = 0 THEN 'PERSON' END], lambda x: x IS NOT NULL)) AS entity FROM customer)
+    SELECT entity, count(*) AS expected_cases, count(*) FILTER (k % 2 = 1) AS contained_cases, round(count(*) FILTER (k % 2 = 1) / count(*), 6) AS containment_recall,
+           count(*) FILTER (entity IN ('EMAIL', 'US_SSN')) AS exact_tag_cases, round(count(*) FILTER (entity IN ('EMAIL', 'US_SSN')) / count(*), 6) AS exact_tag_recall FROM c GROUP BY 1"""
+
+
+def family_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signal and noise by detector family: customers whose number 7 divides have no planted value but a clinical sentence."""
+    benign = F.col("id").cast("long") % 7 == 0
+    calm = F.lit('{"messages": [{"role": "user", "content": "patient has hypertension"}]}')
+    cases = _cases(spark, sf_dir).drop("expected_entities").withColumn("payload", F.when(benign, calm).otherwise(F.col("payload")))
+    every = Policy("every", (Rule("all", "redact", priority=1),), detectors=("regex", "medical-regex"))
+    return evaluation.by_family(evaluation.evaluate(cases, every), benign)
+
+
+_FAMILY_SQL = """WITH c AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN 'medical-regex' ELSE 'regex' END AS family, c_custkey % 7 = 0 AS benign FROM customer),
+    g AS (SELECT family, count(*) FILTER (NOT benign) AS threat_cases, count(*) FILTER (benign) AS benign_cases FROM c GROUP BY 1)
+    SELECT *, CASE WHEN benign_cases > 0 THEN round(threat_cases / benign_cases, 6) END AS signal_to_noise FROM g"""
+
+
+def fixture_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall and specificity of detectors on fixtures made of customers: one in four is negative, some texts do not fit their role."""
+    k, key = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    made = [("regex.email", "EMAIL", F.when(k % 8 == 1, "mail at example").otherwise(F.concat(F.lit("mail c"), key, F.lit("@example.org")))), ("regex.phone_family", "PHONE", F.when(k % 12 == 0, "call me").when(k % 3 == 0, "call (11) 98765-4321").otherwise("call 212-555-0199"))]
+    case = lambda d, e, t: F.struct(F.lit(d).alias("detector"), F.lit(e).alias("entity"), F.when(k % 4 == 0, "negative").otherwise("positive").alias("role"), t.alias("text"), F.lit("output.content").alias("surface"))
+    cases = table(spark, sf_dir, "customer").select(F.inline(F.array(*[case(*m) for m in made])))
+    matchers = spark.createDataFrame([("regex.phone_family", "regex.phone", False), ("regex.phone_family", "regex.brazil_", True)], "detector string, id string, is_prefix boolean")
+    return reports.foundation(evaluation.fixture_hits(cases, matchers))
+
+
+_FIXTURE_SQL = """WITH c AS (SELECT 'regex.email' AS detector, 'EMAIL' AS entity, c_custkey % 4 <> 0 AS pos, c_custkey % 8 <> 1 AS hit FROM customer UNION ALL SELECT 'regex.phone_family', 'PHONE', c_custkey % 4 <> 0, c_custkey % 12 <> 0 FROM customer),
+    g AS (SELECT detector, entity, count(*) FILTER (pos AND hit) AS tp, count(*) FILTER (pos AND NOT hit) AS fn, count(*) FILTER (NOT pos AND hit) AS fp, count(*) FILTER (NOT pos AND NOT hit) AS tn FROM c GROUP BY 1, 2)
+    SELECT *, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) END AS recall, CASE WHEN tn + fp > 0 THEN round(tn / (tn + fp), 6) END AS specificity FROM g"""
+
+OLD_POLICY = Policy("old", (Rule("mail", "redact", ("EMAIL",), priority=2),), detectors=("regex",))
+NEW_POLICY = Policy("new", (Rule("card", "block", ("CREDIT_CARD",), priority=3), Rule("mail", "tokenize", ("EMAIL",), priority=2)), detectors=("regex",))
+
+
+def simulate_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a new policy would change on all documents, by language and entity with subtotals."""
+    docs = texts(spark, sf_dir).select("lang", F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages"))).alias("payload"))
+    return evaluation.simulate(docs, "payload", OLD_POLICY, NEW_POLICY, ["lang"]).drop("newly_blocked", "no_longer_blocked")
+
+
+def _simulate_sql() -> str:
+    return f"""WITH f AS (SELECT lang, entity, doc_id, CASE entity WHEN 'EMAIL' THEN 'redact' ELSE 'allow' END AS old_action, CASE entity WHEN 'EMAIL' THEN 'tokenize' ELSE 'block' END AS new_action FROM ({_THREE}) JOIN documents USING (doc_id) WHERE entity <> 'PHONE')
+    SELECT lang, entity, old_action, new_action, grouping(lang, entity, old_action, new_action)::BIGINT AS level, count(*) AS n_findings FROM f GROUP BY ROLLUP (lang, entity, old_action, new_action)"""
+
+
 def metrics_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.durations(table(spark, sf_dir, "events"), "event_type", "value")
 
@@ -482,12 +575,18 @@ QUERIES = {f"spans_{e.lower()}": _spans_of(e) for e in ("EMAIL", "CREDIT_CARD",
     for f in (
         injected_ids, injected_keys, medical_context, contextual_fields, entropy_tokens, proximity_range_join, policy_decide, policy_theta_join, policy_profiles, inspect_documents, redact_text, mask_hash_token,
         surfaces_conversations, metrics_percentiles, metrics_counters, findings_rollup, findings_export, inspection_metrics, threshold_sweep, blocked_orders, eval_recall, release_gate, coverage_gaps, injection_pages, audit_events,
-        chat_payloads, trace_surfaces_events, vault_status, stream_frames,
+        chat_payloads, trace_surfaces_events, vault_status, stream_frames, sweep_findings, compare_families, entity_containment, family_signal, fixture_recall, simulate_policies,
     )
 }
 
 ORACLES = {
     "stream_frames": _STREAM_SQL,
+    "sweep_findings": _SWEEP_SQL,
+    "compare_families": _COMPARE_SQL,
+    "entity_containment": _ENTITY_SQL,
+    "family_signal": _FAMILY_SQL,
+    "fixture_recall": _FIXTURE_SQL,
+    "simulate_policies": _simulate_sql(),
     "spans_email": _values(MAIL, _NOT_ROLE),
     "spans_credit_card": _values(CARD, _LUHN),
     "spans_phone": f"{_values(PHONE)} UNION ALL {_values(ABROAD)}",
