@@ -21,7 +21,7 @@ def detectors(spark: SparkSession) -> DataFrame:
     rows += [("xpia", f"xpia.{n}", "PROMPT_INJECTION", c) for n, c, _ in P.INJECTION]
     rows += [("contextual-anchored", d, e, c) for e, d, _, _, c in P.FIELDS] + [("contextual-anchored", f"contextual.xml_{t}", e, 0.82) for t, e in C.TAGS.items()]
     rows += [("contextual-broad", d, e, c) for e, d, _, _, c in C.BROAD_FIELDS] + [("contextual-broad", d, e, c) for e, d, _, c in C.SHAPES]
-    rows += [("gliner", "gliner", e, None) for e in adapters.ZERO_SHOT_LABELS] + [("presidio", f"presidio.{k.lower()}", e, None) for k, e in adapters.ANALYZER_LABELS.items()]
+    rows += [("gliner", "gliner", e, None) for e in dict.fromkeys(adapters.ZERO_SHOT_LABELS.values())] + [("presidio", f"presidio.{k.lower()}", e, None) for k, e in adapters.ANALYZER_LABELS.items()]
     rows += [("openai_privacy_filter", f"openai_privacy_filter.{k}", e, None) for k, e in adapters.CLASSIFIER_LABELS.items()]
     return spark.createDataFrame(sorted(set(rows), key=str), "family string, detector_id string, entity string, confidence double")
 

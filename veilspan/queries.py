@@ -218,14 +218,11 @@ def policy_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda names, c: F.element_at(F.array(*map(F.lit, names)), (c % len(names) + 1).cast("int"))
     rows = table(spark, sf_dir, "lineitem").select(pick(_ALL_ENTITIES, F.col("l_partkey")).alias("entity"), pick(_ALL_SURFACES, F.col("l_suppkey")).alias("surface"), F.round(0.3 + F.col("l_discount") * 6, 2).alias("confidence"))
     rows = rows.groupBy("entity", "surface", "confidence").agg(F.count("*").alias("k"))
-    out = []
-    for name, policy in PROFILES.items():
-        d = rows.select("k", decide(policy, F.col("entity"), F.col("surface"), F.col("confidence")).alias("d"))
-        out.append(d.select("k", F.lit(name).alias("profile"), "d.action", "d.rule_id", applies(policy.mode, F.col("d.action"), F.col("d.on_fail")).alias("applies"), blocks(policy.mode, F.col("d.action"), F.col("d.on_fail")).alias("blocks")))
-    both = out[0]
-    for more in out[1:]:
-        both = both.unionByName(more)
-    return both.groupBy("profile", "action", "rule_id", "applies", "blocks").agg(F.sum("k").alias("n"))
+    # each distinct line is decided by all profiles in one row, so the table is read and grouped once
+    made = [F.struct(F.lit(name).alias("profile"), F.lit(policy.mode).alias("mode"), decide(policy, F.col("entity"), F.col("surface"), F.col("confidence")).alias("d")) for name, policy in PROFILES.items()]
+    each = rows.select("k", F.explode(F.array(*made)).alias("x")).select("k", "x.profile", "x.mode", "x.d.*")
+    by_mode = lambda of: F.coalesce(*[F.when(F.col("mode") == m, of(m, F.col("action"), F.col("on_fail"))) for m in sorted({p.mode for p in PROFILES.values()})])
+    return each.groupBy("profile", "action", "rule_id", by_mode(applies).alias("applies"), by_mode(blocks).alias("blocks")).agg(F.sum("k").alias("n"))
 
 
 _ALL_ENTITIES = [e for members in CATEGORIES.values() for e in members] + ["EMAIL", "PHONE", "PERSON", "ADDRESS", "DATE_OF_BIRTH", "BANK_ACCOUNT", "IBAN", "CREDIT_CARD", "SWIFT", "CUSTOMER_CONFIDENTIAL", "PROMPT_INJECTION"]
