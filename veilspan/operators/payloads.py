@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import time
@@ -17,11 +18,18 @@ from ..plans.policy import Policy, applies, blocks, decide
 from ..sources.payloads import SURFACE, rewritten, surfaces
 from .inspect import priority, replacement, wanted_entities
 
-SCANNED = SURFACE[:-1] + f",spans:array<{SPAN}>>"
+SCANNED = SURFACE[:-1] + f",spans:array<{SPAN}>,digests:array<string>>"
 #: What became of a payload that could not be inspected.
 FAULTS = {"json": "invalid_json", "depth": "too_deep"}
 
 
+def _digests(found: list[dict], policy: Policy) -> list[str]:
+    """BLAKE2b digests of spans where a rule may ask for them: Spark has no function for these."""
+    if not any(r.action == "hash" and r.hash_algo == "blake2b" for r in policy.rules):
+        return []
+    return [hashlib.blake2b(s["value"].encode()).hexdigest() for s in found]
+
+
 def scanned(payload: Column, policy: Policy, mode: str = "chat", settings: Settings = PLAIN) -> Column:
     """A struct of surfaces with their spans, and a fault where the payload is no JSON or nested too deeply."""
     families, wanted = policy.detectors, wanted_entities(policy)
@@ -32,7 +40,8 @@ def scanned(payload: Column, policy: Policy, mode: str = "chat", settings: Setti
             return {"rows": [], "fault": None}
         try:
             rows = surfaces(text, mode)
-            return {"rows": [r | {"spans": scan(r["value"], families, True, r["name"], settings, only, frozenset(filter(None, r["flags"].split(","))))} for r in rows], "fault": None}
+            found = [scan(r["value"], families, True, r["name"], settings, only, frozenset(filter(None, r["flags"].split(",")))) for r in rows]
+            return {"rows": [r | {"spans": f, "digests": _digests(f, policy)} for r, f in zip(rows, found, strict=True)], "fault": None}
         except ValueError:
             return {"rows": [], "fault": FAULTS["json"]}
         except RecursionError:
@@ -73,10 +82,11 @@ def scanned_by_sets(payload: Column, policy: Policy, sets: dict[str, tuple[str,
         for r in rows:
             flags = frozenset(filter(None, r["flags"].split(",")))
             seen.append({f: list(family_spans(f, r["value"], 0, settings, r["name"], flags)) if r["value"] else [] for f in every})
-        return [
-            {"name": name, "scan": {"rows": [r | {"spans": resolved_spans(r["value"], [s | {"registry_order": k} for k, f in enumerate(families) for s in found[f]], settings, only)} for r, found in zip(rows, seen, strict=True)], "fault": fault}}
-            for name, families in sets.items()
-        ]
+        out = []
+        for name, families in sets.items():
+            kept = [resolved_spans(r["value"], [s | {"registry_order": k} for k, f in enumerate(families) for s in found[f]], settings, only) for r, found in zip(rows, seen, strict=True)]
+            out.append({"name": name, "scan": {"rows": [r | {"spans": f, "digests": _digests(f, policy)} for r, f in zip(rows, kept, strict=True)], "fault": fault}})
+        return out
 
     @F.pandas_udf(f"array<struct<name:string,scan:struct<rows:array<{SCANNED}>,fault:string>>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -91,12 +101,8 @@ def decide_payloads(rows: DataFrame, payload: str, policy: Policy, mode: str = "
     environment, at = os.environ if environment is None else environment, int(time.time())
     acts = lambda f: applies(policy.mode, f["decision"]["action"], f["decision"]["on_fail"])
 
-    # An Arrow function cannot stand inside transform(): digests of all values are made beside it and looked up.
-    needs_digest = any(r.action == "hash" and r.hash_algo == "blake2b" for r in policy.rules)
-    digest = (lambda v: F.try_element_at("_digests", v)) if needs_digest else lambda v: F.lit("")
-
     def decided(s: Column) -> Column:
-        every = F.transform(s["spans"], lambda x: F.struct(x.alias("span"), decide(policy, x["entity"], s["name"], x["confidence"], least).alias("decision"), digest(x["value"]).alias("digest")))
+        every = F.zip_with(s["spans"], s["digests"], lambda x, d: F.struct(x.alias("span"), decide(policy, x["entity"], s["name"], x["confidence"], least).alias("decision"), d.alias("digest")))
         return F.struct(*[s[c].alias(c) for c in ("name", "pointer", "value", "json_pointer", "is_key", "safe_pointer", "flags")], F.filter(every, lambda f: f["decision"]["action"] != "allow").alias("found"))
 
     def edit(s: Column) -> Column:
@@ -114,9 +120,6 @@ def decide_payloads(rows: DataFrame, payload: str, policy: Policy, mode: str = "
         return F.struct(s["pointer"].alias("pointer"), s["json_pointer"].alias("json_pointer"), value.alias("value"))
 
     fixed = mode in ("metadata", "stream_metadata", "sse")
-    if needs_digest:
-        values = F.array_distinct(F.flatten(F.transform("_scan.rows", lambda s: s["spans"]["value"])))
-        rows = rows.withColumn("_values", values).withColumn("_digests", F.map_from_arrays("_values", T.blake2b(F.col("_values"))))
     out = rows.withColumn("_rows", F.transform("_scan.rows", decided))
     flat = F.flatten(F.transform("_rows", lambda s: F.transform(s["found"], lambda f: F.struct(f["span"].alias("span"), f["decision"].alias("decision"), s["name"].alias("surface"), F.coalesce(s["safe_pointer"], s["pointer"]).alias("pointer"), F.when(~s["is_key"], s["json_pointer"]).alias("json_pointer"), s["is_key"].alias("is_key")))))
     out = out.withColumn("findings", flat)
@@ -126,7 +129,7 @@ def decide_payloads(rows: DataFrame, payload: str, policy: Policy, mode: str = "
     edits = F.transform(F.filter("_rows", lambda s: F.exists(s["found"], acts)), edit)
     # A drawn column that is read twice is not written out inside the Python function's arguments, where Spark does not find lambdas again.
     out = out.withColumn("_edits", F.when(F.rand(0) >= 0, edits)).withColumn("_new", rewritten(F.col(payload), F.col("_edits")))
-    return out.withColumn("transformed", F.when(F.col("_edits").isNotNull() & ~F.col("halted") & ~F.col("rejected") & F.col("fault").isNull(), F.col("_new"))).drop("_scan", "_rows", "_edits", "_new", "_values", "_digests")
+    return out.withColumn("transformed", F.when(F.col("_edits").isNotNull() & ~F.col("halted") & ~F.col("rejected") & F.col("fault").isNull(), F.col("_new"))).drop("_scan", "_rows", "_edits", "_new")
 
 
 def outcomes(inspected: DataFrame, direction: str = "request") -> DataFrame:
