@@ -114,3 +114,36 @@ def test_arguments_in_streams():
     assert run(("arguments:0", '{"to":', False, None), ("content", "hi", True, None)) == ([("error", "malformed_tool_call_arguments")], True)
     assert run(("content", "a", False, "r1"), ("content", "b", True, "r2")) == ([("error", "response_id_mismatch")], True)
     assert run(("arguments:0", "", False, None), ("content", "x", False, None)) == ([], False)
+
+
+def test_two_writers_give_one_record_a_token(spark, tmp_path):
+    """Both look before either appends; readers see the first record, and a backup holds no other."""
+
+    path, key, seal = f"{tmp_path}/v", b"k", "MDEyMzQ1Njc4OWFiY2RlZjAxMjM0NTY3ODlhYmNkZWY="
+    found = spark.createDataFrame([("EMAIL", "ann@x.org"), ("PHONE", "212-555-0199")], "entity string, value string")
+    stores.insert(found, f"{tmp_path}/one", key, seal, {"who": "one"})
+    stores.insert(found.union(spark.createDataFrame([("EMAIL", "bob@y.org")], "entity string, value string")), f"{tmp_path}/two", key, seal, {"who": "two"})
+    for part in ("two", "one"):  # appended in the other order
+        stores.appended(spark, f"{tmp_path}/{part}").write.mode("append").parquet(path)
+    assert stores.appended(spark, path).count() == 5 and stores.vault(spark, path).count() == 3
+    assert {r.entity: r.n for r in stores.status(spark, path).collect()} == {"EMAIL": 2, "PHONE": 1}
+    assert sorted(r.metadata["who"] for r in stores.vault(spark, path).collect()) == ["one", "one", "two"]
+    tokens = stores.insert(found, path, key, seal)
+    assert stores.appended(spark, path).count() == 5 and {r.value for r in stores.resolve(tokens, path, seal).collect()} == {"ann@x.org", "212-555-0199"}
+    stores.backup(spark, path, f"{tmp_path}/copy")
+    assert stores.appended(spark, f"{tmp_path}/copy").count() == 3
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    """A failure between two outputs, and a batch replayed after all went well."""
+
+    split = lambda batch: {"audits": batch.where("k >= 0"), "metrics": batch.groupBy().count()}
+    write, broken = stores.batch_sinks(str(tmp_path), split), stores.batch_sinks(str(tmp_path), lambda b: {"audits": b, "metrics": b.selectExpr("raise_error('down') AS x")})
+    first, second = spark.range(5).selectExpr("id AS k"), spark.range(5, 8).selectExpr("id AS k")
+    write(first, 0)
+    with pytest.raises(Exception, match="down"):
+        broken(second, 1)
+    for batch, number in ((second, 1), (first, 0), (second, 1)):
+        write(batch, number)
+    assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/audits").collect()) == list(range(8))
+    assert {(r.batch, r["count"]) for r in spark.read.parquet(f"{tmp_path}/metrics").collect()} == {(0, 5), (1, 3)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,18 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def vault(spark: SparkSession, path: str) -> DataFrame:
-    """The records of a vault; none where it has not been written yet.  A folder of other columns is refused."""
+    """The records of a vault; none where it has not been written yet.  A folder of other columns is refused.
+
+    Two writers at once may both append a token; its first record counts, of equal times
+    the one with the least sealed value, so every reader sees the same one.  `backup` writes just these.
+    """
+    held = appended(spark, path)
+    first = F.min_by(F.struct(*[c for c in held.columns if c != "token"]), F.struct("created_at", "sealed"))
+    return held.groupBy("token").agg(first.alias("r")).select("token", "r.*")
+
+
+def appended(spark: SparkSession, path: str) -> DataFrame:
+    """All records as they were appended."""
     if not exists(spark, path):
         return spark.createDataFrame([], VAULT)
     held = spark.read.parquet(path)
@@ -44,7 +56,7 @@ def insert(found: DataFrame, path: str, hmac_key: bytes, seal_key: str, metadata
     tokens = found.where("entity is not null and value is not null").select("entity", "value").distinct().withColumn("token", T.vault_token(hmac_key, F.col("entity"), F.col("value")))
     notes = F.create_map(*[F.lit(x) for pair in (metadata or {}).items() for x in pair]).cast("map<string,string>") if metadata else F.create_map().cast("map<string,string>")
     rows = tokens.select("token", "entity", T.sealed(F.col("value"), seal_key, int(time.time())).alias("sealed"), F.sha2(F.col("value"), 256).alias("digest"), F.current_timestamp().alias("created_at"), notes.alias("metadata"))
-    rows.join(vault(spark, path).select("token"), "token", "left_anti").write.mode("append").parquet(path)
+    rows.join(appended(spark, path).select("token"), "token", "left_anti").write.mode("append").parquet(path)
     return tokens
 
 
@@ -83,6 +95,25 @@ def append_audits(events: DataFrame, path: str, stage: str, rows_a_file: int = 1
     stamped.write.mode("append").option("maxRecordsPerFile", rows_a_file).partitionBy("date").json(path)
 
 
+def batch_sinks(path: str, outputs: Callable[[DataFrame], dict[str, DataFrame]]) -> Callable[[DataFrame, int], None]:
+    """A function for foreachBatch that writes several outputs of a batch, each to `path`/name/batch=id.
+
+    A batch that runs again after a failure, also one between two outputs, overwrites
+    its own folders and no others, so each output holds every batch once.  The batch
+    is kept while it is written, so that it is computed once.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            for name, rows in outputs(batch).items():
+                rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return write
+
+
 def purge_audits(spark: SparkSession, path: str, before: dt.date, dry_run: bool = True) -> DataFrame:
     """(folder, date, removed): days before a date; they are deleted unless it is a dry run.  The day itself and later ones stay, and so do folders of other names."""
     system, at = _system(spark, path)
