@@ -7,6 +7,7 @@ import heapq
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -129,6 +130,41 @@ def test_tiling_of_repetitive_texts(spark, monkeypatch):
             assert max((c for (r, _), c in got.items() if r == d), default=0) == pytest.approx(best)
 
 
+def test_tiling_of_one_long_repetitive_text():
+    """200,000 equal words against 40: memory follows the matches, not the seven million shared seeds."""
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["ab " * 200_000])], ["doc_id", "text"])
+    part = next(tiling.plain_slices(iter([batch]), "text", "doc_id"))
+    table = tiling.Items([(1, "ab " * 40), (2, "ab " * 10 + "cd " * 30)], 5)
+    tracemalloc.start()
+    got = {k: c for _, k, c in tiling._covers(part, table, 0.5)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.get(1) == 1.0 and got.get(2, 0.25) == 0.25 and peak < 256 << 20
+
+
+def test_tiling_stops_when_the_item_is_used_up():
+    rng = random.Random(8)
+    for _ in range(60):
+        doc, item = ([rng.choice("abc") for _ in range(rng.randint(3, 30))] for _ in range(2))
+        part = next(tiling.plain_slices(iter([pa.RecordBatch.from_arrays([pa.array([0]), pa.array([" ".join(doc)])], ["doc_id", "text"])]), "text", "doc_id"))
+        got = {k: c for _, k, c in tiling._covers(part, tiling.Items([(4, " ".join(item))], 3), 0.0)}
+        assert got.get(4, 0) == pytest.approx(brute_tiles(doc, item, 3) / len(item))
+
+
+def test_tiling_item_ids(spark):
+    """Items without an id are reported as null, after the others; several of them and repeated rows are no trouble, in one block or many."""
+    passage = lambda c: " ".join(f"{c}{j}" for j in range(12))
+    bench = spark.createDataFrame([(None, passage("n")), (None, passage("m")), (None, passage("m")), (3, passage("p")), (3, passage("p")), (4, passage("m"))], "item_id int, text string")
+    docs = documents(spark, [(1, "x " + passage("n")), (2, passage("m") + " y"), (3, passage("p") + " " + passage("n")), (4, "clean text of its own")])
+    for size in (tiling.BLOCK_BYTES, 50):
+        got = {r.doc_id: (r.contaminated, r.item_ids, r.best_item, r.best_coverage) for r in tiling.decontaminate(docs, bench, block_bytes=size).collect()}
+        assert got == {1: (True, [None], None, 1.0), 2: (True, [4, None], 4, 1.0), 3: (True, [3, None], 3, 1.0), 4: (False, [], None, None)}
+    with pytest.raises(ValueError, match="integer"):
+        tiling.decontaminate(docs, bench.selectExpr("'q' item_id", "text"))
+    with pytest.raises(ValueError, match="contaminated"):
+        tiling.decontaminate(docs.selectExpr("*", "true contaminated"), bench, carry=["contaminated"])
+
+
 def plain_dropout(v, unit, drop, key):
     """Merges of one unit by their definition: of the candidates not skipped, always the best, the leftmost among equals."""
     text = [pieces.MARK if c == " " else c for c in unit]
