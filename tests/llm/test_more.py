@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from veilspan.llm import encoding, importance, licenses, lm, pieces, quality_rules, tables, textcore, tiling, toxicity
+from veilspan.llm import encoding, importance, jaccard, licenses, lm, pieces, quality_rules, substrings, tables, textcore, tiling, toxicity
 from veilspan.llm.pieces import vocabulary
 from veilspan.llm.queries import model_path
 
@@ -339,3 +339,35 @@ def test_slices_hold_bytes():
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["a " * 10, "b " * (2 << 20), None])], ["doc_id", "text"])
     assert [i for p in textcore.slices(iter([batch])) for i in p.ids] == [1, 2, 3]
     assert hashlib.sha256(b"".join(p.word(i) for p in textcore.slices(iter([batch])) for i in range(len(p.starts)))).hexdigest() == hashlib.sha256(b"a" * 10 + b"b" * (2 << 20)).hexdigest()
+
+
+def test_last_fragment_holds_the_largest_hash(spark):
+    top = (1 << 63) - 1
+    sets = spark.createDataFrame([(1, [0, 5, top - 1, top]), (2, [0, 7, top])], "id long, grams array<long>")
+    got = jaccard.overlaps(spark.createDataFrame([(1, 2)], "a long, b long"), sets, "grams").collect()
+    assert [tuple(r) for r in got] == [(1, 2, 2)]
+
+
+def test_fit_takes_keys_in_order_of_their_hash_until_the_bound(spark, monkeypatch):
+    """Lengths alone are cumulated; of two texts of a key the longest counts and the largest is fitted."""
+    rows = [(i, "word " * (i % 7 + 1) + str(i)) for i in range(30)] + [(3, "zz"), (4, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: seen.append((texts, y)))
+    toxicity.train(documents(spark, rows), labels, rows=20, most_bytes=200)
+    order = [r[0] for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(20).collect()]
+    texts = {i: sorted((t or "").encode() for k, t in rows if k == i) for i in order}
+    taken, total = [], 0
+    for i in order:
+        if total < 200:
+            taken.append(i)
+        total += max(map(len, texts[i]))
+    assert 3 < len(taken) < 20
+    assert seen == [([texts[i][-1].decode() for i in sorted(taken)], [i % 2 for i in sorted(taken)])]
+
+
+def test_substring_dedup_refuses_clashing_columns(spark):
+    docs = documents(spark, [(1, "a b c")]).withColumn("kept", F.lit(1))
+    with pytest.raises(ValueError, match="kept"):
+        substrings.dedup(docs, carry=("kept",))
+    assert substrings.dedup(docs, carry=("lang",)).columns == ["doc_id", "n_words", "n_removed", "removed", "kept", "lang"]

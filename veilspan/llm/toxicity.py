@@ -11,7 +11,8 @@ it; the same sentence probabilities then locate offending sentences.
 
 Fitting uses at most `FIT_ROWS` labelled documents (those with the smallest hash
 of their key) and, of these, as many in that order as have `FIT_BYTES` of text
-together (and the one that goes beyond it), on the driver; scoring is a narrow
+together (and the one that goes beyond it; of several texts of a key the longest
+counts), on the driver; scoring is a narrow
 map over all rows with a weight vector of fixed size.
 
 Defined results: a null or empty text has no sentence and gets the score of an
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import if_small
+from .tables import cut, if_small
 
 #: The bounds on labelled documents used for fitting.
 FIT_ROWS = 6000
@@ -139,10 +140,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key:
     """A model fitted to labelled documents for which `learn` holds, within the bounds, chosen by the hash of their key."""
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (F.lit(True) if learn is None else learn)).groupBy(key).agg(F.max(label).alias("_y"))
     chosen = marked.orderBy(F.xxhash64(F.col(key)), key).limit(rows)
-    found = docs.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t")).join(if_small(chosen, rows), key).groupBy(key, "_y").agg(F.max("_t").alias("_t"))
-    # The window runs over at most `rows` rows.
-    before = F.sum(F.octet_length("_t")).over(Window.orderBy(F.xxhash64(F.col(key)), key).rowsBetween(Window.unboundedPreceding, -1))
-    taken = found.withColumn("_before", before).where(F.coalesce("_before", F.lit(0)) < most_bytes).select(key, "_t", "_y").collect()
+    own = docs.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
+    sizes = own.select(key, F.octet_length("_t").cast("long").alias("_n")).join(if_small(chosen, rows), key).groupBy(key, "_y").agg(F.max("_n").alias("_n"))
+    # The window runs over at most `rows` keys and lengths; only texts within the bound are fetched.
+    before = F.sum("_n").over(Window.orderBy(F.xxhash64(F.col(key)), key).rowsBetween(Window.unboundedPreceding, -1))
+    within = sizes.withColumn("_before", before).where(F.coalesce("_before", F.lit(0)) < most_bytes).select(key, "_y")
+    taken = own.join(if_small(cut(within), rows), key).groupBy(key, "_y").agg(F.max("_t").alias("_t")).select(key, "_t", "_y").collect()
     taken.sort(key=lambda r: r[0])
     return fit([r[1] for r in taken], [int(r[2]) for r in taken])
 
