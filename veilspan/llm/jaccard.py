@@ -132,7 +132,8 @@ def overlaps(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     its own segments, and the parts are summed per pair.
     """
     width = _TOP // FRAGMENTS
-    cuts = ", ".join(f"struct({f} as f, filter({column}, x -> x >= {f * width}L and x < {min((f + 1) * width, _TOP - 1)}L) as seg)" for f in range(FRAGMENTS))
+    above = [f" and x < {(f + 1) * width}L" for f in range(FRAGMENTS - 1)] + [""]  # the last fragment has no upper end
+    cuts = ", ".join(f"struct({f} as f, filter({column}, x -> x >= {f * width}L{above[f]}) as seg)" for f in range(FRAGMENTS))
     segments = sets.selectExpr("id", f"inline(array({cuts}))").where("size(seg) > 0")
     both = pairs.join(segments.selectExpr("id a", "f", "seg sa"), "a").join(segments.selectExpr("id b", "f", "seg sb"), ["b", "f"])
     return both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("part")).groupBy("a", "b").agg(F.sum("part").alias("i"))

@@ -228,6 +228,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str
     """
     if docs.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
         raise ValueError(f"{key} is not an integer column")
+    if clash := [c for c in carry if c in ("n_words", "n_removed", "removed", "kept") and c != key]:
+        raise ValueError(f"carry names returned columns: {', '.join(clash)}")
     spark = docs.sparkSession
     names = {c: f"_{i}" for i, c in enumerate(carry) if c not in (key, text)}
     docs = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text"), *[F.col(c).alias(n) for c, n in names.items()])
