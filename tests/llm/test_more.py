@@ -371,3 +371,12 @@ def test_substring_dedup_refuses_clashing_columns(spark):
     with pytest.raises(ValueError, match="kept"):
         substrings.dedup(docs, carry=("kept",))
     assert substrings.dedup(docs, carry=("lang",)).columns == ["doc_id", "n_words", "n_removed", "removed", "kept", "lang"]
+
+
+@pytest.mark.parametrize("total", [0, 6 * 60_000])
+def test_frequent_prefixes_are_found_by_a_draw(spark, total):
+    """A word before every other one is lengthened, rare words are not; with all suffixes counted and with some two thirds of them drawn."""
+    texts = [(d, " ".join(f"hot w{d}x{i}" for i in range(500))) for d in range(20)]
+    first, second, third = substrings.long_prefixes(documents(spark, texts), 160, total, "doc_id", "text", 20)
+    assert first.tolist() == [int(textcore.ngrams(np.array([word_hash(b"hot")], dtype=np.uint64), 1)[0])]
+    assert not len(second) and not len(third)

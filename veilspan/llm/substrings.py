@@ -41,8 +41,8 @@ from .textcore import ngrams, slices, xxhash64_of_longs
 WINDOW = 20
 #: Words of a prefix at most; where that does not split the suffixes enough, the whole window takes the prefix's place.
 DEPTH = 3
-#: Least share of all suffixes that makes a prefix too frequent: it bounds the tables of such prefixes.
-LEAST_SHARE = 1 / (1 << 16)
+#: Suffixes drawn for each group to find the prefixes that are too frequent, and about how many bytes a word and its blank have.
+PER_GROUP, WORD_BYTES = 256, 6
 #: Suffixes that a task gathers before it sends its blobs; the second figure where there are very many groups to send to.
 FLUSH, FLUSH_MANY = 2_000_000, 16_000_000
 
@@ -73,56 +73,44 @@ def _prefixes(words: np.ndarray, at: np.ndarray, longer: list[np.ndarray], whole
     return key
 
 
-def long_prefixes(docs: DataFrame, share: float, key: str, text: str, window: int) -> list[np.ndarray]:
-    """For each length from 1 to DEPTH, the sorted hashes of prefixes that have about `share` of all suffixes or more.
+def long_prefixes(docs: DataFrame, groups: int, total: int, key: str, text: str, window: int) -> list[np.ndarray]:
+    """For each length from 1 to DEPTH, the sorted hashes of prefixes that have about an eighth of a group's suffixes or more.
 
-    One pass: a task counts its prefixes of one word, those of two words where the
-    first word is frequent in the slice, and so on, and reports those that have half
-    of the share of its own suffixes; what is too much altogether has most of its
-    suffixes in such tasks.  So a length has at most 2 / share prefixes, and `share`
-    is at least LEAST_SHARE.
+    Counted on suffixes drawn with equal chances, `PER_GROUP` for a group, from about
+    total / WORD_BYTES altogether: it decides where suffixes meet, not which are found.  A
+    length has at most 8 prefixes for a group, whatever `total` is.
     """
-    share, most = max(share, LEAST_SHARE), min(DEPTH, window - 1)
+    most = min(DEPTH, window - 1)
+    chance = min(1.0, PER_GROUP * groups / max(1, total / WORD_BYTES))
+    limit = np.uint64(min(int(chance * 2**64), 2**64 - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies: list[tuple[list, list]] = [([], []) for _ in range(most)]
-        seen = 0
+        drawn: list[list[np.ndarray]] = [[np.empty(0, dtype=np.uint64)] for _ in range(most)]
         for part in slices(batches, text, key, lower=False):
-            at, _, _ = _suffixes(part, window)
+            at, row, place = _suffixes(part, window)
             if not len(at):
                 continue
             words = part.word_hashes()
             # One suffix a node: repeats inside a slice do not travel either.
             _, first = np.unique(ngrams(words, window)[at], return_index=True)
-            at = at[np.sort(first)]
-            seen, least = seen + len(at), share / 4 * len(at)
-            for depth, tally in enumerate(tallies, 1):
-                prefix = ngrams(words, depth)[at]
-                h, n = np.unique(prefix, return_counts=True)
-                tally[0].append(h[n >= least])
-                tally[1].append(n[n >= least])
-                at = at[_member(prefix, h[n >= least])]
-                if len(tally[0]) > 64:
-                    tally[0][:], tally[1][:] = ([x] for x in _sum(*tally))
-        depths, hashes, numbers = [0], [0], [seen]
-        for depth, tally in enumerate(tallies, 1):
-            if tally[0]:
-                h, n = _sum(*tally)
-                much = n >= max(1, share / 2 * seen)
-                depths += [depth] * int(much.sum())
-                hashes += h[much].view(np.int64).tolist()
-                numbers += n[much].tolist()
+            ids = np.array([0 if i is None else i for i in part.ids], dtype=np.int64)
+            draw = xxhash64_of_longs(xxhash64_of_longs(ids)[row[first]] + place[first]).view(np.uint64)
+            at = at[first[draw <= limit]]
+            for depth in range(1, most + 1):
+                drawn[depth - 1].append(ngrams(words, depth)[at])
+        depths, hashes, numbers = [0], [0], [sum(map(len, drawn[0])) if drawn else 0]
+        for depth, found in enumerate(drawn, 1):
+            h, n = np.unique(np.concatenate(found), return_counts=True)
+            depths += [depth] * len(h)
+            hashes += h.view(np.int64).tolist()
+            numbers += n.tolist()
         yield pa.RecordBatch.from_arrays([pa.array(depths, pa.int32()), pa.array(hashes, pa.int64()), pa.array(numbers, pa.int64())], ["depth", "h", "n"])
 
     reports = cut(docs.select(key, F.col(text).cast("string").alias(text)).mapInArrow(run, "depth int, h long, n long"))
-    total = reports.where("depth = 0").agg(F.sum("n")).first()[0] or 0
-    found = reports.where("depth > 0").groupBy("depth", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, share / 2 * total)).select("depth", "h").collect()
-    return [np.sort(np.array([r[1] for r in found if r[0] == depth], dtype=np.int64).view(np.uint64)) for depth in range(1, most + 1)]
-
-
-def _sum(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    h, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-    return h, np.bincount(inverse, weights=np.concatenate(counts), minlength=len(h)).astype(np.int64)
+    seen = reports.where("depth = 0").agg(F.sum("n")).first()[0] or 0
+    found = reports.where("depth > 0").groupBy("depth", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, seen / (8 * groups))).select("depth", "h").toArrow()
+    depth, h = (found.column(c).to_numpy() for c in ("depth", "h"))
+    return [np.sort(h[depth == d].view(np.uint64)) for d in range(1, most + 1)]
 
 
 def _by_home(ids: np.ndarray, places: np.ndarray, homes: int) -> Iterator[tuple[int, bytes, bytes]]:
@@ -151,9 +139,9 @@ def _nodes(label: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, sorted_ref > first
 
 
-def marks(docs: DataFrame, homes: int, key: str, text: str, window: int, groups: int, flush: int = FLUSH) -> DataFrame:
+def marks(docs: DataFrame, homes: int, total: int, key: str, text: str, window: int, groups: int, flush: int = FLUSH) -> DataFrame:
     """(home, docs, marks): blobs of the places at which repeated windows start."""
-    longer = long_prefixes(docs, 1 / (4 * groups), key, text, window)
+    longer = docs.sparkSession.sparkContext.broadcast(long_prefixes(docs, groups, total, key, text, window))  # 8 * DEPTH hashes a group at most
     blobs = "bucket int, home int, docs binary, labels binary, refs binary"  # home -1: suffixes for a tree
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +177,7 @@ def marks(docs: DataFrame, homes: int, key: str, text: str, window: int, groups:
                 continue
             words = part.word_hashes()
             label = ngrams(words, window)[at]
-            prefix = _prefixes(words, at, longer, label)
+            prefix = _prefixes(words, at, longer.value, label)
             ids = np.array([0 if i is None else i for i in part.ids], dtype=np.int64)
             held.append((label, (prefix % np.uint64(groups)).astype(np.int32), ids[row], place))
             n += len(at)
@@ -233,8 +221,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str
     spark = docs.sparkSession
     names = {c: f"_{i}" for i, c in enumerate(carry) if c not in (key, text)}
     docs = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text"), *[F.col(c).alias(n) for c, n in names.items()])
-    homes = groups_for(spark, text_bytes(docs, "_text"), sizes)
-    marked = marks(docs, homes, "_key", "_text", window, 2 * homes, flush or (FLUSH if homes <= MANY_GROUPS else FLUSH_MANY))
+    total = text_bytes(docs, "_text")
+    homes = groups_for(spark, total, sizes)
+    marked = marks(docs, homes, total, "_key", "_text", window, 2 * homes, flush or (FLUSH if homes <= MANY_GROUPS else FLUSH_MANY))
     back = [(n, docs.schema[n].dataType) for n in names.values()] + ([("_text", docs.schema["_text"].dataType)] if text in carry else [])
     schema = "_key long, _n long, _gone long, _ranges array<struct<start:int,end:int>>, _kept string" + "".join(f", {n} {t.simpleString()}" for n, t in back)
 
