@@ -129,3 +129,22 @@ def test_scan_is_the_same_apart(spark):
     for text in TEXTS[:-1]:
         found = [s for order, f in enumerate(families) for s in family_spans(f, text, order, PLAIN, "output.content", frozenset())]
         assert resolved_spans(text, found) == scan(text, families)
+
+
+def test_one_file_of_customers_is_dealt_to_all_cores(spark, tmp_path):
+    from veilspan import queries
+
+    spark.range(400).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    assert queries._cases(spark, str(tmp_path)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    got = {r.detectors: (r.cases, r.passed) for r in queries.compare_families(spark, str(tmp_path)).collect()}
+    assert got == {"both": (400, 400), "regex": (400, 400), "medical": (400, 0), "gone": (0, 0)}
+
+
+def test_sets_that_find_the_same_share_a_scan(spark, cases):
+    from veilspan.operators.payloads import scanned_by_sets
+
+    policy = Policy("p", (Rule("r", "redact"),), detectors=("regex",))
+    sets = {"both": ("regex", "medical-regex"), "one": ("regex",), "other": ("medical-regex",)}
+    rows = cases.where("id in ('c0', 'c2', 'bad')").select("id", F.explode(scanned_by_sets(F.col("payload"), policy, sets)).alias("s")).select("id", "s.names", "s.scan.fault").collect()
+    got = {k: [r.names for r in rows if r.id == k] for k in ("c0", "c2", "bad")}
+    assert got == {"c0": [["both", "one"], ["other"]], "c2": [["both"], ["one"], ["other"]], "bad": [["both", "one", "other"]]}

@@ -28,57 +28,45 @@ CASE = {
 SUBSETS = {"entities": "span.entity", "surfaces": "surface", "actions": "decision.action", "detector_ids": "span.detector_id", "detector_families": "span.family"}
 
 
-def _spoken(payload: Column) -> Column:
-    """The payload as Python writes a value: leaks are looked for in this form."""
-
-    @F.pandas_udf("string")
-    def run(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda p: "None" if p is None else str(json.loads(p)))
-
-    return run.asNondeterministic()(payload)
-
-
 def _at(root, pointer: list):
     for p in pointer:
         root = root[p]
     return root
 
 
-def _json_faults(payload: Column, pointers: Column, meanings: Column) -> Column:
+def _json_faults(root, places, expected) -> list[str]:
     """Places of the written payload that hold no JSON text, and keys of such texts that changed."""
-
-    def faults(text, places, expected) -> list[str]:
-        out = []
-        root = None if text is None else json.loads(text)
-        for place in places if places is not None else []:
-            try:
-                json.loads(_at(root, json.loads(place)))
-            except (TypeError, KeyError, IndexError, ValueError, RecursionError):
-                out.append("invalid_json")
-        for e in expected if expected is not None else []:
-            try:
-                value = json.loads(_at(root, json.loads(e["pointer"])))
-            except (TypeError, KeyError, IndexError, ValueError, RecursionError):
-                out.append("invalid_json")
-                continue
-            out += ["json_changed" for k, v in json.loads(e["values"]).items() if not isinstance(value, dict) or value.get(k) != v]
-        return out
-
-    @F.pandas_udf("array<string>")
-    def run(p: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([faults(*x) for x in zip(p, a, b, strict=True)], dtype=object)
-
-    return run.asNondeterministic()(payload, pointers, meanings)
-
-
-def _same(a: Column, b: Column) -> Column:
-    """Whether two JSON texts hold the same value."""
-
-    @F.pandas_udf("boolean")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([p is not None and q is not None and json.loads(p) == json.loads(q) for p, q in zip(x, y, strict=True)], dtype=object)
-
-    return run.asNondeterministic()(a, b)
+    out = []
+    for place in places if places is not None else []:
+        try:
+            json.loads(_at(root, json.loads(place)))
+        except (TypeError, KeyError, IndexError, ValueError, RecursionError):
+            out.append("invalid_json")
+    for e in expected if expected is not None else []:
+        try:
+            value = json.loads(_at(root, json.loads(e["pointer"])))
+        except (TypeError, KeyError, IndexError, ValueError, RecursionError):
+            out.append("invalid_json")
+            continue
+        out += ["json_changed" for k, v in json.loads(e["values"]).items() if not isinstance(value, dict) or value.get(k) != v]
+    return out
+
+
+def _compared(payload: Column, written: Column, pointers: Column, meanings: Column) -> Column:
+    """A struct (before, after, same, faults): both payloads as Python writes a value, since leaks are looked for in this form;
+    whether they hold the same value; and what is wrong with JSON texts inside the written one.  Each payload is read once."""
+
+    def run_one(old, new, places, expected) -> tuple[str, str, bool, list[str]]:
+        was = None if old is None else json.loads(old)
+        now = None if new is None else was if new == old else json.loads(new)
+        said = "None" if old is None else str(was)
+        return said, "None" if new is None else said if new == old else str(now), old is not None and new is not None and was == now, _json_faults(now, places, expected)
+
+    @F.pandas_udf("before string, after string, same boolean, faults array<string>")
+    def run(p: pd.Series, w: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([run_one(*x) for x in zip(p, w, a, b, strict=True)], columns=["before", "after", "same", "faults"])
+
+    return run.asNondeterministic()(payload, written, pointers, meanings)
 
 
 def asked(cases: DataFrame) -> DataFrame:
@@ -103,12 +91,13 @@ def judged(seen: DataFrame, carry: list[str] = ()) -> DataFrame:
     error = F.when(F.col("fault").isNotNull(), F.col("fault")).when(F.col("halted"), "policy_exception")
     seen = seen.withColumn("error", error).withColumn("known_gap", F.coalesce("known_gap", F.lit(False)))
     ok = F.col("error").isNull()
-    seen = seen.withColumn("_before", _spoken(F.when(ok, F.col("payload")))).withColumn("_after", _spoken(F.when(ok, F.col("transformed"))))
+    seen = seen.withColumn("_compared", _compared(F.when(ok, F.col("payload")), F.when(ok, F.col("transformed")), F.col("expected_valid_json_pointers"), F.col("expected_json_semantics")))
+    seen = seen.withColumn("_before", F.col("_compared.before")).withColumn("_after", F.col("_compared.after")).withColumn("_same", F.col("_compared.same")).withColumn("_json", F.col("_compared.faults"))
     audit = F.to_json(F.transform("findings", lambda f: F.struct(f["decision"].alias("d"), f["surface"].alias("s"), f["span"]["entity"].alias("e"), f["span"]["detector_id"].alias("i"), F.length(f["span"]["value"]).alias("n"))))
     held = lambda values, text: F.filter(F.coalesce(values, none), lambda v: F.contains(text, v))
     sensitive = F.coalesce("sensitive_values", "expected_absent")
     forbidden = F.when(F.coalesce("allow_sensitive_values_in_audit", F.lit(False)), F.coalesce("expected_audit_absent", none)).otherwise(F.array_union(F.coalesce("sensitive_values", none), F.coalesce("expected_audit_absent", none)))
-    seen = seen.withColumn("_leaked", held(F.col("expected_absent"), F.col("_after"))).withColumn("_audit", held(forbidden, audit)).withColumn("_same", _same(F.when(ok, F.col("payload")), F.when(ok, F.col("transformed")))).withColumn("mutated", ok & ~F.col("_same"))
+    seen = seen.withColumn("_leaked", held(F.col("expected_absent"), F.col("_after"))).withColumn("_audit", held(forbidden, audit)).withColumn("mutated", ok & ~F.col("_same"))
     true = lambda c: F.coalesce(c, F.lit(False))
     checks = [
         ("leaks", F.size("_leaked") > 0),
@@ -120,7 +109,6 @@ def judged(seen: DataFrame, carry: list[str] = ()) -> DataFrame:
         ("audit", F.size("_audit") > 0),
     ]
     told = F.array_compact(F.array(*[F.when(true(bad), F.lit(name)) for name, bad in checks]))
-    seen = seen.withColumn("_json", _json_faults(F.when(ok, F.col("transformed")), F.col("expected_valid_json_pointers"), F.col("expected_json_semantics")))
     told = F.concat(told, F.array_distinct("_json"))
     seen = seen.withColumn("_failures", F.when(ok, told).otherwise(F.array(F.concat(F.lit("error_"), F.col("error")))))
     counts = ~F.col("known_gap") | ~ok
@@ -157,7 +145,8 @@ def misses(results: DataFrame) -> DataFrame:
 def compare(cases: DataFrame, policy: Policy, sets: dict[str, tuple[str, ...]], settings: Settings = PLAIN) -> DataFrame:
     """Totals for each set of detector families; a set with a family that is not to be had is told, not raised.
 
-    Each family looks at each case once; overlaps are resolved, and decisions made, by set.
+    Each family looks at each case once; overlaps are resolved by set, and sets that find
+    the same in a case share its decisions.
     """
     known = {*DETECTORS, *(name for name, _, _ in settings.custom)}
     missing = {name: ",".join(sorted({*families} - known)) for name, families in sets.items()}
@@ -166,8 +155,9 @@ def compare(cases: DataFrame, policy: Policy, sets: dict[str, tuple[str, ...]],
     if not had:
         return told
     seen = asked(cases).withColumn("_sets", scanned_by_sets(F.col("payload"), policy, had, settings=settings)).withColumn("_set", F.explode("_sets"))
-    seen = seen.withColumn("detectors", F.col("_set.name")).withColumn("_scan", F.col("_set.scan")).drop("_sets", "_set")
-    totals = summary(judged(decide_payloads(seen, "payload", policy), ["detectors"]), ["detectors"])
+    seen = seen.withColumn("_names", F.col("_set.names")).withColumn("_scan", F.col("_set.scan")).drop("_sets", "_set")
+    results = judged(decide_payloads(seen, "payload", policy), ["_names"])
+    totals = summary(results.withColumn("detectors", F.explode("_names")), ["detectors"])
     return told.join(F.broadcast(totals), "detectors", "left")  # a row a set
 
 

@@ -65,7 +65,7 @@ def inspect_payloads(rows: DataFrame, payload: str, policy: Policy, mode: str =
 
 
 def scanned_by_sets(payload: Column, policy: Policy, sets: dict[str, tuple[str, ...]], mode: str = "chat", settings: Settings = PLAIN) -> Column:
-    """An array of structs (name, scan): for each set of detector families what `scanned` gives for it.  Every family looks at a text once."""
+    """An array of structs (names, scan): what `scanned` gives for sets of detector families, with the names of all sets for which it is the same.  Every family looks at a text once."""
     every = tuple(dict.fromkeys(f for families in sets.values() for f in families))
     wanted = wanted_entities(policy)
     only = None if wanted is None else frozenset(wanted)
@@ -82,13 +82,17 @@ def scanned_by_sets(payload: Column, policy: Policy, sets: dict[str, tuple[str,
         for r in rows:
             flags = frozenset(filter(None, r["flags"].split(",")))
             seen.append({f: list(family_spans(f, r["value"], 0, settings, r["name"], flags)) if r["value"] else [] for f in every})
-        out = []
+        out: list[tuple[list, list[str]]] = []
         for name, families in sets.items():
             kept = [resolved_spans(r["value"], [s | {"registry_order": k} for k, f in enumerate(families) for s in found[f]], settings, only) for r, found in zip(rows, seen, strict=True)]
-            out.append({"name": name, "scan": {"rows": [r | {"spans": f, "digests": _digests(f, policy)} for r, f in zip(rows, kept, strict=True)], "fault": fault}})
-        return out
-
-    @F.pandas_udf(f"array<struct<name:string,scan:struct<rows:array<{SCANNED}>,fault:string>>>")
+            same = next((names for k, names in out if k == kept), None)
+            if same is None:
+                out.append((kept, [name]))
+            else:
+                same.append(name)
+        return [{"names": names, "scan": {"rows": [r | {"spans": f, "digests": _digests(f, policy)} for r, f in zip(rows, kept, strict=True)], "fault": fault}} for kept, names in out]
+
+    @F.pandas_udf(f"array<struct<names:array<string>,scan:struct<rows:array<{SCANNED}>,fault:string>>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([walk(t) for t in batch], dtype=object)
@@ -120,7 +124,7 @@ def decide_payloads(rows: DataFrame, payload: str, policy: Policy, mode: str = "
         return F.struct(s["pointer"].alias("pointer"), s["json_pointer"].alias("json_pointer"), value.alias("value"))
 
     fixed = mode in ("metadata", "stream_metadata", "sse")
-    out = rows.withColumn("_rows", F.transform("_scan.rows", decided))
+    out = rows.withColumn("_rows", F.transform(F.filter("_scan.rows", lambda s: F.size(s["spans"]) > 0), decided))
     flat = F.flatten(F.transform("_rows", lambda s: F.transform(s["found"], lambda f: F.struct(f["span"].alias("span"), f["decision"].alias("decision"), s["name"].alias("surface"), F.coalesce(s["safe_pointer"], s["pointer"]).alias("pointer"), F.when(~s["is_key"], s["json_pointer"]).alias("json_pointer"), s["is_key"].alias("is_key")))))
     out = out.withColumn("findings", flat)
     rejected = F.exists("findings", lambda f: (F.lit(fixed) | f["is_key"]) & acts(f))
