@@ -220,3 +220,37 @@ def test_injected_keys_that_hold_other_numbers(spark, tmp_path):
     spark.createDataFrame([(k, f"Supplier#{k:09d}") for k in keys], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
     got = [(r.s_suppkey, r.detector_id) for r in injected_keys(spark, str(tmp_path)).collect()]
     assert sorted(got) == [(3, "regex.google_api_key"), (8217, "regex.bearer_token"), (19164, "regex.aws_secret_access_key"), (20871, "regex.azure_storage_key"), (21713, "regex.bearer_token"), (57085, "regex.twilio_sid")]
+
+
+def test_forms_of_labels_run_where_they_may_match():
+    """The same hits as all forms of all labels, in texts of pieces in any order; a Kelvin sign and a long s count as letters."""
+    from veilspan.functions import context, detect
+
+    def plain(text, table):
+        for entity, detector, confidence, forms, labels in table:
+            if any(x in text.lower() for x in labels):
+                for form in forms:
+                    for m in form.finditer(text):
+                        if span := context.trimmed(text, *m.span("value")):
+                            yield entity, *span, confidence, detector
+
+    pieces = ["Passport", "passport: P12", "<a", "<Passport>", "P1</b>", "license plate(AB-1)", "License Plate", "(", ")", "=", "x9", ">", "\n", "to\u212aen: abcdef", "pa\u017fsport(X1)", "n\u00famero de identificaci\u00f3n(7)", "\u0130d"]
+    rng = random.Random(5)
+    for table in detect.compiled()[3:5]:
+        for _ in range(3000):
+            text = " ".join(rng.choices(pieces, k=rng.randint(1, 7))) if rng.random() < 0.5 else "".join(rng.choices(pieces, k=rng.randint(1, 7)))
+            assert list(detect._labelled(text, table)) == list(plain(text, table)), text
+
+
+def test_spans_of_a_batch_are_made_in_runs(spark):
+    """Long texts of one batch are worked off in runs; the column holds what scan() gives for each text, with nulls and empty texts."""
+    import pyarrow as pa
+
+    from veilspan.functions import detect
+
+    texts = ["to ann@x.org " + "x " * 300_000, None, "", "call 212-555-0199 or ann@x.org", "y" * 2_000_000, "MRN: 12345678"]
+    runs = list(detect.text_runs(pa.array(texts)))
+    assert len(runs) > 2 and [a for a, _ in runs][1:] == [b for _, b in runs][:-1] and runs[-1][1] == len(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    got = {r.i: [s.asDict() for s in r.s] for r in rows.select("i", spans(F.col("text")).alias("s")).collect()}
+    assert got == {i: scan(t) for i, t in enumerate(texts)}
