@@ -380,3 +380,50 @@ def test_frequent_prefixes_are_found_by_a_draw(spark, total):
     first, second, third = substrings.long_prefixes(documents(spark, texts), 160, total, "doc_id", "text", 20)
     assert first.tolist() == [int(textcore.ngrams(np.array([word_hash(b"hot")], dtype=np.uint64), 1)[0])]
     assert not len(second) and not len(third)
+
+
+def test_far_members_of_a_hub_get_hubs_of_their_own(spark, monkeypatch):
+    """Near copies that are all far from their hub become links to one of them, not all pairs."""
+    n = 120
+    other = list(range(1000, 1200))
+    sets = [(0, list(range(100)))] + [(i, sorted({*other} - {1000 + i} | {5000 + i})) for i in range(1, n + 1)]
+    links = jaccard._hub_links(spark.createDataFrame([(i, 0) for i, _ in sets], "id long, hub long"), spark.createDataFrame(sets, "id long, grams array<long>"), 90, 100).collect()
+    assert {tuple(sorted(x)) for x in links} >= {(1, i) for i in range(2, n + 1)} and len(links) < 4 * n
+    assert not any(0 in x for x in links)
+
+
+@pytest.mark.parametrize("common", [1, 16, 10**6])
+def test_small_hubs_and_nested_hubs_lose_no_link(spark, monkeypatch, common):
+    """With hubs from three holders on, the components are those of all pairs."""
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    draw = random.Random(7)
+    rows = []
+    for i in range(240):
+        words = [f"c{i % 3}w{j}" for j in range(40)]
+        for _ in range(draw.randrange(7)):
+            words[draw.randrange(40)] = f"x{draw.randrange(30)}"
+        rows.append((i, " ".join(words[: draw.choice((40, 40, 36))])))
+    got = {r.doc_id: r.component_id for r in jaccard.join(documents(spark, rows), 1, 85, 100).collect()}
+    held = {i: set(t.split()) for i, t in rows}
+    lowest = dict.fromkeys(held)
+    for i in held:
+        if lowest[i] is None:
+            todo = [i]
+            while todo:
+                a = todo.pop()
+                if lowest[a] is None:
+                    lowest[a] = i
+                    todo += [b for b in held if 100 * len(held[a] & held[b]) >= 85 * len(held[a] | held[b])]
+    assert got == lowest and 1 < len(set(got.values())) < 240
+
+
+def test_common_differences_are_left_out_of_prefixes(spark):
+    """Level 1 is exploded only for members whose prefix reaches it."""
+    common = list(range(100, 105))
+    delta = [(i, 0, 0, 50, 900, False, [i, 1000 + i // 2, *common], 1 if i % 2 else 4, 1) for i in range(1, 41)]
+    delta = spark.createDataFrame(delta, "id long, hub long, copy int, p int, w int, near boolean, d array<long>, last int, last_far int")
+    counts = spark.createDataFrame([(0, g, 40, 40) for g in common] + [(0, 1000 + k, 2, 2) for k in range(21)], "hub long, g long, c long, nf long")
+    rows = jaccard._difference_rows(delta, counts, spark.createDataFrame([(0, 1)], "hub long, copies int")).collect()
+    assert {r.id for r in rows if r.lvl == 1} == {i for i in range(1, 41) if i % 2 == 0} and {r.g for r in rows if r.lvl == 1} == {*common}
+    assert len([r for r in rows if r.lvl == 0]) == 80 and {(r.m0, r.n_all) for r in rows} == {(2, 7)}

@@ -22,7 +22,8 @@ id).  Members of a hub are described by their difference to it.  A member near
 enough to its hub is linked to it by arithmetic alone.  Two members of a hub
 can be linked otherwise only if at least one is not near, and then they share a
 minimum number of n-grams of their differences; these pairs are found by the
-same prefix join over differences.  So a large group of near copies never
+same prefix join over differences, in which far members that share a difference
+with many others get a hub among themselves first.  So a large group of near copies never
 becomes all its pairs, and no link that decides a component is lost.
 
 Defined results: without words or text a document has the empty set, links
@@ -51,6 +52,10 @@ from .textcore import int_list, mix, ngrams, slices
 HOT = 32
 #: Members of a hub that share one copy of its set.
 HUB_SHARE = 256
+#: One in so many members of a hub must differ in an n-gram for it to count as common among them.
+COMMON = 16
+#: Times that far members of a hub get hubs of their own.
+NESTED = 3
 #: Fragments of the global order.
 FRAGMENTS = 4
 _TOP = 1 << 63
@@ -146,37 +151,71 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return sums.where(f"{den} * i >= {num} * (na + nb - i)").select("a", "b")
 
 
-def _hub_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links that decide components among members (id, hub) of hubs."""
+def _difference_rows(delta: DataFrame, counts: DataFrame, copies: DataFrame) -> DataFrame:
+    """(id, ..., m0, n_all, lvl, g): n-grams of the differences `d` up to where the prefix, places 0 to `last`, may end.
+
+    n-grams that more than one in COMMON members of a hub differ in are level 1 and
+    come last; there are fewer than COMMON times as many as a difference has on
+    average.  Where the m0 others hold the prefix, these alone are returned.
+    """
+    common = counts.join(delta.groupBy("hub").agg(F.count("*").alias("members")), "hub").where(f"{COMMON} * c > members").groupBy("hub").agg(F.collect_list("g").alias("common"))
+    common = common.join(copies, "hub").select("hub", "common", F.explode(F.expr("sequence(0, copies - 1)")).alias("copy"))
+    rows = delta.join(common, ["hub", "copy"], "left").withColumn("rest", F.expr("if(common is null, d, array_except(d, common))"))
+    rows = rows.withColumn("m0", F.size("rest")).withColumn("n_all", F.size("d")).withColumn("some", F.expr("if(last < m0, rest, concat(rest, array_except(d, rest)))"))
+    rows = rows.select("id", "hub", "p", "w", "near", "m0", "n_all", "last", "last_far", F.posexplode("some").alias("i", "g"))
+    return rows.withColumn("lvl", F.expr("if(i < m0, 0, 1)")).drop("i")
+
+
+def _hubs(postings: DataFrame, by: list[str]) -> DataFrame:
+    """(id, hub) of sets that share an n-gram of `postings` (id, *by) with more than HOT sets: the smallest id among these."""
+    hot = cut(postings.groupBy(*by).agg(F.count("*").alias("c"), F.min("id").alias("up")).where(F.col("c") > HOT).select(*by, "up"))
+    hubs = cut(postings.select("id", *by).join(hot, by).groupBy("id").agg(F.min("up").alias("hub")))
+    for _ in range(2):  # a hub's own hub
+        hubs = hubs.join(hubs.selectExpr("id as hub", "hub as up"), "hub", "left").selectExpr("id", "coalesce(up, hub) hub")
+    return cut(hubs)
+
+
+def _hub_links(members: DataFrame, sets: DataFrame, num: int, den: int, nested: int = NESTED) -> DataFrame:
+    """Links that decide components among members (id, hub) of hubs.
+
+    Members far from their hub that share a difference with more than HOT others
+    get a hub among themselves, `nested` times at most; what is left is paired.
+    """
     near = F.expr(f"w <= {den - num} * p")
     # A hub's set is held once for every HUB_SHARE members, each of which meets one of these copies.
     copies = members.groupBy("hub").agg(F.ceil(F.count("*") / HUB_SHARE).cast("int").alias("copies"))
     placed = members.where("id <> hub").join(copies, "hub").withColumn("copy", F.expr("cast(pmod(xxhash64(id), copies) as int)")).select("id", "hub", "copy")
     bases = sets.withColumnRenamed("id", "hub").join(copies, "hub").select("hub", F.col("grams").alias("base"), F.explode(F.expr("sequence(0, copies - 1)")).alias("copy"))
     own = placed.join(sets, "id").join(bases, ["hub", "copy"])
-    delta = own.selectExpr("id", "hub", "size(base) p", "array_except(base, grams) lost", "array_except(grams, base) more").selectExpr("id", "hub", "p", f"{den} * size(lost) + {num} * size(more) w", "concat(lost, more) d")
+    delta = own.selectExpr("id", "hub", "copy", "size(base) p", "array_except(base, grams) lost", "array_except(grams, base) more").selectExpr("id", "hub", "copy", "p", f"{den} * size(lost) + {num} * size(more) w", "concat(lost, more) d")
     delta = cut(delta.withColumn("near", near))
     star = delta.where("near").selectExpr("hub a", "id b")
     # The least overlap of differences that any pair looked for has: with a far set, and for a far set with any.
     both = f"ceil((w + 1) / {den + num}.0D)"
     far = f"greatest(1, ceil((w - {den - num} * p) / {den}.0D))"
-    rows = delta.selectExpr("id", "hub", "p", "w", "near", "size(d) m", f"size(d) - if(near, {both}, {far}) last", f"size(d) - if(near, {both}, greatest({both}, {far})) last_far", "explode(d) g")
-    counts = cut(rows.groupBy("hub", "g").agg(F.count("*").alias("c"), F.count_if(~F.col("near")).alias("nf")).where("c > 1 and nf > 0"))
+    delta = delta.withColumn("last", F.expr(f"size(d) - if(near, {both}, {far})")).withColumn("last_far", F.expr(f"size(d) - if(near, {both}, greatest({both}, {far}))"))
+    counts = cut(delta.select("hub", "near", F.explode("d").alias("g")).groupBy("hub", "g").agg(F.count("*").alias("c"), F.count_if(~F.col("near")).alias("nf")).where("c > 1 and nf > 0"))
+    rows = _difference_rows(delta, counts, copies)
     held = rows.join(counts, ["hub", "g"]).groupBy("id").agg(
-        *[F.first(c).alias(c) for c in ("hub", "p", "w", "near", "m", "last", "last_far")],
-        F.sort_array(F.collect_list(F.struct(F.lit(0).alias("lvl"), "c", "g"))).alias("held"),
+        *[F.first(c).alias(c) for c in ("hub", "p", "w", "near", "m0", "n_all", "last", "last_far")],
+        F.sort_array(F.collect_list(F.struct("lvl", "c", "g"))).alias("held"),
     )
-    held = held.withColumn("m0", F.col("m")).withColumn("n_all", F.col("m"))
+    held = held.withColumn("m", F.col("n_all"))
     at = _positions(held, "x.pos <= last", ["id", "hub", "p", "w", "near", "m", "last_far"]).withColumn("short", F.expr("pos <= last_far"))
+    at, links, sub = cut(at), star, at.sparkSession.createDataFrame([], "id long, sub long")
+    if nested and not at.where("not near").groupBy("hub", "g").count().where(f"count > {HOT}").isEmpty():
+        deeper = _hubs(at.where("not near"), ["hub", "g"])
+        links, sub = links.unionByName(_hub_links(deeper, sets, num, den, nested - 1)), deeper.withColumnRenamed("hub", "sub")
+    at = at.join(sub, "id", "left").withColumn("sub", F.coalesce("sub", "id"))
     a, b = at.alias("a"), at.alias("b")
     on = F.expr(
-        f"""a.hub = b.hub and a.g = b.g and a.id <> b.id and not a.near and (b.near or (a.short and b.short and a.id < b.id))
+        f"""a.hub = b.hub and a.g = b.g and a.id <> b.id and a.sub <> b.sub and not a.near and (b.near or (a.short and b.short and a.id < b.id))
             and {den + num} * (1 + least(a.m - a.pos - 1, b.m - b.pos - 1)) >= a.w + b.w - {den - num} * a.p"""
     )
     pairs = cut(a.join(b, on).selectExpr("a.id a", "b.id b").distinct())
     sums = overlaps(pairs, delta, "d").join(delta.selectExpr("id a", "w wa", "p"), "a").join(delta.selectExpr("id b", "w wb"), "b")
     more = sums.where(f"{den + num} * i >= wa + wb - {den - num} * p").select("a", "b")
-    return star.unionByName(more)
+    return links.unionByName(more)
 
 
 def representatives(docs: DataFrame, n: int, num: int, den: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -189,11 +228,7 @@ def representatives(docs: DataFrame, n: int, num: int, den: int, key: str, text:
     sketch = sketch.join(if_small(cut(several)), "id", "left").withColumn("odd", F.expr("coalesce(odd, false)"))
     reps = sketch.where("n > 0 and id is not null and not odd").groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "m0", "grams")).alias("x")).select("n", "x.*")
     postings = cut(_postings(reps, num, den))
-    hot = cut(postings.groupBy("g").agg(F.count("*").alias("c"), F.min("id").alias("hub")).where(F.col("c") > HOT).select("g", "hub"))
-    hubs = cut(postings.join(hot, "g").groupBy("id").agg(F.min("hub").alias("hub")))
-    for _ in range(2):  # a hub's own hub
-        hubs = hubs.join(hubs.selectExpr("id as hub", "hub as up"), "hub", "left").selectExpr("id", "coalesce(up, hub) hub")
-    hubs = cut(hubs)
+    hubs = _hubs(postings, ["g"])
     at = postings.join(hubs, "id", "left").selectExpr("id", "n", "g", "pos", "coalesce(hub, id) hub")
     mixed = at.groupBy("g").agg(F.min("hub").alias("lo"), F.max("hub").alias("hi")).where("lo <> hi").select("g")
     at = at.join(mixed, "g")
