@@ -39,16 +39,23 @@ class Cuts:
     """Units cut without dropout, with the merges made: an occurrence whose draws skip none of them is cut alike."""
 
     def __init__(self, v):
-        self.v, self.roots, self.packed = v, {}, []
+        self.v, self.roots = v, {}
         self.at, self.path = array("q", [0]), array("Q")
+        #: Pieces of all cuts, and where those of each end.
+        self.pieces, self.ends = array("I"), array("q", [0])
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
 
     def add(self, units: list[str]) -> None:
         """Cuts of new units; those with space marks of the text itself get the number -1."""
         plain = [u for u in units if MARK not in u]
         packed, ends, merges = self.v.cut_units(plain)
         self.roots.update((u, -1) for u in units if MARK in u)
-        self.roots.update(zip(plain, range(len(self.packed), len(self.packed) + len(plain)), strict=True))
-        self.packed += packed
+        self.roots.update(zip(plain, range(len(self), len(self) + len(plain)), strict=True))
+        sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
+        self.pieces.frombytes(np.frombuffer(b"".join(packed), dtype="<u4").astype(np.uintc).tobytes())
+        self.ends.frombytes((np.cumsum(sizes) + self.ends[-1]).tobytes())
         self.at.frombytes((ends.astype(np.int64) + self.at[-1]).tobytes())
         self.path.frombytes(merges.tobytes())
 
@@ -69,22 +76,27 @@ class Cuts:
 def encode_texts(v, texts: list[str], drop: int, seed: int, documents: list[int]) -> list[np.ndarray]:
     """Piece ids of each text; `documents` are hashes of the documents' ids."""
     cuts = v.caches.get(("cuts",))
-    if cuts is None or len(cuts.packed) > REMEMBERED:
+    if cuts is None or len(cuts) > REMEMBERED:
         cuts = v.caches["cuts",] = Cuts(v)
     units = [spaced_units(t) if t else [] for t in texts]
     flat = [u for us in units for u in us]
-    cuts.add(list({u for u in flat if u not in cuts.roots}))
-    nodes = np.fromiter(map(cuts.roots.__getitem__, flat), dtype=np.int64, count=len(flat))
+    found = list(map(cuts.roots.get, flat))
+    if None in found:
+        cuts.add(list({u for u, k in zip(flat, found, strict=True) if k is None}))
+        found = list(map(cuts.roots.get, flat))
+    nodes = np.array(found, dtype=np.int64)
     keys = np.concatenate([mixed_all(keyed(seed, d), np.arange(len(us), dtype=np.uint64)) for us, d in zip(units, documents, strict=True)]) if units else np.empty(0, dtype=np.uint64)
     alone = np.union1d(np.flatnonzero(nodes < 0), cuts.skipping(nodes, keys, drop))
-    got = [cuts.packed[k] for k in nodes.tolist()] if cuts.packed else [b""] * len(flat)
-    for i, cut in zip(alone.tolist(), v.encode_units([flat[i] for i in alone.tolist()], drop, keys[alone]), strict=True):
-        got[i] = cut
-    ids, at = [], 0
-    for us in units:
-        ids.append(np.frombuffer(b"".join(got[at : at + len(us)]), dtype="<u4"))
-        at += len(us)
-    return ids
+    own = v.encode_units([flat[i] for i in alone.tolist()], drop, keys[alone])
+    # Pieces of remembered cuts, then those of the occurrences cut by themselves; each occurrence takes a run of them.
+    table = np.concatenate([np.array(cuts.pieces, dtype="<u4"), np.frombuffer(b"".join(own), dtype="<u4")])
+    ends = np.array(cuts.ends)
+    first, sizes = ends[nodes], np.append(np.diff(ends), 0)[nodes]
+    sizes[alone] = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
+    first[alone] = ends[-1] + np.cumsum(sizes[alone]) - sizes[alone]
+    stops = np.cumsum(sizes)
+    ids = table[np.repeat(first - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)]
+    return np.split(ids, np.append(0, stops)[np.cumsum([len(us) for us in units], dtype=np.int64)[:-1]]) if units else []
 
 
 def encode_text(v, text: str, drop: int, seed: int, document: int) -> np.ndarray:

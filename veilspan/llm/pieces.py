@@ -221,53 +221,56 @@ class Vocabulary:
     def _merge_rows(self, symbols: np.ndarray, drop: int, keys: np.ndarray, trail: list | None = None) -> list[bytes]:
         """Packed pieces of each row of symbols; rows are filled up with -1.  `trail` takes (rows, merges) of each round."""
         _, pairs, made, ranks, sizes = self._pair_tables()
-        n, width = symbols.shape
         keys = (keys | np.uint64(1)).astype(np.uint64)
-        starts = np.broadcast_to(np.arange(width, dtype=np.int64), (n, width)).copy()
-        result, alive = symbols.copy(), np.arange(n)
         none = np.int64(1 << 62)
+        # Agenda entries by a pair's number: rank and merged symbol; the column stands between them.
+        entries = (ranks << 40) | made
+        draws = (sizes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) if drop else None
 
-        def candidates(a: np.ndarray, b: np.ndarray, place: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """(rank and place, merged symbol) of neighbours a and b; `none` where they make no piece or are skipped."""
+        def candidates(a: np.ndarray, b: np.ndarray, column: np.ndarray, key: np.ndarray) -> np.ndarray:
+            """Agenda entries of neighbours a and b, a in `column`; `none` where they make no piece or are skipped."""
             wanted = (a << 32) | b
             k = np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)
-            bad = (pairs[k] != wanted) | (a < 0) | (b < 0)
+            good = np.flatnonzero((pairs[k] == wanted) & (a >= 0) & (b >= 0))
+            k, column = k[good], column[good]
+            out = np.full(len(a), none)
+            out[good] = entries[k] | (column << 32)
             if drop:
-                draw = (((place << 26) | sizes[k]).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * key
-                bad |= ((draw >> np.uint64(27)) & np.uint64(0xFFFFFFFF)) < np.uint64(drop)
-            return np.where(bad, none, (ranks[k] << 26) | place), made[k]
-
-        agenda, merged = candidates(symbols[:, :-1], symbols[:, 1:], starts[:, :-1], keys[:, None])
-        columns = np.arange(width)
-        while len(alive) and agenda.shape[1]:
+                draw = (draws[k] + ((column - 1) << 26).astype(np.uint64)) * key[good]
+                out[good[((draw >> np.uint64(27)) & np.uint64(0xFFFFFFFF)) < np.uint64(drop)]] = none
+            return out
+
+        # A symbol stays in the column where it starts, a bound of -1 at either side; `after` and `before` are the columns of its neighbours.
+        n, width = symbols.shape[0], symbols.shape[1] + 2
+        whole = np.full((n, width), -1, dtype=np.int64)
+        whole[:, 1:-1] = symbols
+        columns = np.arange(width, dtype=np.int64)
+        result, alive = whole, np.arange(n)
+        inner = np.broadcast_to(columns[1:-1], symbols.shape)
+        agenda = np.full((n, width), none)
+        agenda[:, 1:-1] = candidates(whole[:, 1:-1].ravel(), whole[:, 2:].ravel(), inner.ravel(), np.repeat(keys, width - 2)).reshape(n, width - 2)
+        after, before = np.tile(np.minimum(columns + 1, width - 1), (n, 1)), np.tile(np.maximum(columns - 1, 0), (n, 1))
+        while len(alive):
             best = agenda.argmin(axis=1)
-            row = np.arange(len(alive))
-            going = agenda[row, best] < none
-            if not going.all():
-                done = ~going
-                result[alive[done], : symbols.shape[1]] = symbols[done]
-                result[alive[done], symbols.shape[1] :] = -1
-                alive, symbols, starts, agenda, merged, keys, best = alive[going], symbols[going], starts[going], agenda[going], merged[going], keys[going], best[going]
-                row = row[: len(alive)]
-                if not len(alive):
-                    break
-            symbols[row, best] = merged[row, best]
+            entry = agenda[np.arange(len(alive)), best]
+            row = np.flatnonzero(entry < none)
+            if 4 * len(row) < 3 * len(alive):
+                result[alive] = whole
+                alive, whole, agenda, after, before, keys, best, entry = alive[row], whole[row], agenda[row], after[row], before[row], keys[row], best[row], entry[row]
+                row = np.arange(len(alive))
+            if not len(row):
+                break
+            column, made_here, base = best[row], entry[row] & 0xFFFFFFFF, row * width
             if trail is not None:
-                trail.append((alive, ((agenda[row, best] & 0x3FFFFFF) << 26 | self._lengths[merged[row, best]]).astype(np.uint64)))
-            # What lies right of the merged pair moves one column to the left; the candidate of the pair goes.
-            w = symbols.shape[1]
-            keep = columns[: w - 1] + (columns[: w - 1] > best[:, None])
-            symbols, starts = symbols[row[:, None], keep], starts[row[:, None], keep]
-            gone = columns[: w - 2] + (columns[: w - 2] >= best[:, None])
-            agenda, merged = agenda[row[:, None], gone], merged[row[:, None], gone]
-            for step in (-1, 0):
-                at = best + step
-                r = np.flatnonzero((at >= 0) & (at < w - 2))
-                c = at[r]
-                agenda[r, c], merged[r, c] = candidates(symbols[r, c], symbols[r, c + 1], starts[r, c], keys[r])
-        if len(alive):
-            result[alive, : symbols.shape[1]] = symbols
-            result[alive, symbols.shape[1] :] = -1
+                trail.append((alive[row], ((column - 1) << 26 | self._lengths[made_here]).astype(np.uint64)))
+            at, flat, then, past, open_ = base + column, whole.reshape(-1), after.reshape(-1), before.reshape(-1), agenda.reshape(-1)
+            gone = base + then[at]
+            right, left = then[gone], past[at]
+            flat[at], flat[gone], then[at], open_[gone] = made_here, -1, right, none
+            past[base + right] = column
+            new = candidates(np.concatenate([made_here, flat[base + left]]), np.concatenate([flat[base + right], made_here]), np.concatenate([column, left]), np.tile(keys[row], 2))
+            open_[at], open_[base + left] = new[: len(row)], new[len(row) :]
+        result[alive] = whole
         return self._packed_rows(result)
 
     def _packed_rows(self, rows: np.ndarray) -> list[bytes]:
