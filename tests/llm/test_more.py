@@ -384,6 +384,7 @@ def test_frequent_prefixes_are_found_by_a_draw(spark, total):
 
 def test_far_members_of_a_hub_get_hubs_of_their_own(spark, monkeypatch):
     """Near copies that are all far from their hub become links to one of them, not all pairs."""
+    monkeypatch.setattr(jaccard, "FAR", 32)
     n = 120
     other = list(range(1000, 1200))
     sets = [(0, list(range(100)))] + [(i, sorted({*other} - {1000 + i} | {5000 + i})) for i in range(1, n + 1)]
@@ -396,6 +397,7 @@ def test_far_members_of_a_hub_get_hubs_of_their_own(spark, monkeypatch):
 def test_small_hubs_and_nested_hubs_lose_no_link(spark, monkeypatch, common):
     """With hubs from three holders on, the components are those of all pairs."""
     monkeypatch.setattr(jaccard, "HOT", 2)
+    monkeypatch.setattr(jaccard, "FAR", 2)
     monkeypatch.setattr(jaccard, "COMMON", common)
     draw = random.Random(7)
     rows = []

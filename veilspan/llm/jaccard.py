@@ -54,8 +54,8 @@ HOT = 32
 HUB_SHARE = 256
 #: One in so many members of a hub must differ in an n-gram for it to count as common among them.
 COMMON = 16
-#: Times that far members of a hub get hubs of their own.
-NESTED = 3
+#: Far members of a hub that share a difference, from which on they get a hub of their own, and how often at most.
+FAR, NESTED = 256, 3
 #: Fragments of the global order.
 FRAGMENTS = 4
 _TOP = 1 << 63
@@ -166,9 +166,9 @@ def _difference_rows(delta: DataFrame, counts: DataFrame, copies: DataFrame) ->
     return rows.withColumn("lvl", F.expr("if(i < m0, 0, 1)")).drop("i")
 
 
-def _hubs(postings: DataFrame, by: list[str]) -> DataFrame:
-    """(id, hub) of sets that share an n-gram of `postings` (id, *by) with more than HOT sets: the smallest id among these."""
-    hot = cut(postings.groupBy(*by).agg(F.count("*").alias("c"), F.min("id").alias("up")).where(F.col("c") > HOT).select(*by, "up"))
+def _hubs(postings: DataFrame, by: list[str], most: int) -> DataFrame:
+    """(id, hub) of sets that share an n-gram of `postings` (id, *by), which more than `most` sets hold: the smallest id among these."""
+    hot = cut(postings.groupBy(*by).agg(F.count("*").alias("c"), F.min("id").alias("up")).where(F.col("c") > most).select(*by, "up"))
     hubs = cut(postings.select("id", *by).join(hot, by).groupBy("id").agg(F.min("up").alias("hub")))
     for _ in range(2):  # a hub's own hub
         hubs = hubs.join(hubs.selectExpr("id as hub", "hub as up"), "hub", "left").selectExpr("id", "coalesce(up, hub) hub")
@@ -178,7 +178,7 @@ def _hubs(postings: DataFrame, by: list[str]) -> DataFrame:
 def _hub_links(members: DataFrame, sets: DataFrame, num: int, den: int, nested: int = NESTED) -> DataFrame:
     """Links that decide components among members (id, hub) of hubs.
 
-    Members far from their hub that share a difference with more than HOT others
+    Members far from their hub that share a difference with more than FAR others
     get a hub among themselves, `nested` times at most; what is left is paired.
     """
     near = F.expr(f"w <= {den - num} * p")
@@ -203,8 +203,8 @@ def _hub_links(members: DataFrame, sets: DataFrame, num: int, den: int, nested:
     held = held.withColumn("m", F.col("n_all"))
     at = _positions(held, "x.pos <= last", ["id", "hub", "p", "w", "near", "m", "last_far"]).withColumn("short", F.expr("pos <= last_far"))
     at, links, sub = cut(at), star, at.sparkSession.createDataFrame([], "id long, sub long")
-    if nested and not at.where("not near").groupBy("hub", "g").count().where(f"count > {HOT}").isEmpty():
-        deeper = _hubs(at.where("not near"), ["hub", "g"])
+    if nested and not at.where("not near").groupBy("hub", "g").count().where(f"count > {FAR}").isEmpty():
+        deeper = _hubs(at.where("not near"), ["hub", "g"], FAR)
         links, sub = links.unionByName(_hub_links(deeper, sets, num, den, nested - 1)), deeper.withColumnRenamed("hub", "sub")
     at = at.join(sub, "id", "left").withColumn("sub", F.coalesce("sub", "id"))
     a, b = at.alias("a"), at.alias("b")
@@ -228,7 +228,7 @@ def representatives(docs: DataFrame, n: int, num: int, den: int, key: str, text:
     sketch = sketch.join(if_small(cut(several)), "id", "left").withColumn("odd", F.expr("coalesce(odd, false)"))
     reps = sketch.where("n > 0 and id is not null and not odd").groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "m0", "grams")).alias("x")).select("n", "x.*")
     postings = cut(_postings(reps, num, den))
-    hubs = _hubs(postings, ["g"])
+    hubs = _hubs(postings, ["g"], HOT)
     at = postings.join(hubs, "id", "left").selectExpr("id", "n", "g", "pos", "coalesce(hub, id) hub")
     mixed = at.groupBy("g").agg(F.min("hub").alias("lo"), F.max("hub").alias("hi")).where("lo <> hi").select("g")
     at = at.join(mixed, "g")
