@@ -429,3 +429,21 @@ def test_common_differences_are_left_out_of_prefixes(spark):
     rows = jaccard._difference_rows(delta, counts, spark.createDataFrame([(0, 1)], "hub long, copies int")).collect()
     assert {r.id for r in rows if r.lvl == 1} == {i for i in range(1, 41) if i % 2 == 0} and {r.g for r in rows if r.lvl == 1} == {*common}
     assert len([r for r in rows if r.lvl == 0]) == 80 and {(r.m0, r.n_all) for r in rows} == {(2, 7)}
+
+
+def test_suffixes_gathered_by_a_task_take_less_memory(spark, monkeypatch):
+    """At its peak a task holds fewer than 80 bytes for each suffix gathered."""
+    got = {}
+    monkeypatch.setattr(substrings, "long_prefixes", lambda *a: [np.empty(0, dtype=np.uint64)] * 3)
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, f, schema: got.update(send=f) or self.selectExpr("1 bucket"))
+    substrings.marks(documents(spark, []), 4, 1, "doc_id", "text", 20, 8)
+    rows = 60
+    body = " ".join(map(str, range(20_000)))
+    batches = [pa.RecordBatch.from_arrays([pa.array([d]), pa.array([f"d{d} ".join(["", body, ""]).replace(" ", f" {d}x")])], ["doc_id", "text"]) for d in range(rows)]
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    for _ in got["send"](iter(batches)):
+        pass
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert peak < 80 * rows * 20_000, peak / (rows * 20_000)

@@ -135,7 +135,8 @@ def _nodes(label: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sorted_label, sorted_ref = label[order], ref[order]
     starts = np.ones(len(order), dtype=bool)
     starts[1:] = sorted_label[1:] != sorted_label[:-1]
-    first = sorted_ref[starts][np.cumsum(starts) - 1] if len(order) else sorted_ref
+    del sorted_label
+    first = np.repeat(sorted_ref[starts], np.diff(np.append(np.flatnonzero(starts), len(order)))) if len(order) else sorted_ref
     return order, sorted_ref > first
 
 
@@ -145,26 +146,34 @@ def marks(docs: DataFrame, homes: int, total: int, key: str, text: str, window:
     blobs = "bucket int, home int, docs binary, labels binary, refs binary"  # home -1: suffixes for a tree
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        # Labels, buckets and places of suffixes; keys of texts and how many suffixes each has.
+        held: tuple[list[np.ndarray], ...] = ([], [], [], [], [])
+
+        def taken(k: int) -> np.ndarray:
+            out = np.concatenate(held[k])
+            held[k].clear()
+            return out
 
         def out() -> Iterator[pa.RecordBatch]:
-            label, bucket, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            keys, rank = np.unique(doc, return_inverse=True)
-            ref = (rank.astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64)
+            keys, rank = np.unique(taken(3), return_inverse=True)
+            ref = np.repeat(rank.astype(np.uint64) << np.uint64(32), taken(4))
+            ref |= taken(2).astype(np.uint64)
+            label, bucket = taken(0), taken(1)
             order, again = _nodes(label, ref)
-            repeats = order[again]
-            rows = [(home, home, d, None, m) for home, d, m in _by_home(doc[repeats], place[repeats], homes)]
+            some = ref[order[again]]
+            rows = [(home, home, d, None, m) for home, d, m in _by_home(keys[some >> np.uint64(32)], (some & np.uint64(0xFFFFFFFF)).astype(np.int64), homes)]
+            del again, some
             ones = np.ones(len(order), dtype=bool)
             ones[1:] = label[order][1:] != label[order][:-1]
             first = order[ones]
+            del order, ones
             first = first[np.argsort(bucket[first], kind="stable")]
             ends = np.append(np.flatnonzero(np.diff(bucket[first])) + 1, len(first)) if len(first) else []
             a = 0
             for b in ends:
                 own = first[a:b]
-                table, which = np.unique(rank[own], return_inverse=True)
-                refs = (which.astype(np.uint64) << np.uint64(32)) | place[own].astype(np.uint64)
+                table, which = np.unique(ref[own] >> np.uint64(32), return_inverse=True)
+                refs = (which.astype(np.uint64) << np.uint64(32)) | (ref[own] & np.uint64(0xFFFFFFFF))
                 rows.append((int(bucket[own[0]]), -1, pack(keys[table].view(np.uint64)), pack_sorted(label[own]), pack(refs)))
                 a = b
             for i in range(0, len(rows), 64):
@@ -179,12 +188,14 @@ def marks(docs: DataFrame, homes: int, total: int, key: str, text: str, window:
             label = ngrams(words, window)[at]
             prefix = _prefixes(words, at, longer.value, label)
             ids = np.array([0 if i is None else i for i in part.ids], dtype=np.int64)
-            held.append((label, (prefix % np.uint64(groups)).astype(np.int32), ids[row], place))
+            counts = np.bincount(row, minlength=len(ids))
+            for column, values in zip(held, (label, (prefix % np.uint64(groups)).astype(np.int32), place.astype(np.int32), ids[counts > 0], counts[counts > 0]), strict=True):
+                column.append(values)
             n += len(at)
             if n >= flush:
                 yield from out()
                 n = 0
-        if held:
+        if n:
             yield from out()
 
     def tree(table: pa.Table) -> pa.Table:
